@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweave.llm import bpe, chat, decontam, jaccard, quality, secrets, topk, urls
+from arcweave.llm import bpe, chat, decontam, jaccard, lm, quality, secrets, topk, urls
 from arcweave.llm.common import table
 
 #: Rank file of the registered encoding; a file that every executor has.
@@ -24,6 +24,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("copy")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op3_jaccard, op4_decontaminate, op6_secrets, op7_chat_format, op8_max_score, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_bpe, op3_jaccard, op4_decontaminate, op5_language_model, op6_secrets, op7_chat_format, op8_max_score, op9_quality, op10_url_filter)}
 
 
 OP8 = """
