@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweave.llm import bpe, chat, decontam, jaccard, lm, quality, secrets, topk, urls
+from arcweave.llm import bpe, chat, decontam, jaccard, lm, pii, quality, secrets, topk, urls
 from arcweave.llm.common import table
 
 #: Rank file of the registered encoding; a file that every executor has.
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_documents(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op3_jaccard, op4_decontaminate, op5_language_model, op6_secrets, op7_chat_format, op8_max_score, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_bpe, op2_surrogates, op3_jaccard, op4_decontaminate, op5_language_model, op6_secrets, op7_chat_format, op8_max_score, op9_quality, op10_url_filter)}
 
 
 OP8 = """
@@ -76,6 +80,17 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+_TOKENS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+OP3 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, w, least(len(w), 3) AS k FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d WHERE k > 0),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id)
+SELECT r.doc_id, CAST(coalesce(max(len(s.s)), 0) AS BIGINT) AS n_shingles, min(r.r) AS component_id FROM reach r LEFT JOIN s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def _op10_sql() -> str:
     fits = "({h} = '{0}' OR ends_with({h}, '.{0}')) AND starts_with(path, '{1}')"
     rules = sorted(urls.HOST_RULES, key=lambda r: -len(r.text))
@@ -90,4 +105,4 @@ SELECT page_id, host, path, CASE {when("text")} END AS rule, coalesce(CASE {when
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4, "op8_max_score": OP8, "op10_url_filter": _op10_sql()}
+    return {"op3_jaccard": OP3, "op4_decontaminate": OP4, "op8_max_score": OP8, "op10_url_filter": _op10_sql()}

@@ -9,10 +9,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweave.llm import bpe, secrets
+from arcweave.llm import bpe, decontam, jaccard, quality, secrets
 from arcweave.llm.common import table, written
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier rejects."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by runs of five words, at a similarity of 0.8 or more."""
+    return jaccard.keep_one(docs)
+
+
+def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents in which a window of a benchmark item occurs."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mask."""
     return secrets.redact(docs)
@@ -23,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
 
 
-STAGES = [("secret_scan", secret_scan), ("encode", encode)]
+STAGES = [("good_quality", good_quality), ("one_of_copies", one_of_copies), ("no_benchmarks", no_benchmarks), ("secret_scan", secret_scan), ("encode", encode)]
 
 #: The classifier, the formats of secrets and the encoding are beyond SQL.
 ORACLE_SQL = None
