@@ -68,20 +68,41 @@ def prefix(n: int, share: Fraction) -> int:
     return n - needed(n, share) + 1
 
 
+def stored(p: int) -> int:
+    """Shingles kept of a set with a prefix of p: some more, for those that go last in the order."""
+    return p + p // 4 + 4
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """Of each cell of the hashes' range, whether the number of shingles in it is odd; more cells for larger sets."""
+    size = max(11, (len(s) // 2).bit_length())
+    return np.packbits(np.bincount((s >> np.uint64(64 - size)).astype(np.int64), minlength=1 << size) & 1).tobytes()
+
+
+def most_alike(n: int, x: bytes, m: int, y: bytes) -> float:
+    """Upper bound of the similarity of two sets: cells of unlike parity hold shingles of one set alone."""
+    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
+    if len(a) != len(b):
+        a, b = sorted((a, b), key=len)
+        b = np.packbits(np.bitwise_xor.reduce(np.unpackbits(b).reshape(len(a) * 8, -1), axis=1))
+    unlike = int(np.bitwise_count(a ^ b).sum())
+    return (n + m - unlike) / (n + m + unlike)
+
+
 def _sets(docs: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """doc_id, n, digest, and the first shingles by hash: the prefix and half as many to spare."""
+    """doc_id, n, digest, a parity bitmap, and the first shingles by hash: the prefix and some to spare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digests, firsts = [], [], []
+            n, digests, firsts, bits = [], [], [], []
             for text in b.column(1):
                 s = shingles(text.as_py(), width)
                 p = prefix(len(s), share)
-                n.append(len(s)), digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                firsts.append(s[: p + p // 2 + 8].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "firsts"])
+                bits.append(bitmap(s)), n.append(len(s)), digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                firsts.append(s[: stored(p)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "digest", "firsts", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, firsts array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, firsts array<long>, bits binary")
 
 
 def _bounded(df: DataFrame, row: int) -> DataFrame:
@@ -92,8 +113,9 @@ def _bounded(df: DataFrame, row: int) -> DataFrame:
 class _Join:
     def __init__(self, docs: DataFrame, width: int, share: Fraction):
         self.docs, self.width, self.share = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, share
-        self.documents = written(_sets(docs, width, share), "sets")
-        sets = self.documents.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.first("firsts").alias("firsts"))
+        every = written(_sets(docs, width, share), "sets")
+        self.documents = every.drop("firsts", "bits")
+        sets = every.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits"))
         self.sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
 
     def hashes(self, ids: DataFrame) -> DataFrame:
@@ -113,11 +135,22 @@ class _Join:
         return self.docs.join(_bounded(wanted, 60), "doc_id").select("text", "digest", "id").mapInArrow(run, "id long, blob binary")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, common, total) of distinct pairs (a, b): sizes of intersection and union.
+        """(a, b, common, total) of distinct pairs (a, b, far): sizes of intersection and union.
 
-        The first set of each pair goes to the second, with which a split join meets.
+        Without the pairs whose bitmaps show that their distance is greater than
+        that of linked sets by more than far. The first set of each other pair goes
+        to the second, with which a join meets that can be split.
         """
-        pairs = written(pairs, "pairs")
+        bits = self.sets.select("id", "n", "bits")
+        for end in ("a", "b"):
+            pairs = pairs.join(bits.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+        limit = float(1 - self.share) + 1e-9
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.select(["a", "b"]).filter(pa.array([1 - most_alike(n, x, m, y) <= limit + far for far, n, x, m, y in zip(*(b.column(c).to_pylist() for c in ("far", "n_a", "bits_a", "n_b", "bits_b")))], pa.bool_()))
+
+        pairs = written(pairs.select("a", "b", "far", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(near, "a long, b long"), "pairs")
         first = self.hashes(pairs.select(F.col("a").alias("id")).distinct()).join(_bounded(pairs.select(F.col("a").alias("id"), "b"), 40), "id").select(F.col("id").alias("a"), "b", F.col("blob").alias("x"))
         second = self.hashes(pairs.select(F.col("b").alias("id")).distinct()).select(F.col("id").alias("b"), F.col("blob").alias("y"))
 
@@ -139,18 +172,19 @@ class _Join:
 
     def links(self) -> DataFrame:
         """Links (a, b) between sets, enough for the components to be those of all links."""
-        rows = self.sets.select("id", "n", F.posexplode("firsts").alias("i", "token"))
+        rows = self.sets.select("id", F.posexplode("firsts").alias("i", "token"))
         lists = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("id").alias("head")).where("df > 1")
         rows = written(rows.join(lists.drop("df"), "token"), "index")
         # set relations: the head that shares most prefix shingles
         votes = rows.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("votes"))
         heads = votes.groupBy("id").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("head"))
-        near = self.linked(self.compared(heads.select(F.col("id").alias("a"), F.col("head").alias("b"))))
+        near = self.linked(self.compared(heads.select(F.col("id").alias("a"), F.col("head").alias("b"), F.lit(0.0).alias("far"))))
         links = near.select("a", "b")
         part = written(components(links), "components")
         anchors = near.select(F.col("a").alias("id"), F.col("b").alias("anchor"), (1 - F.col("common") / F.col("total")).alias("d"))
         known = part.select(F.col("node").alias("id"), F.col("component").alias("part")).join(anchors, "id", "left")
-        rows = rows.select("token", "id", "n", "i").join(known, "id", "left").select(
+        known = self.sets.select("id", "n").join(known, "id", "left")
+        rows = rows.select("token", "id", "i").join(known, "id").select(
             "token", "id", "n", "i", F.coalesce("part", "id").alias("part"), F.coalesce("anchor", "id").alias("anchor"), F.coalesce("d", F.lit(0.0)).alias("d")
         )
         rows = written(rows, "anchored")
@@ -161,12 +195,12 @@ class _Join:
         late = rows.where("late").groupBy("id").agg(F.sort_array(F.collect_list("i")).alias("late_at"))
         placed = rows.join(late, "id", "left").withColumn("before", F.coalesce(F.size(F.filter("late_at", lambda j: j < F.col("i"))), F.lit(0)))
         p = F.expr(self._sql_prefix("n"))
-        early = placed.where(~F.col("late")).withColumn("at", F.col("i") - F.when(F.col("late_at").isNull(), 0).otherwise(F.col("before"))).where(F.col("at") < p)
-        stored = F.least(F.col("n"), p + F.floor(p / 2) + 8)
+        early = placed.where(~F.col("late")).withColumn("at", F.col("i").cast("long") - F.when(F.col("late_at").isNull(), 0).otherwise(F.col("before"))).where(F.col("at") < p)
+        stored = F.least(F.col("n"), p + F.floor(p / 4) + 4)
         short = late.join(self.sets.select("id", "n"), "id").where(stored - F.size("late_at") < p).select("id")
         short = written(short, "short")
-        columns = ["token", "id", "n", "at", "part", "anchor", "d"]
-        early = early.select(*columns)
+        columns = ["token", "id", "n", "first", "last", "part", "anchor", "d"]
+        early = early.withColumn("first", F.col("at")).withColumn("last", F.col("at")).select(*columns)
         if not short.isEmpty():
             early = early.unionByName(self._whole(short, blocks, known, columns))
         early = written(early.distinct(), "prefixes")
@@ -183,18 +217,18 @@ class _Join:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(v.as_buffer(), np.int64) for v in b.column(1)], pa.list_(pa.int64()))], ["id", "tokens"])
 
-        tokens = self.hashes(short).mapInArrow(run, "id long, tokens array<long>").select("id", F.size("tokens").cast("long").alias("n"), F.posexplode("tokens").alias("i", "token"))
+        tokens = self.hashes(short).mapInArrow(run, "id long, tokens array<long>").select("id", F.posexplode("tokens").alias("i", "token"))
         tokens = written(tokens.join(blocks.where("late"), "token", "left").withColumn("late", F.coalesce("late", F.lit(False))), "whole")
         late = tokens.where("late").groupBy("id").agg(F.sort_array(F.collect_list("i")).alias("late_at"))
+        tokens = tokens.join(known.select("id", "n"), "id")
         before = F.coalesce(F.size(F.filter("late_at", lambda j: j < F.col("i"))), F.lit(0))
         at = F.when(F.col("late"), F.col("n") - F.size("late_at") + before).otherwise(F.col("i") - F.when(F.col("late_at").isNull(), 0).otherwise(before))
         mine = tokens.join(late, "id", "left").withColumn("at", at).where(F.col("at") < F.expr(self._sql_prefix("n")))
-        # any other set's stored shingle that is such a prefix shingle and isn't late; at 0 makes no promise about its place
+        # any other set's stored shingle that is such a prefix shingle and isn't late, at whatever place it may have
         keys = mine.where(~F.col("late")).select("token").distinct()
-        others = self.sets.select("id", "n", F.explode("firsts").alias("token")).join(keys, "token").withColumn("at", F.lit(0))
-        both = mine.select("token", "id", "n", "at").unionByName(others.select("token", "id", "n", "at"))
-        both = both.join(known, "id", "left")
-        return both.select("token", "id", "n", "at", F.coalesce("part", "id").alias("part"), F.coalesce("anchor", "id").alias("anchor"), F.coalesce("d", F.lit(0.0)).alias("d")).select(*columns)
+        others = self.sets.select("id", F.explode("firsts").alias("token")).join(keys, "token")
+        both = mine.select("token", "id", F.col("at").alias("first"), F.col("at").alias("last")).unionByName(others.select("token", "id", F.lit(0).alias("first"), F.lit(None).alias("last"))).join(known, "id")
+        return both.select("token", "id", "n", F.col("first").cast("long").alias("first"), F.coalesce("last", "n").alias("last"), F.coalesce("part", "id").alias("part"), F.coalesce("anchor", "id").alias("anchor"), F.coalesce("d", F.lit(0.0)).alias("d")).select(*columns)
 
     def _possible(self, a, b):
         """Whether two sets, or blocks of sets, can be linked that share a shingle, by size and place."""
@@ -207,11 +241,11 @@ class _Join:
 
     def _open_pairs(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         block = F.struct("anchor", "part", "low", "high", "first", "last", "far")
-        lists = rows.groupBy("token", "anchor", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("first"), F.max("at").alias("last"), F.max("d").alias("far"))
+        lists = rows.groupBy("token", "anchor", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("d").alias("far"))
         lists = lists.groupBy("token").agg(F.sort_array(F.collect_list(block)).alias("blocks")).where(F.size("blocks") > 1)
         pairs = lists.select(F.explode("blocks").alias("x"), "blocks").select("x", F.explode("blocks").alias("y")).where(F.col("x.anchor") < F.col("y.anchor")).where("x.part <> y.part").where(self._possible("x", "y"))
         anchors = written(pairs.groupBy(F.col("x.anchor").alias("a"), F.col("y.anchor").alias("b")).agg(F.max(F.col("x.far") + F.col("y.far")).alias("far")), "anchor-pairs")
-        answers = self.compared(anchors.select("a", "b"))
+        answers = self.compared(anchors)
         links = links.unionByName(self.linked(answers).select("a", "b"))
         # derived answers: the sets of two anchors may be linked only if these are near enough
         limit = float(1 - self.share)
@@ -220,10 +254,10 @@ class _Join:
         if near.isEmpty():
             return links
         part = components(links).withColumnRenamed("node", "id")
-        member = rows.drop("part").join(part, "id", "left").select("token", "anchor", "id", F.coalesce("component", "id").alias("part"), "d", F.col("n").alias("low"), F.col("n").alias("high"), F.col("at").alias("first"), F.col("at").alias("last"))
+        member = rows.drop("part").join(part, "id", "left").select("token", "anchor", "id", F.coalesce("component", "id").alias("part"), "d", F.col("n").alias("low"), F.col("n").alias("high"), "first", "last")
         left = near.join(member.select(F.col("anchor").alias("a"), "token", F.struct(*member.columns).alias("x")), "a")
         both = left.join(member.select(F.col("anchor").alias("b"), "token", F.struct(*member.columns).alias("y")), ["b", "token"]).where("x.part <> y.part").where(F.col("gap") - F.col("x.d") - F.col("y.d") <= limit + 1e-9).where(self._possible("x", "y"))
-        sets = both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a <> b").distinct().join(answers, ["a", "b"], "left_anti")
+        sets = both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a <> b").distinct().join(answers, ["a", "b"], "left_anti").withColumn("far", F.lit(0.0))
         return links.unionByName(self.linked(self.compared(sets)).select("a", "b"))
 
     def result(self) -> DataFrame:
