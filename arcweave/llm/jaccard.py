@@ -32,7 +32,9 @@ from arcweave.llm.common import BROADCAST_BYTES, written
 from arcweave.llm.components import components
 
 #: Shingles whose lists have more unlike blocks than this go last in the order.
-BLOCKS = 48
+BLOCKS = 12
+#: Times that each set is compared with one of the sets that head its lists.
+ROUNDS = 3
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -173,62 +175,77 @@ class _Join:
     def links(self) -> DataFrame:
         """Links (a, b) between sets, enough for the components to be those of all links."""
         rows = self.sets.select("id", F.posexplode("firsts").alias("i", "token"))
-        lists = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("id").alias("head")).where("df > 1")
-        rows = written(rows.join(lists.drop("df"), "token"), "index")
-        # set relations: the head that shares most prefix shingles
-        votes = rows.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("votes"))
-        heads = votes.groupBy("id").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("head"))
-        near = self.linked(self.compared(heads.select(F.col("id").alias("a"), F.col("head").alias("b"), F.lit(0.0).alias("far"))))
-        links = near.select("a", "b")
-        part = written(components(links), "components")
-        anchors = near.select(F.col("a").alias("id"), F.col("b").alias("anchor"), (1 - F.col("common") / F.col("total")).alias("d"))
-        known = part.select(F.col("node").alias("id"), F.col("component").alias("part")).join(anchors, "id", "left")
-        known = self.sets.select("id", "n").join(known, "id", "left")
-        rows = rows.select("token", "id", "i").join(known, "id").select(
-            "token", "id", "n", "i", F.coalesce("part", "id").alias("part"), F.coalesce("anchor", "id").alias("anchor"), F.coalesce("d", F.lit(0.0)).alias("d")
-        )
-        rows = written(rows, "anchored")
-        blocks = rows.groupBy("token", "anchor", "part").agg(F.count("*").alias("sets")).groupBy("token").agg(F.count("*").alias("blocks"), F.min("part").alias("p0"), F.max("part").alias("p1"))
-        blocks = written(blocks.where("p0 <> p1").select("token", (F.col("blocks") > BLOCKS).alias("late")), "unlike")
-        rows = rows.join(blocks, "token")
-        # places in the order with late shingles last, of which those in the spare part of the list are known
-        late = rows.where("late").groupBy("id").agg(F.sort_array(F.collect_list("i")).alias("late_at"))
-        placed = rows.join(late, "id", "left").withColumn("before", F.coalesce(F.size(F.filter("late_at", lambda j: j < F.col("i"))), F.lit(0)))
+        lists = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        rows = written(rows.join(lists.select("token"), "token").withColumn("part", F.col("id")), "index")
+        links = anchors = None
+        for turn in range(ROUNDS):
+            # set relations: of the sets that head a set's lists this turn, the one that shares most of its prefix
+            heads = rows.groupBy("token").agg(F.min_by(F.struct("id", "part"), F.xxhash64("id", F.lit(turn))).alias("head"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1")
+            votes = rows.join(heads.select("token", "head"), "token").where("part <> head.part").groupBy("id", F.col("head.id").alias("head")).agg(F.count("*").alias("votes"))
+            best = votes.groupBy("id").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("head"))
+            near = self.linked(self.compared(best.select(F.col("id").alias("a"), F.col("head").alias("b"), F.lit(0.0).alias("far"))))
+            found = near.select(F.col("a").alias("id"), F.struct(F.lit(turn).alias("turn"), F.col("b").alias("anchor"), (1 - F.col("common") / F.col("total")).alias("d")).alias("first"))
+            links, anchors = (near.select("a", "b"), found) if links is None else (links.unionByName(near.select("a", "b")), anchors.unionByName(found))
+            part = written(components(links), "components").select(F.col("node").alias("id"), F.col("component").alias("part"))
+            rows = rows.drop("part").join(part, "id", "left").withColumn("part", F.coalesce("part", "id")).select("token", "id", "i", "part")
+            if turn == 0:  # lists within one component have nothing left to compare
+                rows = written(rows, "parts")
+                open_lists = rows.groupBy("token").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("token")
+                rows = rows.join(open_lists, "token")
+            rows = written(rows, "open")
+        first = anchors.groupBy("id").agg(F.min("first").alias("first")).select("id", "first.anchor", "first.d")
+        known = self.sets.select("id", "n").join(part, "id", "left").join(first, "id", "left")
+        known = written(known.select("id", "n", F.coalesce("part", "id").alias("part"), F.coalesce("anchor", "id").alias("anchor"), F.coalesce("d", F.lit(0.0)).alias("d")), "known")
+        return self._open_pairs(self._prefixes(rows.select("token", "id", "i"), known), links)
+
+    def _prefixes(self, rows: DataFrame, known: DataFrame) -> DataFrame:
+        """token, id, n, at, part, anchor, d: what each set is listed under, and at which place in the order.
+
+        Sets too many of whose stored shingles go last are short: they are taken
+        with all their shingles, which may make more shingles go last, and so more
+        sets short, until none is added.
+        """
+        whole = short = None
         p = F.expr(self._sql_prefix("n"))
-        early = placed.where(~F.col("late")).withColumn("at", F.col("i").cast("long") - F.when(F.col("late_at").isNull(), 0).otherwise(F.col("before"))).where(F.col("at") < p)
-        stored = F.least(F.col("n"), p + F.floor(p / 4) + 4)
-        short = late.join(self.sets.select("id", "n"), "id").where(stored - F.size("late_at") < p).select("id")
-        short = written(short, "short")
-        columns = ["token", "id", "n", "first", "last", "part", "anchor", "d"]
-        early = early.withColumn("first", F.col("at")).withColumn("last", F.col("at")).select(*columns)
-        if not short.isEmpty():
-            early = early.unionByName(self._whole(short, blocks, known, columns))
-        early = written(early.distinct(), "prefixes")
-        return self._open_pairs(early, links)
-
-    def _sql_prefix(self, n: str) -> str:
-        a, b = self.share.numerator, self.share.denominator
-        return f"({n} - ({n} * {a} + {b - 1}) div {b} + 1)"
+        while True:
+            every = rows
+            if whole is not None:
+                met = self.sets.select(F.explode(F.arrays_zip(F.col("firsts").alias("token"), F.sequence(F.lit(0), F.size("firsts") - 1).alias("i"))).alias("x"), "id").select("x.token", "id", "x.i")
+                every = rows.unionByName(met.join(whole.select("token").distinct(), "token")).join(short, "id", "left_anti").unionByName(whole).distinct()
+            placed = written(every.join(known, "id"), "placed")
+            blocks = placed.groupBy("token", "anchor", "part").agg(F.count("*").alias("sets")).groupBy("token").agg(F.count("*").alias("blocks"), F.min("part").alias("p0"), F.max("part").alias("p1"))
+            blocks = written(blocks.where("p0 <> p1").select("token", (F.col("blocks") > BLOCKS).alias("late")), "unlike")
+            placed = placed.join(blocks, "token", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+            late = placed.where("late").groupBy("id").agg(F.sort_array(F.collect_list("i")).alias("late_at"))
+            stored = F.least(F.col("n"), p + F.floor(p / 4) + 4)
+            more = late.join(known, "id").where(stored - F.size("late_at") < p).select("id")
+            more = written(more if short is None else more.join(short, "id", "left_anti"), "short")
+            if more.isEmpty():
+                break
+            short = more if short is None else written(short.unionByName(more), "short")
+            tokens = written(self._tokens(more), "whole")
+            whole = tokens if whole is None else whole.unionByName(tokens)
+        before = F.coalesce(F.size(F.filter("late_at", lambda j: j < F.col("i"))), F.lit(0))
+        many = F.coalesce(F.size("late_at"), F.lit(0))
+        lates = F.when(F.col("late_at").isNull(), 0).otherwise(before)
+        at = F.when(F.col("late"), F.col("n") - many + lates).otherwise(F.col("i") - lates).cast("long")
+        found = placed.join(late, "id", "left").withColumn("at", at).where(F.col("at") < p)
+        # of late shingles only sets that are taken whole know the place
+        found = found.where(~F.col("late")) if short is None else found.join(short.withColumn("all", F.lit(True)), "id", "left").where(~F.col("late") | F.col("all"))
+        return written(found.join(blocks.select("token"), "token", "left_semi").select("token", "id", "n", "at", "part", "anchor", "d"), "prefixes")
 
-    def _whole(self, short: DataFrame, blocks: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
-        """Prefixes of sets in whose stored shingles too many go last: from all their shingles; and what they meet."""
+    def _tokens(self, ids: DataFrame) -> DataFrame:
+        """All shingles of these sets: token, id, and i, the place by hash."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(v.as_buffer(), np.int64) for v in b.column(1)], pa.list_(pa.int64()))], ["id", "tokens"])
 
-        tokens = self.hashes(short).mapInArrow(run, "id long, tokens array<long>").select("id", F.posexplode("tokens").alias("i", "token"))
-        tokens = written(tokens.join(blocks.where("late"), "token", "left").withColumn("late", F.coalesce("late", F.lit(False))), "whole")
-        late = tokens.where("late").groupBy("id").agg(F.sort_array(F.collect_list("i")).alias("late_at"))
-        tokens = tokens.join(known.select("id", "n"), "id")
-        before = F.coalesce(F.size(F.filter("late_at", lambda j: j < F.col("i"))), F.lit(0))
-        at = F.when(F.col("late"), F.col("n") - F.size("late_at") + before).otherwise(F.col("i") - F.when(F.col("late_at").isNull(), 0).otherwise(before))
-        mine = tokens.join(late, "id", "left").withColumn("at", at).where(F.col("at") < F.expr(self._sql_prefix("n")))
-        # any other set's stored shingle that is such a prefix shingle and isn't late, at whatever place it may have
-        keys = mine.where(~F.col("late")).select("token").distinct()
-        others = self.sets.select("id", F.explode("firsts").alias("token")).join(keys, "token")
-        both = mine.select("token", "id", F.col("at").alias("first"), F.col("at").alias("last")).unionByName(others.select("token", "id", F.lit(0).alias("first"), F.lit(None).alias("last"))).join(known, "id")
-        return both.select("token", "id", "n", F.col("first").cast("long").alias("first"), F.coalesce("last", "n").alias("last"), F.coalesce("part", "id").alias("part"), F.coalesce("anchor", "id").alias("anchor"), F.coalesce("d", F.lit(0.0)).alias("d")).select(*columns)
+        return self.hashes(ids).mapInArrow(run, "id long, tokens array<long>").select("id", F.posexplode("tokens").alias("i", "token")).select("token", "id", "i").distinct()
+
+    def _sql_prefix(self, n: str) -> str:
+        a, b = self.share.numerator, self.share.denominator
+        return f"({n} - ({n} * {a} + {b - 1}) div {b} + 1)"
 
     def _possible(self, a, b):
         """Whether two sets, or blocks of sets, can be linked that share a shingle, by size and place."""
@@ -240,10 +257,9 @@ class _Join:
         return sizes & (most + 1e-9 >= least)
 
     def _open_pairs(self, rows: DataFrame, links: DataFrame) -> DataFrame:
-        block = F.struct("anchor", "part", "low", "high", "first", "last", "far")
-        lists = rows.groupBy("token", "anchor", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("d").alias("far"))
-        lists = lists.groupBy("token").agg(F.sort_array(F.collect_list(block)).alias("blocks")).where(F.size("blocks") > 1)
-        pairs = lists.select(F.explode("blocks").alias("x"), "blocks").select("x", F.explode("blocks").alias("y")).where(F.col("x.anchor") < F.col("y.anchor")).where("x.part <> y.part").where(self._possible("x", "y"))
+        lists = rows.groupBy("token", "anchor", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("first"), F.max("at").alias("last"), F.max("d").alias("far"))
+        lists = written(lists, "blocks")
+        pairs = lists.alias("x").join(lists.alias("y"), "token").where("x.anchor < y.anchor and x.part <> y.part").where(self._possible("x", "y"))
         anchors = written(pairs.groupBy(F.col("x.anchor").alias("a"), F.col("y.anchor").alias("b")).agg(F.max(F.col("x.far") + F.col("y.far")).alias("far")), "anchor-pairs")
         answers = self.compared(anchors)
         links = links.unionByName(self.linked(answers).select("a", "b"))
@@ -254,7 +270,7 @@ class _Join:
         if near.isEmpty():
             return links
         part = components(links).withColumnRenamed("node", "id")
-        member = rows.drop("part").join(part, "id", "left").select("token", "anchor", "id", F.coalesce("component", "id").alias("part"), "d", F.col("n").alias("low"), F.col("n").alias("high"), "first", "last")
+        member = rows.drop("part").join(part, "id", "left").select("token", "anchor", "id", F.coalesce("component", "id").alias("part"), "d", F.col("n").alias("low"), F.col("n").alias("high"), F.col("at").alias("first"), F.col("at").alias("last"))
         left = near.join(member.select(F.col("anchor").alias("a"), "token", F.struct(*member.columns).alias("x")), "a")
         both = left.join(member.select(F.col("anchor").alias("b"), "token", F.struct(*member.columns).alias("y")), ["b", "token"]).where("x.part <> y.part").where(F.col("gap") - F.col("x.d") - F.col("y.d") <= limit + 1e-9).where(self._possible("x", "y"))
         sets = both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a <> b").distinct().join(answers, ["a", "b"], "left_anti").withColumn("far", F.lit(0.0))
