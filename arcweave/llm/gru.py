@@ -106,7 +106,7 @@ def _softmax_logs(a: np.ndarray) -> np.ndarray:
     return a - np.log(np.exp(a).sum(1, keepdims=True))
 
 
-def score(flat: np.ndarray, docs: list[np.ndarray], end: int, lanes: int = 256, window: int = 48) -> np.ndarray:
+def score(flat: np.ndarray, docs: list[np.ndarray], end: int, lanes: int = 256, window: int = 96) -> np.ndarray:
     """Natural log probability of each whole document."""
     w, plan = views(flat), Lanes(docs, lanes, end)
     logs = np.zeros(plan.target.shape, np.float32)
@@ -132,7 +132,7 @@ def score(flat: np.ndarray, docs: list[np.ndarray], end: int, lanes: int = 256,
     return out
 
 
-def train(flat: np.ndarray, docs: list[np.ndarray], end: int, rate: float, lanes: int = 192, window: int = 24, clip: float = 1.0) -> int:
+def train(flat: np.ndarray, docs: list[np.ndarray], end: int, rate: float, lanes: int = 256, window: int = 48, clip: float = 1.0) -> int:
     """One pass of Adam over whole documents, truncated at windows; changes flat and returns the tokens seen."""
     w, plan = views(flat), Lanes(docs, lanes, end)
     grad, m, v = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)

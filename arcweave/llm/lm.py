@@ -33,7 +33,7 @@ HELD = 1 << 16
 #: Documents of the first model: those whose ids have the smallest hashes.
 FIRST = 3000
 #: Rates of the first model, and of the pass over everything.
-RATES = (0.006, 0.003)
+RATES = (0.01, 0.004)
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Stands for the end of a text among the words, which are never empty.
@@ -133,7 +133,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(held, np.array([c for c, _ in top], np.int64), tokens, of_bucket, seen, place[0, END], total, kinds, rest)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: int, most: int = 4_000_000) -> Iterator[list]:
+def _batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: int, most: int = 3_000_000) -> Iterator[list]:
     """Rows read by v, in groups of about so many tokens at most: (row, tokens, places, other words)."""
     group, n = [], 0
     for b in batches:
@@ -217,14 +217,19 @@ def score(docs: DataFrame) -> DataFrame:
         shares[v.of_bucket] = np.log(v.rest)
         for group in _batches(batches, v, 1):
             scores = gru.score(flat, [g[2] for g in group], v.end)
-            rows = []
+            rows, other, times, ends = [], [], [], [0]
             for (b, i, ids, at, rare), s in zip(group, scores):
                 own = logs[at]
                 s += own[~inside[at]].sum() - shares[ids].sum()
-                rows.append((b.column(0)[i].as_py(), len(ids), int((v.counts[at] > 0).sum()), own.sum() - least * len(ids), s, [{"word": w, "n": n} for w, n in Counter(rare).items()]))
-            columns = list(zip(*rows))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
+                rows.append((b.column(0)[i].as_py(), len(ids), int((v.counts[at] > 0).sum()), own.sum() - least * len(ids), s))
+                found = Counter(rare)
+                other += found.keys()
+                times += found.values()
+                ends.append(len(other))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            pairs = pa.StructArray.from_arrays([pa.array(other, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
