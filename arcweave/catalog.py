@@ -14,7 +14,7 @@ from arcweave.operators.graph import PropertyGraph
 from arcweave.operators.traverse import NodeFilter, Traversal, TraversalRequest, closure
 from arcweave.schema import LEGAL_ARCS
 from arcweave.sources import example
-from arcweave.sources.commerce import commerce_graph
+from arcweave.sources.commerce import stored_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +32,7 @@ def query(sql: str | None = None):
     """Registers a function of the graph, and SQL on the views nodes and arcs."""
 
     def add(f: Callable[[PropertyGraph], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(commerce_graph(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(stored_graph(spark, sf_dir))
         if sql is not None:
             ORACLES[f.__name__] = VIEWS + sql
         return f

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.parse import Arcs
-from arcweave.plans.tables import numbered, written
+from arcweave.plans.tables import counted, numbered, written
 from arcweave.schema import LEGAL_ARCS, NODE_TYPES
 
 #: Rounds that are stated as one plan at most.
@@ -45,10 +45,11 @@ class Walk:
             first = sources.select(*columns, "rank")
         else:
             first = numbered(sources.select(*columns), ["node"], "rank").select("node", "parent", "depth", "rank")
-        self.layers = [written(first, "layer")]
+        first, self.nodes = counted(first, "layer")
+        self.layers = [first]
         self.arc_rows: list[DataFrame] = []  # of each round, in ranked walks: src, dst, seq
         self.seen = self.layers[0].select("node").distinct() if mark_sources else None
-        self.used, self.nodes = 0, self.layers[0].count()
+        self.used = 0
 
     @property
     def last(self) -> DataFrame:
@@ -62,8 +63,8 @@ class Walk:
             if self.most is not None:  # at most as many rows as are left of the budget
                 out = out.orderBy("rank", "dst").limit(max(0, self.most - self.used))
             out = numbered(out, ["rank", "dst"], "seq", self.used + 1)
-            out = written(out, "arcs")
-            self.used += out.count()
+            out, n = counted(out, "arcs")
+            self.used += n
             self.arc_rows.append(out)
             found = out.groupBy(F.col("dst").alias("node")).agg(F.min("seq").alias("order"), F.min_by("src", "seq").alias("parent"))
         else:
@@ -72,8 +73,7 @@ class Walk:
             found = found.join(self.seen, "node", "left_anti")
         new = found.withColumn("depth", F.lit(depth))
         new = numbered(new, ["order"], "rank").select("node", "parent", "depth", "rank") if self.ranked else new.select("node", "parent", "depth")
-        new = written(new, "layer")
-        self.nodes = new.count()
+        new, self.nodes = counted(new, "layer")
         if not self.nodes:
             return False
         self.layers.append(new)

@@ -7,6 +7,7 @@ Consecutive orders of a customer are linked, which makes long chains.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from arcweave.functions.identifiers import permission, swhid
 from arcweave.operators.graph import PropertyGraph
+from arcweave.plans.tables import shared_dir
 from arcweave.schema import LABEL, LABEL_DDL, TYPE_CODE
 
 _BASE = 10**9
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def node_id(node_type: str, key) -> F.Column:
@@ -68,3 +71,13 @@ def commerce_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         arcs(items, "rel:cnt", "l_suppkey", "l_partkey"),
     ]
     return PropertyGraph.of(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), all_nodes), reduce(DataFrame.unionByName, all_arcs))
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph as save() leaves it: built when an application first asks for it, then read from the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        commerce_graph(spark, sf_dir).save(path)
+        _STORED[key] = path
+    return PropertyGraph.load(spark, _STORED[key])
