@@ -444,7 +444,7 @@ def origin_sizes(g):
     return stats.reach_counts(g, g.nodes.where("node_type = 'ori'").select(F.col("node_id").alias("node")), "rev", "ori:snp,snp:rel,snp:rev,rel:rev,rev:rev", leaves=True)
 
 
-@query(", o AS (SELECT DISTINCT src AS rev, dst AS node FROM arcs WHERE src_type = 'rev'), w AS (SELECT rev, node FROM o UNION SELECT rev, dst FROM w JOIN arcs ON src = node WHERE src_type = 'dir') SELECT p.node_id AS node, arg_min(w.rev, r.committer_ts * 10000000000 + w.rev) AS revision, min(r.committer_ts) AS committer_ts FROM nodes p JOIN w ON w.node = p.node_id JOIN nodes r ON r.node_id = w.rev WHERE p.node_type = 'cnt' AND r.committer_ts IS NOT NULL GROUP BY 1")
+@query(", o AS (SELECT DISTINCT src AS rev, dst AS node FROM arcs WHERE src_type = 'rev'), w AS (SELECT rev, node FROM o UNION SELECT rev, dst FROM w JOIN arcs ON src = node WHERE src_type = 'dir') SELECT p.node_id AS node, arg_min(w.rev, CAST(r.committer_ts AS HUGEINT) * 10000000000 + w.rev) AS revision, min(r.committer_ts) AS committer_ts FROM nodes p JOIN w ON w.node = p.node_id JOIN nodes r ON r.node_id = w.rev WHERE p.node_type = 'cnt' AND r.committer_ts IS NOT NULL GROUP BY 1")
 def earliest_revisions(g):
     return stats.earliest_revisions(g, g.nodes.where("node_type = 'cnt'").select(F.col("node_id").alias("node")))
 
