@@ -26,8 +26,8 @@ ACCOUNT = r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\
 CARD = r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])"
 PERSON = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{OTHER})\.? {_NAME}(?: {_NAME})?"
 ANY = "|".join((EMAIL, ADDRESS, PHONE, SOCIAL, ACCOUNT, CARD, PERSON))
-#: A text without any of these holds none of the above.
-CUE = rf"@|\d{{3}}|\d\.\d|(?:{FEMALE}|{MALE}|{OTHER})\.? \p{{L}}"
+#: A text without any of these holds none of the above; each alternative of ANY has one of them at least.
+CUE = rf"@|\d{{3}}|\d\.\d|\+\d|[A-Z]{{2}}\d{{2}}|(?:{FEMALE}|{MALE}|{OTHER})\.? \p{{L}}"
 #: First names by gender.
 NAMES = {
     "f": "Anna Maria Julia Laura Sofia Clara Emma Lena Nora Alice Eva Ida Marta Lucia Elena Irene Helen Ruth Sara Vera".split(),
