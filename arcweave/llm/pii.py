@@ -2,7 +2,7 @@
 
 A surrogate is made from a value by a keyed permutation of all values of its
 format: letters stay letters of their script and case, digits stay digits, marks
-stay where they are. So one value has one surrogate wherever it stands, and
+stay where they are. No value stays as it is. So one value has one surrogate wherever it stands, and
 different values have different ones. Names get a first name of the same gender from
 a list, which could make two alike; all surrogates are therefore checked against
 each other and against all values found, and those that collide are made anew.
@@ -10,6 +10,10 @@ each other and against all values found, and those that collide are made anew.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +50,48 @@ ALPHABETS = [
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
-
-
-def _moved(c: Column, by: Column) -> Column:
-    out = c
-    for letters in ALPHABETS:
+#: Ranges of code points that may stand for each other: ideographs and syllables.
+RANGES = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x17000, 0x187F7), (0x20000, 0x2A6DF), (0x2A700, 0x2B739), (0x2B740, 0x2B81D), (0x2B820, 0x2CEA1), (0x2CEB0, 0x2EBE0), (0x30000, 0x3134A), (0x31350, 0x323AF)]
+#: Collisions after which a name or an address of mail gets a longer surrogate, as short ones may be used up.
+LONGER = 8
+
+
+def _other_alphabets() -> list[str]:
+    """All other letters and numbers, those of one script and category together."""
+    known = {*"".join(ALPHABETS), *(chr(i) for low, high in RANGES for i in range(low, high + 1))}
+    found: dict[tuple, list[str]] = defaultdict(list)
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        category = unicodedata.category(c)
+        if category[0] in "LN" and c not in known:
+            found[unicodedata.name(c, "?").split()[0].split("-")[0], category].append(c)
+    out, alone = [], defaultdict(list)
+    for (_, category), letters in found.items():
+        if len(letters) > 1:
+            out.append("".join(letters))
+        else:
+            alone[category] += letters
+    return out + ["".join(letters) for letters in alone.values()]
+
+
+OTHER_ALPHABETS = _other_alphabets()
+
+
+def _moved(c: Column, by: Column, wide: bool) -> Column:
+    """c moved within its alphabet; wide: in any script, else in ASCII alone."""
+    code, out = F.ascii(c), c
+    if wide:
+        ranges = F.filter(F.array(*(F.struct(F.lit(low).alias("low"), F.lit(high - low + 1).alias("n")) for low, high in RANGES)), lambda r: (code >= r.low) & (code < r.low + r.n))
+        letters = F.filter(F.split(F.lit(" ".join(ALPHABETS[3:] + OTHER_ALPHABETS)), " "), lambda a: F.instr(a, c) > 0)
+        inside = F.transform(ranges, lambda r: F.decode(F.unhex(F.lpad(F.hex(r.low + (code - r.low + by) % r.n), 8, "0")), "UTF-32"))
+        other = F.transform(letters, lambda a: F.substring(a, (F.instr(a, c) - 1 + by) % F.length(a) + 1, F.lit(1)))
+        out = F.when(code < 128, c).otherwise(F.coalesce(F.get(inside, F.lit(0)), F.get(other, F.lit(0)), c))
+    for letters in ALPHABETS[:3]:
         at = F.instr(F.lit(letters), c)
         out = F.when((c != "") & (at > 0), F.substring(F.lit(letters), (at - 1 + by) % len(letters) + 1, F.lit(1))).otherwise(out)
     return out
 
 
-def permuted(value: Column, tweak: Column, key: str) -> Column:
+def permuted(value: Column, tweak: Column, key: str, wide: bool = True) -> Column:
     """A keyed permutation of strings with the same kinds of characters: four rounds of a Feistel network."""
     half = F.length(value) / 2
     start = F.struct(F.substring(value, F.lit(1), F.ceil(half).cast("int")).alias("l"), F.substring(value, F.ceil(half).cast("int") + 1, F.length(value)).alias("r"), tweak.alias("t"))
@@ -64,12 +99,12 @@ def permuted(value: Column, tweak: Column, key: str) -> Column:
     def moved(part: Column, by: Column, tweak: Column, i: Column) -> Column:
         stream = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), by), 256)
         pad = lambda j: F.conv(F.substring(stream, (j * 2) % 62 + 1, F.lit(3)), 16, 10).cast("int")
-        return F.array_join(F.transform(F.split(part, ""), lambda c, j: _moved(c, pad(j))), "")
+        return F.array_join(F.transform(F.split(part, ""), lambda c, j: _moved(c, pad(j), wide)), "")
 
     def step(s: Column, i: Column) -> Column:
-        left = F.when(i % 2 == 1, moved(s.l, s.r, s.t, i)).otherwise(s.l)
-        right = F.when(i % 2 == 0, moved(s.r, s.l, s.t, i)).otherwise(s.r)
-        return F.struct(left.alias("l"), right.alias("r"), s.t.alias("t"))
+        odd = i % 2 == 1
+        new = moved(F.when(odd, s.l).otherwise(s.r), F.when(odd, s.r).otherwise(s.l), s.t, i)
+        return F.struct(F.when(odd, new).otherwise(s.l).alias("l"), F.when(odd, s.r).otherwise(new).alias("r"), s.t.alias("t"))
 
     return F.aggregate(F.array(*map(F.lit, range(4))), start, step, lambda s: F.concat(s.l, s.r))
 
@@ -94,10 +129,14 @@ def _checksum(digits: Column) -> Column:
 def surrogate(value: Column, attempt: Column, key: str) -> Column:
     """Of a value found, by its kind; attempt counts how often one was made before that collided."""
     again = attempt.cast("string")
-    p = lambda v, t="": permuted(v, F.concat(F.lit(t + "/"), again) if isinstance(t, str) else F.concat(t, F.lit("/"), again), key)
+    p = lambda v, t="": permuted(v, F.concat(F.lit(t + "/"), again) if isinstance(t, str) else F.concat(t, F.lit("/"), again), key, t not in ("address", "card", "social", "phone", "account") if isinstance(t, str) else True)
+    more = F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), again, value), 256), 1, 8), "0123456789abcdef", "abcdefghijklmnop")
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     last = F.substring_index(domain, ".", -1)
-    email = F.concat(p(local, F.lower(domain)), F.lit("@"), p(F.substring(domain, F.lit(1), F.length(domain) - F.length(last)), "domain"), last)
+    before = F.substring(domain, F.lit(1), F.length(domain) - F.length(last))
+    fixed = ~F.concat(local, before).rlike(r"[\p{L}\p{N}]")
+    longer = F.when((attempt >= LONGER) | (fixed & (attempt > 0)), more).otherwise("")
+    email = F.concat(p(local, F.lower(domain)), longer, F.lit("@"), p(before, "domain"), last)
     octets = F.split(value, r"\.")
     shift = lambda mine, other, i: F.array_join(
         F.transform(F.split(mine, r"\."), lambda o, j: ((o.cast("int") + F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), again, F.lit(i), other), 256), j * 4 + 1, F.lit(4)), 16, 10).cast("int")) % 256).cast("string")), "."
@@ -124,7 +163,7 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
     latin = F.substring_index(rest, " ", 1).rlike(r"^[\x00-ɏ’]+$")
     family = F.substring_index(rest, " ", -1)
     two = F.concat(title, F.when(latin, first).otherwise(p(F.substring_index(rest, " ", 1), "first")), F.lit(" "), p(family, F.substring_index(rest, " ", 1)))
-    person = F.when(rest.contains(" "), two).otherwise(F.concat(title, p(rest, "family")))
+    person = F.concat(F.when(rest.contains(" "), two).otherwise(F.concat(title, p(rest, "family"))), F.when(attempt >= LONGER, more).otherwise(""))
     k = kind(value)
     return (
         F.when(k == "email", email).when(k == "address", address).when(k == "card", groups).when(k == "social", p(value, "social"))
@@ -141,20 +180,20 @@ def _attempts(values: DataFrame, key: str) -> DataFrame:
     """(value, attempt) of the values whose first surrogate collides; attempt is the first that doesn't.
 
     Two surrogates of one kind collide if they are equal, and one collides with a
-    value of the texts if it equals another's value. Of surrogates that are equal
+    value of the texts if it equals any, its own too. Of surrogates that are equal
     the smallest value keeps its own.
     """
-    tried = written(values.select("value", F.lit(0).alias("attempt")), "attempts")
+    made = written(values.select("value", F.lit(0).alias("attempt"), surrogate(F.col("value"), F.lit(0), key).alias("made")), "surrogates")
     while True:
-        made = written(tried.withColumn("made", surrogate(F.col("value"), F.col("attempt"), key)), "surrogates")
         twice = made.groupBy("made").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).where("n > 1")
         equal = made.join(twice, "made").where(F.col("value") != F.col("first.value")).select("value")
-        real = made.where("made <> value").join(tried.select(F.col("value").alias("made")), "made", "left_semi").select("value")
+        real = made.join(made.select(F.col("value").alias("made")), "made", "left_semi").select("value")
         again = written(equal.unionByName(real).distinct(), "again")
         if again.isEmpty():
-            return tried.where("attempt > 0")
-        again = again.withColumn("again", F.lit(1))
-        tried = written(tried.join(again, "value", "left").select("value", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "attempts")
+            return made.where("attempt > 0").select("value", "attempt")
+        late = made.join(again, "value", "left_semi").select("value", (F.col("attempt") + 1).alias("attempt"))
+        late = late.withColumn("made", surrogate(F.col("value"), F.col("attempt"), key))
+        made = written(made.join(again, "value", "left_anti").unionByName(late), "surrogates")
 
 
 def replaced(docs: DataFrame, key: str = "arcweave") -> DataFrame:

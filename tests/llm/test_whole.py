@@ -1,5 +1,8 @@
 """Whole jobs: what once was cut short."""
 
+import re
+import unicodedata
+
 from arcweave.llm import pii
 
 DOCS = "doc_id long, text string"
@@ -19,3 +22,19 @@ def test_every_value_has_a_cue(spark):
     got = {r.doc_id: r for r in pii.replaced(spark.createDataFrame([(i, f"so {v} it is") for i, v in enumerate(values)], DOCS)).collect()}
     for i, v in enumerate(values):
         assert got[i].n_found == 1 and v not in got[i].text, v
+
+
+def test_no_value_is_its_own_surrogate(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LONGER", 2)
+    odd = ["李明@公司.cn", "김철수@서울.kr", "Mr Արամ Պետրոսյան", "Dr Łł", "Frau Ōō", "Mr Ёё", "Mrs Ήή", "_@-.co", "𠀀@𠀁.cn", "محمد@شركة.com"]
+    short = [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]  # as many as there are: only longer ones are left
+    values = odd + short
+    got = {r.doc_id: r for r in pii.replaced(spark.createDataFrame([(i, f"{v} said") for i, v in enumerate(values)], DOCS)).collect()}
+    new = [got[i].surrogates[0] for i in range(len(values))]
+    assert len(set(new)) == len(values) and not set(new) & set(values)
+    assert all(got[i].text == f"{s} said" for i, s in enumerate(new))
+    assert all(re.fullmatch(pii.EMAIL.replace("\\p{L}\\p{N}", "\\w"), s) for s, v in zip(new, values) if "@" in v)
+    for v, s in zip(odd, new):
+        moved = [(a, b) for a, b in zip(v, s) if ord(a) > 127]
+        assert "_" in v or any(a != b for a, b in moved)
+        assert all(unicodedata.category(a) == unicodedata.category(b) for a, b in moved), (v, s)
