@@ -31,7 +31,7 @@ KINDS = ("assign", "access", "hex", "format")
 CUES = ("passw", "secret", "token", "api")
 #: Tokens that the automata score.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}+")
-#: Credentials of each kind, and other tokens, that the formats are learned from: those of the smallest hash.
+#: Credentials of each kind that the formats are learned from: those of the smallest hash.
 SAMPLE = 1500
 #: Least mean gain in nats a character over ordinary tokens for a span of kind format.
 GAIN = 0.5
@@ -193,10 +193,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def learn(found: DataFrame) -> Model:
-    """Formats of the labelled credentials that scan() found, and of other tokens.
+    """Formats of the labelled credentials that scan() found, and pairs in other tokens.
 
-    Learns from at most SAMPLE different credentials of each kind and SAMPLE other
-    tokens, those of the smallest hashes, counted over all documents.
+    Formats are learned from at most SAMPLE different credentials of each kind, those
+    of the smallest hashes; pairs are counted over all other tokens of all documents,
+    as often as they stand there.
     """
 
     def sample(tokens: DataFrame) -> list[str]:
@@ -208,11 +209,19 @@ def learn(found: DataFrame) -> Model:
         strings = Counter(t.translate(_CLASS) for t in sample(labelled.where(F.col("kind") == k).select("token")))
         if strings:
             formats[kind] = Automaton(strings)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for tokens in b.column(0).to_pylist():
+                for t in tokens:
+                    kinds = t["token"].translate(_CLASS)
+                    seen.update(zip("^" + kinds, kinds + "$"))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["a", "b", "n"])
+
     pairs: dict[str, Counter] = defaultdict(Counter)
-    for t in sample(found.select(F.explode("found").alias("s")).select("s.token")):
-        kinds = t.translate(_CLASS)
-        for a, b in zip("^" + kinds, kinds + "$"):
-            pairs[a][b] += 1
+    for r in found.select("found").where(F.size("found") > 0).mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        pairs[r.a][r.b] = r.n
     return Model(formats, dict(pairs))
 
 

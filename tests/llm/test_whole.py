@@ -2,8 +2,9 @@
 
 import re
 import unicodedata
+from collections import Counter, defaultdict
 
-from arcweave.llm import pii
+from arcweave.llm import pii, secrets
 
 DOCS = "doc_id long, text string"
 
@@ -38,3 +39,19 @@ def test_no_value_is_its_own_surrogate(spark, monkeypatch):
         moved = [(a, b) for a, b in zip(v, s) if ord(a) > 127]
         assert "_" in v or any(a != b for a, b in moved)
         assert all(unicodedata.category(a) == unicodedata.category(b) for a, b in moved), (v, s)
+
+
+# secrets
+
+
+def test_pairs_are_of_all_tokens(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE", 3)
+    texts = [f"see mail{i}.example.com/en/2012 and mail{i % 3}.example.org/{'x' * (i % 7)}now" for i in range(60)] + ["token = ABCDEFGH12345678", ""]
+    want = defaultdict(Counter)
+    for t in texts:
+        for _, token in secrets.candidates(t, secrets.base_spans(t)):
+            kinds = token.translate(secrets._CLASS)
+            for a, b in zip("^" + kinds, kinds + "$"):
+                want[a][b] += 1
+    df = spark.createDataFrame([*enumerate(texts), (None, None)], DOCS)
+    assert secrets.learn(secrets.scan(df)).pairs == want and sum(want["^"].values()) > 100
