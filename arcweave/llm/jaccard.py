@@ -287,9 +287,21 @@ def linked_documents(docs: DataFrame, width: int = 3, share: Fraction = Fraction
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The row of the smallest doc_id of each component, with all columns of docs.
+    """One row of each component of texts, with all columns of docs: of the smallest doc_id, then text hash.
 
-    Documents linked with nothing stay, as do rows without doc_id.
+    Rows without doc_id are linked as others are, and come last. Of rows of equal
+    doc_id and text one stays. Rows without words are linked with nothing and stay.
     """
-    drop = linked_documents(docs, width, share).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_id"], "left_anti")
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")  # one for each doc_id and text, never null
+    keyed = docs.withColumn("_key", key)
+    found = linked_documents(docs.select(key.alias("doc_id"), "text"), width, share).where("n_shingles > 0").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("component"))
+    found = found.groupBy("_key").agg(F.min("component").alias("component"), F.count("*").alias("copies"))
+    rows = keyed.select("_key", "doc_id", F.xxhash64("text").alias("copy")).distinct()
+    members = written(found.join(rows, "_key"), "members")
+    best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", "_key")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    drop = members.join(best.select("component", F.col("best._key").alias("kept")), "component").where("_key <> kept").select("_key")
+    kept = keyed.join(written(drop, "dropped"), "_key", "left_anti")
+    twice = members.where("copies > 1").select("_key")
+    if not twice.isEmpty():
+        kept = kept.join(twice, "_key", "left_anti").unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)

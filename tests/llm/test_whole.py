@@ -4,7 +4,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
-from arcweave.llm import pii, secrets
+from arcweave.llm import jaccard, pii, secrets
 
 DOCS = "doc_id long, text string"
 
@@ -55,3 +55,17 @@ def test_pairs_are_of_all_tokens(spark, monkeypatch):
                 want[a][b] += 1
     df = spark.createDataFrame([*enumerate(texts), (None, None)], DOCS)
     assert secrets.learn(secrets.scan(df)).pairs == want and sum(want["^"].values()) > 100
+
+
+# copies
+
+
+def test_keep_one_of_repeated_and_null_ids(spark):
+    x, y, z, w = ("".join(f"{c}{i} " for i in range(30)) for c in "xyzw")
+    rows = [(1, x), (5, x), (5, y), (9, y), (2, z), (2, z), (None, w), (None, w), (None, w + "more"), (None, z), (7, ""), (7, ""), (8, None)]
+    got = jaccard.keep_one(spark.createDataFrame([(i, t, 3) for i, t in rows], DOCS + ", copies int"))
+    assert got.columns == ["doc_id", "text", "copies"]
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    (last,) = [t for i, t in kept if i is None]
+    assert last in (w, w + "more")
+    assert kept == Counter([(1, x), (5, y), (2, z), (None, last), (7, ""), (7, ""), (8, None)])
