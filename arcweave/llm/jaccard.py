@@ -1,19 +1,22 @@
 """Exact Jaccard join of documents' word shingles, to components of linked documents.
 
-Linked sets share one of their first shingles in any order common to all sets, as
-at most a set share of the shingles can be missing. The order here: shingles by
-hash, and those that stand in the prefixes of many unlike sets last. Lists of the
-sets by prefix shingle are an index in whose lists whole blocks are skipped:
-
-- by set relation: each set is first compared with the set that shares most prefix
-  shingles with it of those that head their lists. If they are linked, that set is
-  its anchor, at a known distance. In a list, the sets of one anchor are a block,
-  and blocks of one component aren't compared;
-- by position and size: a block pair is skipped if no two of its sets can be linked
-  given how many shingles stand before and after the shared one;
-- by derived answers: the Jaccard distance is a metric, so the distance of two
-  anchors bounds that of any two sets anchored there. Only pairs of sets which these
-  bounds leave open are compared themselves.
+Documents of equal sets are one set. A set whose shingles are mostly in no other set
+can't be linked: this is first shown for the lowest hashes of each set, of which a
+linked pair shares a known number, and then for all shingles of the sets that are
+left. What stays is ordered by rarity, the same order for all sets, so that linked
+sets share one of their first shingles; lists of sets by such a shingle are an index
+in which whole blocks are skipped:
+
+- by set relation: each set is compared once with the set that heads most of its
+  lists (heads have the fewest shingles of their own), and hangs on it if they are
+  alike. The difference from its root is then known for every set;
+- by position and size: two sets in a list, or two blocks of sets of one root, are
+  skipped if what stands before and after the shared shingle can't make a link;
+- by derived answers: |A ^ B| = |A ^ R| + |B ^ R| - 2 |(A ^ R) & (B ^ R)|. Sets
+  near enough to the best set of their root are linked with it and done. For others
+  the answers with all sets of the root follow from a join of the differences alone,
+  which have to share a known number of shingles. Between roots the distance, a
+  metric, decides for whole blocks.
 """
 
 from __future__ import annotations
@@ -25,15 +28,12 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.llm.common import BROADCAST_BYTES, written
 from arcweave.llm.components import components
 
-#: Shingles whose lists have more unlike blocks than this go last in the order.
-BLOCKS = 48
-
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -68,41 +68,31 @@ def prefix(n: int, share: Fraction) -> int:
     return n - needed(n, share) + 1
 
 
-def stored(p: int) -> int:
-    """Shingles kept of a set with a prefix of p: some more, for those that go last in the order."""
-    return p + p // 4 + 4
-
-
-def bitmap(s: np.ndarray) -> bytes:
-    """Of each cell of the hashes' range, whether the number of shingles in it is odd; more cells for larger sets."""
-    size = max(11, (len(s) // 2).bit_length())
-    return np.packbits(np.bincount((s >> np.uint64(64 - size)).astype(np.int64), minlength=1 << size) & 1).tobytes()
+def stored(n: int, share: Fraction) -> int:
+    """Lowest hashes kept of a set of n: the prefix, and half as many again and four to spare."""
+    p = prefix(n, share)
+    return min(n, p + p // 2 + 4)
 
 
-def most_alike(n: int, x: bytes, m: int, y: bytes) -> float:
-    """Upper bound of the similarity of two sets: cells of unlike parity hold shingles of one set alone."""
-    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
-    if len(a) != len(b):
-        a, b = sorted((a, b), key=len)
-        b = np.packbits(np.bitwise_xor.reduce(np.unpackbits(b).reshape(len(a) * 8, -1), axis=1))
-    unlike = int(np.bitwise_count(a ^ b).sum())
-    return (n + m - unlike) / (n + m + unlike)
+def shared_least(n: int, share: Fraction) -> int:
+    """Least number of its stored hashes that a set of n shares with those of any linked set, whose size is needed(n) at least."""
+    return min(prefix(needed(n, share), share) // 2 + 5, needed(n, share))
 
 
 def _sets(docs: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """doc_id, n, digest, a parity bitmap, and the first shingles by hash: the prefix and some to spare."""
+    """doc_id, n, digest, the lowest hashes, and how many of these a linked set has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digests, firsts, bits = [], [], [], []
+            n, least, digests, firsts = [], [], [], []
             for text in b.column(1):
                 s = shingles(text.as_py(), width)
-                p = prefix(len(s), share)
-                bits.append(bitmap(s)), n.append(len(s)), digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                firsts.append(s[: stored(p)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "digest", "firsts", "bits"])
+                n.append(len(s)), digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                least.append(shared_least(len(s), share)), firsts.append(s[: stored(len(s), share)].view(np.int64))
+            columns = [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(least, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "least", "firsts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, firsts array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, least long, firsts array<long>")
 
 
 def _bounded(df: DataFrame, row: int) -> DataFrame:
@@ -113,13 +103,21 @@ def _bounded(df: DataFrame, row: int) -> DataFrame:
 class _Join:
     def __init__(self, docs: DataFrame, width: int, share: Fraction):
         self.docs, self.width, self.share = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, share
+        self.num, self.den = share.numerator, share.denominator
         every = written(_sets(docs, width, share), "sets")
-        self.documents = every.drop("firsts", "bits")
-        sets = every.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits"))
+        self.documents = every.select("doc_id", "n", "digest")
+        sets = every.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.first("least").alias("least"), F.first("firsts").alias("firsts"))
         self.sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
 
+    def _needed(self) -> Column:
+        return F.expr(f"(n * {self.num} + {self.den - 1}) div {self.den}")
+
+    def _sum_limit(self, sizes: Column, apart: Column) -> Column:
+        """Whether two sets are linked, by the sum of their sizes and the size of their difference."""
+        return (self.num + self.den) * apart <= (self.den - self.num) * sizes
+
     def hashes(self, ids: DataFrame) -> DataFrame:
-        """(id, blob) of the sets with these distinct ids, made anew from their documents' texts."""
+        """(id, n, tokens) of the sets with these distinct ids, made anew from their documents' texts."""
         width = self.width
         wanted = written(self.sets.select("id", "doc_id", "digest").join(ids, "id"), "wanted")
 
@@ -127,145 +125,166 @@ class _Join:
             for b in batches:
                 found = {}
                 for text, digest, i in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    s = shingles(text.as_py(), width).tobytes()
-                    if hashlib.blake2b(s, digest_size=16).digest() == digest:  # else another text of the same doc_id
-                        found[i] = s
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(found.values(), pa.binary())], ["id", "blob"])
-
-        return self.docs.join(_bounded(wanted, 60), "doc_id").select("text", "digest", "id").mapInArrow(run, "id long, blob binary")
-
-    def compared(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, common, total) of distinct pairs (a, b, far): sizes of intersection and union.
-
-        Without the pairs whose bitmaps show that their distance is greater than
-        that of linked sets by more than far. The first set of each other pair goes
-        to the second, with which a join meets that can be split.
+                    s = shingles(text.as_py(), width)
+                    if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:  # else another text of the same doc_id
+                        found[i] = s.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(map(len, found.values()), pa.int64()), pa.array(found.values(), pa.list_(pa.int64()))], ["id", "n", "tokens"])
+
+        found = self.docs.join(_bounded(wanted, 60), "doc_id").select("text", "digest", "id").mapInArrow(run, "id long, n long, tokens array<long>")
+        twice = self.documents.where("doc_id is not null").groupBy("doc_id", "digest").count().where("count > 1")
+        return found if twice.isEmpty() else found.groupBy("id", "n").agg(F.first("tokens").alias("tokens"))
+
+    def candidates(self) -> DataFrame:
+        """(id, n, tokens) of the sets that share enough of their stored hashes with others."""
+        rows = self.sets.select("id", F.explode("firsts").alias("token"))
+        many = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+        shared = rows.join(many, "token").groupBy("id").agg(F.count("*").alias("k"))
+        ids = self.sets.select("id", "least").join(shared, "id").where("k >= least").select("id")
+        return written(self.hashes(ids), "candidates")
+
+    def _shared(self, rows: DataFrame) -> DataFrame:
+        """(id, n, shared) of the sets (id, n, token) of whose shingles enough are in others: these, rarest first."""
+        many = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        kept = rows.join(many, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+        return kept.where(F.size("shared") >= self._needed())
+
+    def apart(self, pairs: DataFrame, keep: bool = False) -> DataFrame:
+        """(a, b, sizes, apart) of distinct pairs: sum of sizes and size of the difference; with keep, the difference too, if it's under a third of the sum.
+
+        The first set of each pair goes to the second, with which a join meets that can be split.
         """
-        bits = self.sets.select("id", "n", "bits")
-        for end in ("a", "b"):
-            pairs = pairs.join(bits.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
-        limit = float(1 - self.share) + 1e-9
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.select(["a", "b"]).filter(pa.array([1 - most_alike(n, x, m, y) <= limit + far for far, n, x, m, y in zip(*(b.column(c).to_pylist() for c in ("far", "n_a", "bits_a", "n_b", "bits_b")))], pa.bool_()))
-
-        pairs = written(pairs.select("a", "b", "far", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(near, "a long, b long"), "pairs")
-        first = self.hashes(pairs.select(F.col("a").alias("id")).distinct()).join(_bounded(pairs.select(F.col("a").alias("id"), "b"), 40), "id").select(F.col("id").alias("a"), "b", F.col("blob").alias("x"))
-        second = self.hashes(pairs.select(F.col("b").alias("id")).distinct()).select(F.col("id").alias("b"), F.col("blob").alias("y"))
+        first = self.whole.join(_bounded(pairs.select(F.col("a").alias("id"), "b"), 40), "id").select(F.col("id").alias("a"), "b", F.col("tokens").alias("x"))
+        second = self.whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")).join(_bounded(pairs.select("b").distinct(), 24), "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                common, total = [], []
+                sizes, apart, kept = [], [], []
                 for x, y in zip(b.column(2), b.column(3)):
-                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                    both = np.sort(np.concatenate([x, y]))
-                    c = int((both[1:] == both[:-1]).sum())
-                    common.append(c), total.append(len(both) - c)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
+                    d = np.setxor1d(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False), assume_unique=True)
+                    sizes.append(len(x) + len(y)), apart.append(len(d))
+                    kept.append(d if keep and 3 * len(d) <= sizes[-1] else None)
+                columns = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(apart, pa.int64()), pa.array(kept, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "sizes", "apart", "diff"])
 
         met = first.join(second, "b").select("a", "b", "x", "y")
-        return written(met.mapInArrow(run, "a long, b long, common long, total long").distinct(), "compared")
+        return written(met.mapInArrow(run, "a long, b long, sizes long, apart long, diff array<long>"), "apart")
 
-    def linked(self, compared: DataFrame) -> DataFrame:
-        return compared.where(F.col("common") * self.share.denominator >= F.col("total") * self.share.numerator)
-
-    def links(self) -> DataFrame:
-        """Links (a, b) between sets, enough for the components to be those of all links."""
-        rows = self.sets.select("id", F.posexplode("firsts").alias("i", "token"))
-        lists = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("id").alias("head")).where("df > 1")
-        rows = written(rows.join(lists.drop("df"), "token"), "index")
-        # set relations: the head that shares most prefix shingles
+    def _hung(self, rows: DataFrame) -> DataFrame:
+        """(id, root, diff) of the sets that hang on a root: the difference from it."""
         votes = rows.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("votes"))
         heads = votes.groupBy("id").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("head"))
-        near = self.linked(self.compared(heads.select(F.col("id").alias("a"), F.col("head").alias("b"), F.lit(0.0).alias("far"))))
-        links = near.select("a", "b")
-        part = written(components(links), "components")
-        anchors = near.select(F.col("a").alias("id"), F.col("b").alias("anchor"), (1 - F.col("common") / F.col("total")).alias("d"))
-        known = part.select(F.col("node").alias("id"), F.col("component").alias("part")).join(anchors, "id", "left")
-        known = self.sets.select("id", "n").join(known, "id", "left")
-        rows = rows.select("token", "id", "i").join(known, "id").select(
-            "token", "id", "n", "i", F.coalesce("part", "id").alias("part"), F.coalesce("anchor", "id").alias("anchor"), F.coalesce("d", F.lit(0.0)).alias("d")
-        )
-        rows = written(rows, "anchored")
-        blocks = rows.groupBy("token", "anchor", "part").agg(F.count("*").alias("sets")).groupBy("token").agg(F.count("*").alias("blocks"), F.min("part").alias("p0"), F.max("part").alias("p1"))
-        blocks = written(blocks.where("p0 <> p1").select("token", (F.col("blocks") > BLOCKS).alias("late")), "unlike")
-        rows = rows.join(blocks, "token")
-        # places in the order with late shingles last, of which those in the spare part of the list are known
-        late = rows.where("late").groupBy("id").agg(F.sort_array(F.collect_list("i")).alias("late_at"))
-        placed = rows.join(late, "id", "left").withColumn("before", F.coalesce(F.size(F.filter("late_at", lambda j: j < F.col("i"))), F.lit(0)))
-        p = F.expr(self._sql_prefix("n"))
-        early = placed.where(~F.col("late")).withColumn("at", F.col("i").cast("long") - F.when(F.col("late_at").isNull(), 0).otherwise(F.col("before"))).where(F.col("at") < p)
-        stored = F.least(F.col("n"), p + F.floor(p / 4) + 4)
-        short = late.join(self.sets.select("id", "n"), "id").where(stored - F.size("late_at") < p).select("id")
-        short = written(short, "short")
-        columns = ["token", "id", "n", "first", "last", "part", "anchor", "d"]
-        early = early.withColumn("first", F.col("at")).withColumn("last", F.col("at")).select(*columns)
-        if not short.isEmpty():
-            early = early.unionByName(self._whole(short, blocks, known, columns))
-        early = written(early.distinct(), "prefixes")
-        return self._open_pairs(early, links)
-
-    def _sql_prefix(self, n: str) -> str:
-        a, b = self.share.numerator, self.share.denominator
-        return f"({n} - ({n} * {a} + {b - 1}) div {b} + 1)"
-
-    def _whole(self, short: DataFrame, blocks: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
-        """Prefixes of sets in whose stored shingles too many go last: from all their shingles; and what they meet."""
+        near = self.apart(written(heads.select(F.col("id").alias("a"), F.col("head").alias("b")), "heads"), keep=True).where("diff is not null")
+        hung = near.select(F.col("a").alias("id"), F.col("b").alias("root"), "diff")
+        while True:  # a head precedes all sets that hang on it, so the chains end, and halve each time
+            up = hung.select(F.col("id").alias("root"), F.col("root").alias("above"), F.col("diff").alias("more"))
+            if hung.join(up, "root", "left_semi").isEmpty():
+                return hung
+            both = F.array_union(F.array_except("diff", "more"), F.array_except("more", "diff"))
+            hung = written(hung.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.when(F.col("above").isNull(), F.col("diff")).otherwise(both).alias("diff")), "hung")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(v.as_buffer(), np.int64) for v in b.column(1)], pa.list_(pa.int64()))], ["id", "tokens"])
-
-        tokens = self.hashes(short).mapInArrow(run, "id long, tokens array<long>").select("id", F.posexplode("tokens").alias("i", "token"))
-        tokens = written(tokens.join(blocks.where("late"), "token", "left").withColumn("late", F.coalesce("late", F.lit(False))), "whole")
-        late = tokens.where("late").groupBy("id").agg(F.sort_array(F.collect_list("i")).alias("late_at"))
-        tokens = tokens.join(known.select("id", "n"), "id")
-        before = F.coalesce(F.size(F.filter("late_at", lambda j: j < F.col("i"))), F.lit(0))
-        at = F.when(F.col("late"), F.col("n") - F.size("late_at") + before).otherwise(F.col("i") - F.when(F.col("late_at").isNull(), 0).otherwise(before))
-        mine = tokens.join(late, "id", "left").withColumn("at", at).where(F.col("at") < F.expr(self._sql_prefix("n")))
-        # any other set's stored shingle that is such a prefix shingle and isn't late, at whatever place it may have
-        keys = mine.where(~F.col("late")).select("token").distinct()
-        others = self.sets.select("id", F.explode("firsts").alias("token")).join(keys, "token")
-        both = mine.select("token", "id", F.col("at").alias("first"), F.col("at").alias("last")).unionByName(others.select("token", "id", F.lit(0).alias("first"), F.lit(None).alias("last"))).join(known, "id")
-        return both.select("token", "id", "n", F.col("first").cast("long").alias("first"), F.coalesce("last", "n").alias("last"), F.coalesce("part", "id").alias("part"), F.coalesce("anchor", "id").alias("anchor"), F.coalesce("d", F.lit(0.0)).alias("d")).select(*columns)
-
-    def _possible(self, a, b):
+    def links(self) -> DataFrame:
+        """Links (a, b) between sets, enough for the components to be those of all links."""
+        self.whole = self.candidates()
+        shared = written(self._shared(self.whole.select("id", "n", F.explode("tokens").alias("token"))), "shared")
+        shared = written(self._shared(shared.select("id", "n", F.explode("shared.token").alias("token"))), "shared")
+        self.whole = written(self.whole.join(shared.select("id"), "id", "left_semi"), "whole")
+        # i: place among the shared shingles, before which the set's own stand; own and i make the place in the order
+        own = F.col("n") - F.size("shared")
+        first = F.slice("shared", 1, (F.col("n") - self._needed() + 1 - own).cast("int"))
+        index = shared.select("id", "n", own.alias("own"), F.posexplode(first).alias("i", "s")).select("id", "n", "own", "i", (F.col("n") - F.col("own") - F.col("i") - 1).alias("rest"), F.col("s.token").alias("token"))
+        index = written(index, "index")
+        lists = index.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("own", "id")).alias("head")).where("sets > 1")
+        rows = written(index.join(lists.select("token", F.col("head.id").alias("head")), "token"), "lists")
+
+        hung = self._hung(rows)
+        all_sets = rows.select("id", "n").distinct()
+        known = all_sets.join(hung, "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("diff", F.array().cast("array<long>")).alias("diff"))
+        # over + over of two sets of a root, less 2 (num + den) of each shared shingle of their differences, is 0 or less for linked sets
+        known = written(known.withColumn("over", (self.num + self.den) * F.size("diff").cast("long") - (self.den - self.num) * F.col("n")), "known")
+        best = known.groupBy("root").agg(F.min(F.struct("over", "id")).alias("best"), F.count("*").alias("sets")).where("sets > 1").select("root", "best")
+        met = written(known.join(best, "root").withColumn("open", F.col("over") + F.col("best.over") > 0), "met")
+        links = written(met.where("not open and id <> best.id").select(F.col("id").alias("a"), F.col("best.id").alias("b")), "links-of-roots")
+        links = links.unionByName(self._within(met))
+        return links.unionByName(self._between(rows.select("token", "id", "n", "i", "rest"), known, links))
+
+    def _within(self, met: DataFrame) -> DataFrame:
+        """Links of the sets left open with any set of the same root, by the shingles that their differences share."""
+        unit = 2 * (self.num + self.den)
+        roots = met.groupBy("root").agg(F.min("over").alias("low"), F.min(F.when(F.col("open"), F.col("over"))).alias("low_open")).where("low_open is not null")
+        # an open set can be linked with any, another set with open ones: shared shingles needed at least
+        low = F.when(F.col("open"), F.col("low")).otherwise(F.col("low_open"))
+        rows = met.drop("best", "n").join(_bounded(roots, 40), "root").withColumn("least", F.greatest(F.lit(1), F.ceil((F.col("over") + low) / unit))).where(F.size("diff") >= F.col("least"))
+        rows = written(rows.select("root", "id", "over", "open", "least", F.explode("diff").alias("token")), "differences")
+        for _ in range(2):
+            several = rows.groupBy("root", "token").agg(F.count("*").alias("df"), F.sum(F.col("open").cast("int")).alias("opened")).where("df > 1 and opened > 0")
+            kept = rows.join(several, ["root", "token"]).groupBy("root", "id", "over", "open", "least").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+            kept = written(kept.where(F.size("shared") >= F.col("least")), "differences")
+            rows = kept.select("root", "id", "over", "open", "least", F.explode("shared.token").alias("token"))
+        if kept.isEmpty():
+            return kept.select(F.col("id").alias("a"), F.col("id").alias("b"))
+        index = kept.select("root", "id", "over", "open", F.size("shared").alias("k"), F.explode(F.slice("shared", 1, (F.size("shared") - F.col("least") + 1).cast("int"))).alias("s")).select("root", "id", "over", "open", "k", F.col("s.token").alias("token"))
+        index = written(index, "differences-index")
+        diffs = kept.select("id", "over", F.col("shared.token").alias("diff"))
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            for end in ("a", "b"):
+                pairs = pairs.join(diffs.select(F.col("id").alias(end), F.col("over").alias(f"over_{end}"), F.col("diff").alias(f"diff_{end}")), end)
+            return written(pairs.where(unit * F.size(F.array_intersect("diff_a", "diff_b")) >= F.col("over_a") + F.col("over_b")).select("a", "b"), "links-of-differences")
+
+        # open sets are first compared with the open set that heads most of their lists, then only sets of unlike components
+        heads = index.where("open").groupBy("root", "token").agg(F.min(F.struct("over", "id")).alias("head"), F.count("*").alias("sets")).where("sets > 1")
+        votes = index.where("open").join(heads, ["root", "token"]).where("id <> head.id").groupBy("id", F.col("head.id").alias("head")).agg(F.count("*").alias("votes"))
+        links = linked(votes.groupBy("id").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("b")).select(F.col("id").alias("a"), "b"))
+        part = components(links).withColumnRenamed("node", "id")
+        rows = written(index.join(part, "id", "left").select("root", "token", F.struct("id", "over", "open", "k", F.coalesce("component", F.when(F.col("open"), F.col("id")).otherwise(-1)).alias("part")).alias("set")), "differences-parts")
+        unlike = rows.groupBy("root", "token").agg(F.min("set.part").alias("p0"), F.max("set.part").alias("p1")).where("p0 <> p1").select("root", "token")
+        rows = rows.join(unlike, ["root", "token"])
+        x, y = rows.where("set.open").withColumnRenamed("set", "x"), rows.withColumnRenamed("set", "y")
+        pairs = x.join(y, ["root", "token"]).where("x.part <> y.part and (not y.open or x.id < y.id)").where(unit * F.least("x.k", "y.k") >= F.col("x.over") + F.col("y.over"))
+        return links.unionByName(linked(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
+
+    def _possible(self, a: str, b: str) -> Column:
         """Whether two sets, or blocks of sets, can be linked that share a shingle, by size and place."""
-        num, den = self.share.numerator, self.share.denominator
+        num, den = self.num, self.den
         sizes = (F.col(f"{a}.high") * den >= F.col(f"{b}.low") * num) & (F.col(f"{b}.high") * den >= F.col(f"{a}.low") * num)
-        # common <= what stands before on the side with less of it, the shingle, and what stands after likewise
-        least = (F.col(f"{a}.low") + F.col(f"{b}.low")) * num / (num + den)
-        most = F.least(F.col(f"{a}.last"), F.col(f"{b}.last")) + F.least(F.col(f"{a}.high") - F.col(f"{a}.first"), F.col(f"{b}.high") - F.col(f"{b}.first"))
-        return sizes & (most + 1e-9 >= least)
-
-    def _open_pairs(self, rows: DataFrame, links: DataFrame) -> DataFrame:
-        block = F.struct("anchor", "part", "low", "high", "first", "last", "far")
-        lists = rows.groupBy("token", "anchor", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("d").alias("far"))
-        lists = lists.groupBy("token").agg(F.sort_array(F.collect_list(block)).alias("blocks")).where(F.size("blocks") > 1)
-        pairs = lists.select(F.explode("blocks").alias("x"), "blocks").select("x", F.explode("blocks").alias("y")).where(F.col("x.anchor") < F.col("y.anchor")).where("x.part <> y.part").where(self._possible("x", "y"))
-        anchors = written(pairs.groupBy(F.col("x.anchor").alias("a"), F.col("y.anchor").alias("b")).agg(F.max(F.col("x.far") + F.col("y.far")).alias("far")), "anchor-pairs")
-        answers = self.compared(anchors)
-        links = links.unionByName(self.linked(answers).select("a", "b"))
-        # derived answers: the sets of two anchors may be linked only if these are near enough
-        limit = float(1 - self.share)
-        near = answers.join(anchors, ["a", "b"]).withColumn("gap", 1 - F.col("common") / F.col("total")).where(F.col("gap") - F.col("far") <= limit + 1e-9).where("far > 0").select("a", "b", "gap")
-        near = written(near, "near-anchors")
-        if near.isEmpty():
-            return links
+        # what is shared before the shingle, itself, and what is shared after it
+        most = F.least(F.col(f"{a}.before"), F.col(f"{b}.before")) + 1 + F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest"))
+        return sizes & (most * (num + den) >= (F.col(f"{a}.low") + F.col(f"{b}.low")) * num)
+
+    def _between(self, rows: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
+        """Links of sets of different roots that share a prefix shingle."""
         part = components(links).withColumnRenamed("node", "id")
-        member = rows.drop("part").join(part, "id", "left").select("token", "anchor", "id", F.coalesce("component", "id").alias("part"), "d", F.col("n").alias("low"), F.col("n").alias("high"), "first", "last")
-        left = near.join(member.select(F.col("anchor").alias("a"), "token", F.struct(*member.columns).alias("x")), "a")
-        both = left.join(member.select(F.col("anchor").alias("b"), "token", F.struct(*member.columns).alias("y")), ["b", "token"]).where("x.part <> y.part").where(F.col("gap") - F.col("x.d") - F.col("y.d") <= limit + 1e-9).where(self._possible("x", "y"))
-        sets = both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a <> b").distinct().join(answers, ["a", "b"], "left_anti").withColumn("far", F.lit(0.0))
-        return links.unionByName(self.linked(self.compared(sets)).select("a", "b"))
+        root_n = known.where("id = root").select("root", F.col("n").alias("root_n"))
+        far = F.size("diff") * 2 / (F.col("n") + F.col("root_n") + F.size("diff"))
+        known = written(known.join(root_n, "root").join(part, "id", "left").select("id", "root", far.alias("d"), F.coalesce("component", "id").alias("part")), "parts")
+        rows = rows.join(known, "id")
+        blocks = rows.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("i").alias("before"), F.max("rest").alias("rest"), F.max("d").alias("far"), F.min("part").alias("p0"), F.max("part").alias("p1"))
+        blocks = written(blocks, "blocks")
+        several = blocks.groupBy("token").agg(F.count("*").alias("blocks")).where("blocks > 1").select("token")
+        blocks = blocks.join(several, "token").select("token", F.struct("root", "low", "high", "before", "rest", "far", "p0", "p1").alias("x"))
+        met = blocks.join(blocks.withColumnRenamed("x", "y"), "token").where("x.root < y.root and not (x.p0 = x.p1 and y.p0 = y.p1 and x.p0 = y.p0)").where(self._possible("x", "y"))
+        roots = written(met.groupBy(F.col("x.root").alias("a"), F.col("y.root").alias("b")).agg(F.max(F.col("x.far") + F.col("y.far")).alias("far")), "roots")
+        answers = self.apart(roots)
+        found = answers.where(self._sum_limit(F.col("sizes"), F.col("apart"))).select("a", "b")
+        # the sets of two roots may be linked only if these are near enough
+        limit = float(1 - self.share) + 1e-9
+        gap = F.col("apart") * 2 / (F.col("sizes") + F.col("apart"))
+        near = written(answers.join(roots, ["a", "b"]).withColumn("gap", gap).where("far > 0").where(F.col("gap") - F.col("far") <= limit).select("a", "b", "gap"), "near-roots")
+        if near.isEmpty():
+            return found
+        member = rows.select("token", "root", F.struct("id", "part", "d", F.col("n").alias("low"), F.col("n").alias("high"), F.col("i").alias("before"), "rest").alias("x"))
+        left = near.join(member.withColumnRenamed("root", "a"), "a")
+        both = left.join(member.select("token", F.col("root").alias("b"), F.col("x").alias("y")), ["b", "token"]).where("x.part <> y.part").where(F.col("gap") - F.col("x.d") - F.col("y.d") <= limit).where(self._possible("x", "y"))
+        pairs = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        answers = self.apart(written(pairs.join(answers, ["a", "b"], "left_anti"), "pairs"))
+        return found.unionByName(answers.where(self._sum_limit(F.col("sizes"), F.col("apart"))).select("a", "b"))
 
     def result(self) -> DataFrame:
         part = components(self.links())
         sets = self.sets.select("id", "digest", "doc_id").join(part.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         lowest = sets.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         of = written(sets.join(lowest, "component").select("digest", "component_id"), "of-sets")
-        found = self.documents.select("doc_id", "n", "digest").join(of, "digest", "left")
+        found = self.documents.join(of, "digest", "left")
         own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -280,8 +299,9 @@ def linked_documents(docs: DataFrame, width: int = 3, share: Fraction = Fraction
     rows. Columns besides doc_id and text aren't read.
 
     Documents of equal sets are one from the first step on, so copies are never
-    paired. No list is paired out: pairs are made between blocks of unlike sets, at
-    most BLOCKS of a list, and between sets that the bounds leave open.
+    paired. Near copies are compared with one set each; other pairs are made only
+    between sets, or blocks of sets, that the bounds leave open. A text is read in
+    one task, whatever its length, and stands there as one array of hashes.
     """
     return _Join(docs, width, share).result()
 

@@ -253,9 +253,8 @@ def brute_components(rows, width, share):
     return {i: (len(s), low[i]) for i, s in sets}
 
 
-@pytest.mark.parametrize(("blocks", "width", "share"), [(1, 3, Fraction(9, 10)), (12, 5, Fraction(4, 5))])
-def test_jaccard(spark, monkeypatch, blocks, width, share):
-    monkeypatch.setattr(jaccard, "BLOCKS", blocks)
+@pytest.mark.parametrize(("width", "share"), [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
+def test_jaccard(spark, width, share):
     rng = np.random.default_rng(5)
     text = lambda n: [f"w{x}" for x in rng.integers(0, 4000, n)]
     passage, rows = text(60), []
@@ -283,13 +282,55 @@ def test_jaccard_edges(spark):
     assert jaccard.linked_documents(df.limit(0)).count() == 0
 
 
-def test_bitmap_bound():
-    rng = np.random.default_rng(1)
-    for _ in range(200):
-        a, b = (np.unique(rng.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in rng.integers(1, 6000, 2))
-        b = np.unique(np.concatenate([b, rng.choice(a, len(a) // 2)]))
-        both = len(np.intersect1d(a, b))
-        assert jaccard.most_alike(len(a), jaccard.bitmap(a), len(b), jaccard.bitmap(b)) >= both / (len(a) + len(b) - both) - 1e-12
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_of_versions(spark, seed):
+    """Copies of copies: several versions of a base text, each with near copies of its own, and pieces shared by all."""
+    rng = np.random.default_rng(seed)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+
+    def edited(words, edits, of):
+        words = list(words)
+        for _ in range(edits):
+            i = int(rng.integers(len(words)))
+            words[i : i + int(rng.integers(0, 2))] = [f"e{rng.integers(of)}"]
+        return words
+
+    rows, piece = [], text(30)
+    for g in range(3):
+        base = text(int(rng.integers(60, 200))) + piece * (g % 2)
+        for _ in range(4):
+            version = edited(base, int(rng.integers(0, 9)), 40)
+            rows += [edited(version, int(rng.integers(0, 5)), 40 if g else 10**6) for _ in range(8)]
+    rows = list(enumerate(" ".join(r) for r in rows))
+    for width, share in ((3, Fraction(9, 10)), (2, Fraction(3, 4))):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_documents(docs_of(spark, rows), width, share).collect()}
+        assert got == brute_components(rows, width, share)
+
+
+def test_pairs_grow_with_near_copies(spark, monkeypatch):
+    """Texts compared with each other in a group of near copies, most of them too far apart to be linked."""
+    compared, plain = [], jaccard._Join.apart
+    monkeypatch.setattr(jaccard._Join, "apart", lambda self, pairs, keep=False: compared.append(pairs.count()) or plain(self, pairs, keep))
+    rng, counts = np.random.default_rng(3), []
+    base = [f"w{i}" for i in range(300)]
+    for size in (300, 1500):
+        rows = []
+        for i in range(size):
+            words = list(base)
+            for at in rng.integers(0, 300, int(rng.integers(0, 14))):
+                words[at] = f"e{rng.integers(10**9)}"
+            rows.append((i, " ".join(words)))
+        compared.clear()
+        got = {r.doc_id: r.component_id for r in jaccard.linked_documents(docs_of(spark, rows)).collect()}
+        counts.append(sum(compared))
+        sets = [set(zip(t.split(), t.split()[1:], t.split()[2:])) for _, t in rows]
+        assert 1 < Counter(got.values()).most_common(1)[0][1] < size
+        hub = min(range(size), key=lambda i: len(sets[i] - set(zip(base, base[1:], base[2:]))))
+        for i in range(size):  # what is linked with the best copy is in its component
+            both = len(sets[i] & sets[hub])
+            if 10 * both >= 9 * (len(sets[i]) + len(sets[hub]) - both):
+                assert got[i] == got[hub]
+    assert counts[1] <= 8 * counts[0] and counts[1] <= 3 * 1500, counts
 
 
 # language model
