@@ -32,6 +32,8 @@ BUCKETS = 63
 HELD = 1 << 16
 #: Documents of the first model: those whose ids have the smallest hashes.
 FIRST = 3000
+#: Tokens of these documents at most, but of the first.
+FIRST_TOKENS = 8_000_000
 #: Rates of the first model, and of the pass over everything.
 RATES = (0.01, 0.004)
 
@@ -133,42 +135,75 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(held, np.array([c for c, _ in top], np.int64), tokens, of_bucket, seen, place[0, END], total, kinds, rest)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: int, most: int = 3_000_000) -> Iterator[list]:
-    """Rows read by v, in groups of about so many tokens at most: (row, tokens, places, other words)."""
-    group, n = [], 0
+def read(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """Each row of docs read once: the model's tokens, what counts alone give, and the words that v doesn't hold.
+
+    known, base: of the words held. more: their shares of their buckets, of the words held and of all bucket totals.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = np.log(v.counts + 1.0)
+        outside = np.where(np.isin(v.tokens, v.of_bucket), logs, 0.0)
+        shares = np.zeros(gru.SIZE)
+        shares[v.of_bucket] = np.log(v.rest)
+        seen = v.counts > 0
+        for b in batches:
+            rows, other, times, ends = [], [], [], [0]
+            for text in b.column(2):
+                ids, at, rare = v.read(text.as_py())
+                rows.append((ids.tobytes(), len(ids), int(np.count_nonzero(seen[at])), logs[at].sum(), outside[at].sum() - shares[ids].sum()))
+                found = Counter(rare)
+                other += found.keys()
+                times += found.values()
+                ends.append(len(other))
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            pairs = pa.StructArray.from_arrays([pa.array(other, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+            columns = [b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows), types)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "ids", "n_tokens", "known", "base", "more", "rare"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7, 2).alias("held_out"), "text")
+    read = rows.mapInArrow(run, "doc_id long, held_out boolean, ids binary, n_tokens long, known long, base double, more double, rare array<struct<word:binary,n:long>>")
+    return written(read.withColumn("row", F.monotonically_increasing_id()), "lm-tokens")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Batches and the tokens in their last column, in groups of about so many tokens at most."""
+    held, ids, n = [], [], 0
     for b in batches:
-        for i in range(b.num_rows):
-            group.append((b, i, *v.read(b.column(column)[i].as_py())))
-            n += len(group[-1][2])
+        for a in range(0, b.num_rows, 256):
+            held.append(b.slice(a, 256))
+            ids += [np.frombuffer(x.as_buffer(), np.int16) for x in held[-1].column(b.num_columns - 1)]
+            n += sum(map(len, ids[-held[-1].num_rows :]))
             if n >= most:
-                yield group
-                group, n = [], 0
-    if group:
-        yield group
+                yield held, ids
+                held, ids, n = [], [], 0
+    if held:
+        yield held, ids
 
 
-def train(docs: DataFrame, v: Vocabulary) -> np.ndarray:
-    """Weights: a first model on the driver, a pass over all of docs, and the average of its tasks."""
-    flat = gru.initial(v.seen)
-    first = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(FIRST)
-    sample = docs.join(F.broadcast(first.select("doc_id")), "doc_id", "left_semi").select("text")  # FIRST ids at most
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _batches(batches, v, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([g[2].tobytes() for g in group], pa.binary())], ["ids"])
+def train(known: DataFrame, v: Vocabulary) -> np.ndarray:
+    """Weights: a first model on the driver, a pass over all rows of known, and the average of its tasks.
 
-    found = sorted(bytes(r.ids) for r in sample.mapInArrow(tokens, "ids binary").collect())
-    np.random.default_rng(2).shuffle(found)
+    known: doc_id, n_tokens and ids, as read() gives them.
+    """
+    flat = gru.initial(v.seen)
+    hashed = known.withColumn("h", F.xxhash64("doc_id"))
+    chosen, most = [], 0
+    for r in hashed.groupBy("h", "doc_id").agg(F.sum("n_tokens").alias("n")).orderBy("h", "doc_id").limit(FIRST).collect():
+        if most + r.n <= FIRST_TOKENS or not chosen:
+            chosen.append(r.h)
+            most += r.n
+    found = sorted(bytes(r.ids) for r in hashed.where(F.col("h").isin(chosen)).select("ids").collect())
     if not found:
         return flat
-    texts = [np.frombuffer(x, np.int16) for x in found]
+    found = [np.frombuffer(found[i], np.int16) for i in np.random.default_rng(2).permutation(len(found))]
     for rate in RATES:
-        gru.train(flat, texts, v.end, rate)
+        gru.train(flat, found, v.end, rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = flat.copy(), 0
-        for group in _batches(batches, v, 0):
-            n += gru.train(own, [g[2] for g in group], v.end, RATES[1])
+        for _, ids in _groups(batches):
+            n += gru.train(own, ids, v.end, RATES[1])
         if n:
             parts = [own[a : a + _BLOCK].astype(np.float64) * n for a in range(0, len(own), _BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "n", "part"])
@@ -183,7 +218,7 @@ def train(docs: DataFrame, v: Vocabulary) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["block", "n", "part"])
 
     schema = "block int, n long, part binary"
-    parts = docs.select("text").mapInArrow(run, schema)
+    parts = known.select("ids").mapInArrow(run, schema)
     for deal in (["block", F.rand(3)], ["block"]):  # so that no task adds up a block of every task
         parts = parts.repartition(*deal).mapInArrow(add, schema)
     for r in parts.collect():  # the size of one model
@@ -202,46 +237,34 @@ def score(docs: DataFrame) -> DataFrame:
 
     Counts of frequent words are held by every worker, HELD at most; the others of
     each document are joined with all counts, so no worker holds what grows with
-    the corpus.
+    the corpus. Texts are split into words twice, for the counts and then for the
+    model's tokens, which are written, trained on and scored. A very long text is
+    one lane of its task: its words are scored one after another, in memory of a
+    few bytes a word.
     """
-    known = docs.where(~held_out(F.col("doc_id"), 7, 2)).select("doc_id", "text")
-    counts = written(count_words(known), "word-counts")
+    counts = written(count_words(docs.where(~held_out(F.col("doc_id"), 7, 2))), "word-counts")
     v = vocabulary(counts)
-    flat = train(known, v)
+    tokens = read(docs, v)
+    flat = train(tokens.where(~F.col("held_out")).select("doc_id", "n_tokens", "ids"), v)
+    least = math.log(v.total + v.kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = math.log(v.total + v.kinds + 1)
-        logs = np.log(v.counts + 1.0)
-        inside = ~np.isin(v.tokens, v.of_bucket)
-        shares = np.zeros(gru.SIZE)
-        shares[v.of_bucket] = np.log(v.rest)
-        for group in _batches(batches, v, 1):
-            scores = gru.score(flat, [g[2] for g in group], v.end)
-            rows, other, times, ends = [], [], [], [0]
-            for (b, i, ids, at, rare), s in zip(group, scores):
-                own = logs[at]
-                s += own[~inside[at]].sum() - shares[ids].sum()
-                rows.append((b.column(0)[i].as_py(), len(ids), int((v.counts[at] > 0).sum()), own.sum() - least * len(ids), s))
-                found = Counter(rare)
-                other += found.keys()
-                times += found.values()
-                ends.append(len(other))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            pairs = pa.StructArray.from_arrays([pa.array(other, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
-
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    more = rare.join(counts, "word").groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("logs"))
-    ten = F.lit(math.log(10))
-    return scored.drop("rare").join(more, "row", "left").select(
+        for held, ids in _groups(batches):
+            scores, at = gru.score(flat, ids, v.end), 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores[at : at + b.num_rows], pa.float64())], ["row", "model"])
+                at += b.num_rows
+
+    model = tokens.select("row", "ids").mapInArrow(run, "row long, model double")
+    rare = tokens.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    more = rare.join(counts, "word").groupBy("row").agg(F.sum("n").alias("known_rare"), F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("logs"))
+    ten, logs = F.lit(math.log(10)), F.coalesce("logs", F.lit(0.0))
+    return tokens.drop("ids", "rare").join(model, "row").join(more, "row", "left").select(
         "doc_id",
-        held_out(F.col("doc_id"), 7, 2).alias("held_out"),
+        "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        (F.col("known") + F.coalesce("known_rare", F.lit(0))).alias("n_known"),
         F.lit(v.total).cast("long").alias("train_tokens"),
-        ((F.col("base") + F.coalesce("logs", F.lit(0.0))) / ten).alias("base_score"),
-        ((F.col("score") + F.coalesce("logs", F.lit(0.0))) / ten).alias("score"),
+        ((F.col("base") - least * F.col("n_tokens") + logs) / ten).alias("base_score"),
+        ((F.col("model") + F.col("more") + logs) / ten).alias("score"),
     )

@@ -368,6 +368,55 @@ def test_gru_learns_and_carries():
     assert np.allclose(wide, narrow, rtol=1e-4)
 
 
+def naive_loss(flat, docs, end):
+    """Sum of negative log probabilities, one word at a time."""
+    w, total, size = gru.views(flat), 0.0, gru.HIDDEN
+    for doc in docs:
+        h, last = np.zeros(size), end
+        for y in doc:
+            x, hu = w["e"][last] + w["b"], h @ w["u"]
+            z, r = (1 / (1 + np.exp(-(x + hu)[k * size : (k + 1) * size])) for k in (0, 1))
+            n = np.tanh(x[2 * size :] + r * hu[2 * size :])
+            h = n + z * (h - n)
+            c, i = divmod(int(y), gru.PER_CLASS)
+            for logits, k in ((h @ w["c"] + w["cb"], c), (h @ w["o"][c] + w["ob"][c], i)):
+                total -= logits[k] - np.log(np.exp(logits).sum())
+            last = y
+    return total
+
+
+def test_gru_against_a_naive_loop():
+    rng = np.random.default_rng(2)
+    flat = gru.initial(rng.integers(1, 99, gru.SIZE), dtype=np.float64) * 3
+    docs = [np.append(rng.integers(0, gru.SIZE, n), 5).astype(np.int16) for n in (9, 3, 0, 6, 2)]
+    want = [-naive_loss(flat, [d], 5) for d in docs]
+    assert np.allclose(gru.score(flat, docs, 5, lanes=2, window=4), want, rtol=1e-10)
+    plan = gru.Lanes(docs, 2, 5)
+    ((at, real),) = plan.windows(99)
+    grad = np.zeros_like(flat)
+    gru.gradient(flat, grad, plan, at, real, np.zeros((2, gru.HIDDEN)))
+    n = sum(map(len, docs))
+    used = np.flatnonzero(np.abs(grad) > 1e-4)
+    for i in [*rng.choice(used, 60, replace=False), *rng.choice(len(flat), 20)]:
+        near = []
+        for step in (1e-5, -1e-5):
+            moved = flat.copy()
+            moved[i] += step
+            near.append(naive_loss(moved, docs, 5) / n)
+        assert math.isclose(grad[i], (near[0] - near[1]) / 2e-5, rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_long_texts_cost_their_own_words():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, gru.SIZE, n).astype(np.int16) for n in [5_000_000] + [100] * 300]
+    plan = gru.Lanes(docs, 256, 0)
+    assert sum(v.nbytes for v in vars(plan).values() if isinstance(v, np.ndarray)) < 8 * 5_100_000
+    assert all(at.size <= 256 * 48 for at, _ in plan.windows(48))
+    flat = gru.initial(np.ones(gru.SIZE))
+    docs[0] = docs[0][:40_000]
+    assert math.isclose(gru.score(flat, docs, 0)[0], gru.score(flat, docs[:1], 0)[0], rel_tol=1e-4)
+
+
 # personal data
 
 
