@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and formats learned from what they find.
 
-Credentials that the patterns label are put into a prefix tree over kinds of
-characters. Its states are merged where their counts are statistically alike
-(Hoeffding's bound, from the root outwards), which gives a probabilistic automaton
-of each kind's format. Every long token of every text is a candidate, scored by
-how much likelier these automata make it than the tokens of ordinary text.
+Credentials that the patterns label are put into a prefix tree over a token's
+length, its case and the kinds of its characters. States are merged where their
+counts are statistically alike (Hoeffding's bound, from the root outwards), which
+gives a probabilistic automaton of each kind's format. Every token of LEAST_TOKEN
+characters that no base span holds whole is a candidate, scored by how much likelier
+these automata make it than the tokens of ordinary text, of which all are counted.
 """
 
 from __future__ import annotations
@@ -29,15 +30,18 @@ LEAST_VALUE = 12
 KINDS = ("assign", "access", "hex", "format")
 #: Words without which ASSIGN finds nothing, in any case.
 CUES = ("passw", "secret", "token", "api")
-#: Tokens that the automata score.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}+")
+#: Tokens that the automata score: whole runs of these characters, of this length at least.
+LEAST_TOKEN = 8
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_TOKEN},}}")
 #: Credentials of each kind that the formats are learned from: those of the smallest hash.
 SAMPLE = 1500
-#: Least mean gain in nats a character over ordinary tokens for a span of kind format.
-GAIN = 0.5
+#: Nats by which a format must make a token likelier than ordinary text does: odds of ten thousand to one.
+GAIN = math.log(10_000)
 
-_SIZES = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20, "s": 6}
-_CLASS = str.maketrans({**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U"), **dict.fromkeys("+/_.=-", "s")})
+#: Kinds of characters; what a kind's characters are is alike in formats and in ordinary tokens. Marks are kinds of their own.
+_CLASS = str.maketrans({**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdefABCDEF", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ", "l")})
+#: As smoothing counts them: kinds of characters, lengths, cases.
+_SYMBOLS, _LENGTHS, _CASES = 3 + 6, 80, 4
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -56,13 +60,18 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base: Sequence[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
-    """Long tokens with letters and digits that no base span touches: (start, token)."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        token = m.group()
-        if re.search("[0-9]", token) and re.search("[A-Za-z]", token) and not any(s < m.end() and e > m.start() for s, _, e, _ in base):
-            out.append((m.start(), token))
-    return out
+    """(start, token) of the tokens that the automata score, all but those inside one base span."""
+    if not base:
+        return [(m.start(), m.group()) for m in CANDIDATE.finditer(text)]
+    return [(m.start(), m.group()) for m in CANDIDATE.finditer(text) if not any(s <= m.start() and m.end() <= e for s, _, e, _ in base)]
+
+
+def symbols(token: str) -> str:
+    """Case (0 no letters, 1 lower, 2 upper, 3 both), length (in steps of doubling past 64), kinds of characters."""
+    n = len(token)
+    kinds = token.translate(_CLASS)
+    case = 1 if token.islower() else 2 if token.isupper() else 3 if "h" in kinds or "l" in kinds else 0
+    return f"{case}{chr(256 + (n if n <= 64 else 58 + n.bit_length()))}{kinds}"
 
 
 @dataclass
@@ -137,90 +146,128 @@ class Automaton:
                 red.append(state)
         self.states = red
 
-    def log(self, string: str) -> float:
-        """Log probability of the characters, whose kinds string has; as if added once more where unseen."""
-        state, total = self.root, 0.0
+    def logs(self, string: str) -> list[float]:
+        """Log probability of each symbol, as if seen a tenth more, up to the first that never came there."""
+        state, out, among = self.root, [], _LENGTHS
         for c in string:
-            nxt = state.after.get(c) if state else None
-            total += math.log(((nxt.seen if nxt else 0) + 0.1) / ((state.seen if state else 0) + 0.1 * (len(_SIZES) + 1)) / _SIZES[c])
-            state = nxt
-        return total + math.log(((state.ended if state else 0) + 0.1) / ((state.seen if state else 0) + 0.1 * (len(_SIZES) + 1)))
+            nxt = state.after.get(c)
+            out.append(math.log(((nxt.seen if nxt else 0) + 0.1) / (state.seen + 0.1 * among)))
+            if nxt is None:
+                break
+            state, among = nxt, _SYMBOLS
+        return out
 
+    def log(self, string: str) -> float:
+        """Log probability of all symbols; beyond the first that never came there all are alike."""
+        logs = self.logs(string)
+        return sum(logs) - (len(string) - len(logs)) * math.log(_SYMBOLS)
 
-@dataclass
-class Model:
-    """Automata by kind, and pairs of kinds of characters in ordinary tokens."""
 
-    formats: dict[str, Automaton]
-    pairs: dict[str, Counter]
+class Format:
+    """How credentials of one kind look: their automaton, and cases apart, as another case is the same format still."""
 
-    def gain(self, token: str) -> float:
-        kinds = token.translate(_CLASS)
-        plain = 0.0
-        for a, b in zip("^" + kinds, kinds + "$"):
-            seen = self.pairs.get(a, Counter())
-            plain += math.log((seen[b] + 1) / (seen.total() + len(_SIZES) + 1) / _SIZES.get(b, 1))
-        return max((a.log(kinds) - plain for a in self.formats.values()), default=-1e9) / max(1, len(token))
+    def __init__(self, strings: Counter):
+        self.automaton, self.cases = Automaton(Counter({s[1:]: n for s, n in strings.items()})), Counter()
+        for s, n in strings.items():
+            self.cases[s[0]] += n
 
-    def added(self, found: Sequence[tuple[int, str]]) -> list[tuple[int, int, int]]:
-        return [(start, 3, start + len(t)) for start, t in found if self.gain(t) >= GAIN]
+    def logs(self, string: str) -> list[float]:
+        return [math.log((self.cases[string[0]] + 0.1) / (self.cases.total() + 0.1 * _CASES)), *self.automaton.logs(string[1:])]
 
 
-_FOUND = "doc_id long, base array<struct<start:int,kind:int,end:int,value:string>>, found array<struct<start:int,token:string>>"
+def transitions(string: str) -> list[tuple[str, str]]:
+    """Pairs (before, symbol) of a token's symbols; case and length stand alone, and count as one to what follows."""
+    return [("case", string[0]), ("length", string[1]), *zip("#" + string[2:], string[2:])]
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and candidates of each row of docs; a narrow map over whole texts."""
+@dataclass
+class Model:
+    """Formats by kind, and pairs of symbols in all tokens; verdicts are remembered, of so many tokens at most as fit a task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            base, found = [], []
-            for text in b.column(1):
-                text = text.as_py() or ""
-                spans = base_spans(text)
-                base.append([dict(zip(("start", "kind", "end", "value"), s)) for s in spans])
-                found.append([{"start": s, "token": t} for s, t in candidates(text, spans)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).cast(pa.int64()),
-                    pa.array(base, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))),
-                    pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("token", pa.string())]))),
-                ],
-                ["doc_id", "base", "found"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
-
-
-def learn(found: DataFrame) -> Model:
-    """Formats of the labelled credentials that scan() found, and pairs in other tokens.
-
-    Formats are learned from at most SAMPLE different credentials of each kind, those
-    of the smallest hashes; pairs are counted over all other tokens of all documents,
-    as often as they stand there.
-    """
+    formats: dict[str, Format]
+    pairs: dict[str, Counter]
+    least: float = GAIN
+    known: dict[str, bool] = field(default_factory=dict)
+
+    def gain(self, string: str) -> float:
+        """Nats by which the likeliest format exceeds ordinary tokens, from which this one's own counts are taken off.
+
+        What comes after a token has left a format speaks neither for nor against it.
+        """
+        steps = transitions(string)
+        own, befores = Counter(steps), Counter(before for before, _ in steps)
+        plain = []
+        for before, c in steps:
+            seen = self.pairs.get(before, Counter())
+            among = _CASES if before == "case" else _LENGTHS if before == "length" else _SYMBOLS
+            plain.append(math.log((max(0, seen[c] - own[before, c]) + 1) / (max(0, seen.total() - befores[before]) + among)))
+        return max((sum(x - y for x, y in zip(f.logs(string), plain)) for f in self.formats.values()), default=-math.inf)
 
-    def sample(tokens: DataFrame) -> list[str]:
-        return [r.token for r in tokens.distinct().orderBy(F.xxhash64("token"), "token").limit(SAMPLE).collect()]
+    def added(self, found: Sequence[tuple[int, str]]) -> list[tuple[int, int, int]]:
+        out = []
+        for start, token in found:
+            yes = self.known.get(token)
+            if yes is None:
+                if len(self.known) > 1 << 17:
+                    self.known.clear()
+                yes = self.known[token] = self.gain(symbols(token)) >= self.least
+            if yes:
+                out.append((start, 3, start + len(token)))
+        return out
+
+
+def learn(docs: DataFrame, labelled: DataFrame | None = None) -> Model:
+    """Formats of the labelled credentials of docs, and pairs of symbols in all other tokens.
+
+    Labelled are the finds of the base patterns and, if given, the rows (kind, value)
+    of labelled. Formats are learned from at most SAMPLE different credentials of
+    each kind, those of the smallest hashes; pairs are counted over all candidates of
+    all documents, as often as they stand there, and summed in each task first.
+    """
 
-    formats: dict[str, Automaton] = {}
-    labelled = found.select(F.explode("base").alias("s")).select("s.kind", F.col("s.value").alias("token"))
-    for k, kind in enumerate(KINDS[:3]):
-        strings = Counter(t.translate(_CLASS) for t in sample(labelled.where(F.col("kind") == k).select("token")))
-        if strings:
-            formats[kind] = Automaton(strings)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        pairs: Counter = Counter()
+        labels: set[tuple[str, str]] = set()
+
+        def folded() -> None:
+            strings: Counter = Counter()
+            for token, n in seen.items():
+                strings[symbols(token)] += n
+            for string, n in strings.items():
+                for pair in transitions(string):
+                    pairs[pair] += n
+            seen.clear()
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["what", "a", "b", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
-            for tokens in b.column(0).to_pylist():
-                for t in tokens:
-                    kinds = t["token"].translate(_CLASS)
-                    seen.update(zip("^" + kinds, kinds + "$"))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["a", "b", "n"])
-
+            for text in b.column(0):
+                text = text.as_py() or ""
+                base = base_spans(text)
+                labels.update((KINDS[k], value) for _, k, _, value in base)
+                seen.update([t for _, t in candidates(text, base)] if base else CANDIDATE.findall(text))
+                if len(seen) > 1 << 17:
+                    folded()
+                if len(labels) > 1 << 14:
+                    yield out([("label", kind, value, 1) for kind, value in labels])
+                    labels.clear()
+        folded()
+        yield out([("label", kind, value, 1) for kind, value in labels] + [("pair", a, b, n) for (a, b), n in pairs.items()])
+
+    found = written(docs.select("text").mapInArrow(run, "what string, a string, b string, n long"), "secrets")
+    labels = found.where("what = 'label'").select(F.col("a").alias("kind"), F.col("b").alias("value"))
+    if labelled is not None:
+        labels = labels.unionByName(labelled.select("kind", "value").where("kind is not null and value is not null and value <> ''"))
+    labels = written(labels.distinct(), "credentials")
+    formats: dict[str, Format] = {}
+    for kind in sorted(r.kind for r in labels.select("kind").distinct().collect()):  # kinds are named by hand
+        sample = labels.where(F.col("kind") == kind).select("value").orderBy(F.xxhash64("value"), "value").limit(SAMPLE)
+        formats[kind] = Format(Counter(symbols(r.value) for r in sample.collect()))
     pairs: dict[str, Counter] = defaultdict(Counter)
-    for r in found.select("found").where(F.size("found") > 0).mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+    for r in found.where("what = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # symbols are few
         pairs[r.a][r.b] = r.n
     return Model(formats, dict(pairs))
 
@@ -229,43 +276,45 @@ def joined(spans: Sequence[tuple]) -> str:
     return ",".join(f"{KINDS[k]}:{start}:{end}" for start, k, end, *_ in sorted(s[:3] for s in spans))
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
+def find_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """Secrets in each row of docs: counts, a digest of the base spans, and all spans.
 
     Spans are in code points of the whole text, end exclusive. A null text has
     none; repeated rows give repeated rows; extra columns aren't read. With no
     labelled credential anywhere, nothing is learned and only base spans are found.
-    The texts are read once: their spans and candidates are written to the shared
-    folder, learned from, and scored where they are.
+    Texts are read twice, to learn and to score, and never shuffled; a very long one
+    is held whole in its task. labelled: known credentials (kind, value) besides
+    those that the base patterns find.
     """
-    found = written(scan(docs), "secrets")
-    model = learn(found)
+    model = learn(docs, labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for b in batches:
             rows = []
-            for base, tokens in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                spans = [(s["start"], s["kind"], s["end"]) for s in base]
-                every = spans + model.added([(t["start"], t["token"]) for t in tokens])
+            for text in b.column(1):
+                text = text.as_py() or ""
+                base = base_spans(text)
+                spans = [s[:3] for s in base]
                 kinds = Counter(k for _, k, _ in spans)
+                every = spans + model.added(candidates(text, base))
                 rows.append((kinds[0], kinds[1], kinds[2], hashlib.sha256(joined(spans).encode()).hexdigest(), joined(every)))
             columns = list(zip(*rows)) if rows else [()] * 5
             types = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return found.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[SECRET]", labelled: DataFrame | None = None) -> DataFrame:
     """docs with each secret of its texts replaced by mask; same columns, all rows kept.
 
     Of an assignment only the credential goes, not its name. Overlapping spans
     become one. n_chars, where there is such a column, follows the new text.
-    A null text stays null.
+    A null text stays null, an empty one empty; repeated rows stay repeated.
     """
-    model = learn(written(scan(docs), "secrets"))
+    model = learn(docs, labelled)
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,6 +171,44 @@ def test_automaton_merges():
     assert len(a.states) <= 2 and a.log("d" * 12) > a.log("l" * 12)
 
 
+def test_automaton_against_brute_force():
+    """Merged states are the classes of prefixes; probabilities are products of their counts."""
+    rng = np.random.default_rng(6)
+    strings = Counter("".join(rng.choice(list("dh"), 4)) + "-" + "".join(rng.choice(list("dl"), 3)) for _ in range(4000))
+    a = secrets.Automaton(strings)
+    of: dict[int, Counter] = {}
+    for string, n in strings.items():  # counts by walking every string again
+        state = a.root
+        for i, c in enumerate(string):
+            of.setdefault(id(state), Counter())[c] += n
+            state = state.after[c]
+        of.setdefault(id(state), Counter())[""] += n
+    assert set(of) == {id(s) for s in a.states}
+    for s in a.states:
+        assert s.seen == of[id(s)].total() and s.ended == of[id(s)][""] and all(y.seen >= of[id(s)][c] for c, y in s.after.items())
+    for i, s in enumerate(a.states):  # no two states that are left are alike
+        assert not any(a._alike(t, s) for t in a.states[:i])
+    assert len(a.states) <= 10 and a.log("dhdh-ldl") > a.log("dhdhdldl") + 4
+
+
+def test_hidden_formats_are_found():
+    """Each kind in turn is hidden in part: what is labelled of it finds nearly all of the rest, and ordinary tokens stay."""
+    rng = np.random.default_rng(7)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    makers = {"hex": lambda: draw("0123456789abcdef", 40), "key": lambda: "AKIA" + draw(upper + "0123456789", 16), "token": lambda: "ghp_" + draw(upper + low + "0123456789", 36), "uuid": lambda: "-".join(draw("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))}
+    ordinary = [draw(low, int(n)) for n in rng.integers(8, 18, 6000)] + [f"mail{i}.example.com/en/{2000 + i % 20}" for i in range(300)] + [f"{draw(upper, 1)}{draw(low, int(n))}" for n in rng.integers(7, 12, 600)] + [f"2012-0{i % 9 + 1}-1{i % 7}" for i in range(50)] + ["international_organisation", "x" * 40, "-" * 30, "=" * 70]
+    pairs: dict = {}
+    hidden = {k: [make() for _ in range(200)] for k, make in makers.items()}
+    for t in ordinary + [t for ts in hidden.values() for t in ts]:
+        for a, b in secrets.transitions(secrets.symbols(t)):
+            pairs.setdefault(a, Counter())[b] += 1
+    for kind, make in makers.items():
+        model = secrets.Model({kind: secrets.Format(Counter(secrets.symbols(make()) for _ in range(60)))}, pairs)
+        assert len(model.added([(0, t) for t in hidden[kind]])) >= 0.9 * 200, kind
+        assert not model.added([(0, t) for t in ordinary]), kind
+
+
 # quality
 
 
