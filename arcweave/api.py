@@ -90,8 +90,19 @@ class GraphService:
         path = paths.find_path_between(self.graph, request)
         return paths.path_rows(self.graph, path).withColumn("is_midpoint", F.col("pos") == path.midpoint)
 
-    def find_context(self, swhid: str, origin: str | None = None) -> list[str]:
-        return paths.find_context(self.graph, swhid, origin)
+    def find_context(self, swhid: str, origin: str | None = None, qualified: bool = True) -> list[str]:
+        return paths.find_context(self.graph, swhid, origin, qualified)
+
+    def walk(self, src: str, dst: str, direction: str = "forward", edges: str = "*", limit: int | None = None) -> list[str]:
+        """A shortest walk to a node or to the next node of a type; limit cuts it, a negative one to its end."""
+        return self._swhids(paths.walk_to(self.graph, src, dst, direction.upper(), edges, limit))
+
+    def random_walk(self, src: str, dst: str, direction: str = "forward", edges: str = "*", limit: int | None = None, seed: int = 0) -> list[str]:
+        return self._swhids(paths.random_walk(self.graph, src, dst, direction.upper(), edges, limit, seed))
+
+    def _swhids(self, path: list[int]) -> list[str]:
+        names = {r.node_id: r.swhid for r in self.graph.nodes.where(F.col("node_id").isin(*set(path))).select("node_id", "swhid").collect()}
+        return [names[n] for n in path]
 
     def stats(self) -> DataFrame:
         return stats.report(self.graph)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.parse import NotFound, Swhid, edge_predicate, edges, node_types
+from arcweave.parse import MissingProperty, NotFound, Swhid, edge_predicate, edges, node_types, reverse_edges
 from arcweave.plans.tables import numbered
-from arcweave.schema import ARC_COLUMNS, LABEL_DDL, NODE_COLUMNS
+from arcweave.schema import ARC_COLUMNS, LABEL_DDL, NODE_COLUMNS, PROPERTIES
 
 
 def with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -21,11 +21,17 @@ def with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class PropertyGraph:
-    """nodes and arcs as in schema.NODE_COLUMNS and ARC_COLUMNS; everything derived is lazy."""
+    """nodes and arcs as in schema.NODE_COLUMNS and ARC_COLUMNS; everything derived is lazy.
+
+    back: the same arcs with their ends swapped, where they are stored so; groups:
+    the groups of properties that are there, all others being null.
+    """
 
     nodes: DataFrame
     arcs: DataFrame
     transposed: bool = False
+    back: DataFrame | None = None
+    groups: frozenset[str] = frozenset(PROPERTIES)
 
     @property
     def spark(self) -> SparkSession:
@@ -38,18 +44,33 @@ class PropertyGraph:
         return cls(with_columns(nodes, NODE_COLUMNS), with_columns(arcs, ARC_COLUMNS))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, properties: bool = True, labels: bool = True) -> PropertyGraph:
-        """Of a folder written by save(); without properties or labels these are null or empty."""
-        nodes, arcs = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/arcs")
-        if not properties:
-            nodes = nodes.select("node_id", "node_type", "swhid")
-        graph = cls.of(nodes, arcs)
+    def load(cls, spark: SparkSession, path: str, properties: bool | Iterable[str] = True, labels: bool = True, optional: Iterable[str] = ()) -> PropertyGraph:
+        """Of a folder written by save(); what isn't loaded is null, labels empty.
+
+        properties: all groups that are stored, none, or names of groups, each of
+        which must be stored unless it's optional.
+        """
+        nodes, arcs, back = (spark.read.parquet(f"{path}/{part}") for part in ("nodes", "arcs", "arcs_back"))
+        stored = frozenset(g for g, columns in PROPERTIES.items() if set(columns) <= set(nodes.columns))
+        wanted = stored if properties is True else frozenset(properties or ())
+        if unknown := wanted - set(PROPERTIES):
+            raise MissingProperty(f"no such group of properties: {', '.join(sorted(unknown))}")
+        if missing := wanted - stored - set(optional):
+            raise MissingProperty(f"not stored: {', '.join(sorted(missing))}")
+        groups = wanted & stored
+        nodes = nodes.select("node_id", "node_type", "swhid", *(c for g in PROPERTIES if g in groups for c in PROPERTIES[g]))
+        graph = cls(with_columns(nodes, NODE_COLUMNS), with_columns(arcs, ARC_COLUMNS), back=with_columns(back, ARC_COLUMNS), groups=groups)
         return graph if labels else graph.without_labels()
 
     def save(self, path: str) -> None:
-        """Arcs lie in folders by the types of their ends, sorted by source; nodes by id."""
-        self.nodes.repartitionByRange("node_id").sortWithinPartitions("node_id").write.parquet(f"{path}/nodes")
-        self.arcs.repartitionByRange("src_type", "dst_type", "src").sortWithinPartitions("src", "dst").write.partitionBy("src_type", "dst_type").parquet(f"{path}/arcs")
+        """Arcs lie in folders by the types of their ends, sorted by source, and once more by destination with their ends swapped; nodes by id.
+
+        Columns of absent groups aren't written.
+        """
+        absent = [c for g, columns in PROPERTIES.items() if g not in self.groups for c in columns]
+        self.nodes.drop(*absent).repartitionByRange("node_id").sortWithinPartitions("node_id").write.parquet(f"{path}/nodes")
+        for name, arcs in (("arcs", self.arcs), ("arcs_back", self.transpose().arcs)):
+            arcs.repartitionByRange("src_type", "dst_type", "src").sortWithinPartitions("src", "dst").write.partitionBy("src_type", "dst_type").parquet(f"{path}/{name}")
 
     # primitives
 
@@ -63,13 +84,13 @@ class PropertyGraph:
         return self.arcs.where(F.col("src") == node).select(F.col("dst").alias("node_id")).orderBy("node_id")
 
     def predecessors(self, node: int) -> DataFrame:
-        return self.arcs.where(F.col("dst") == node).select(F.col("src").alias("node_id")).orderBy("node_id")
+        return self.transpose().successors(node)
 
     def labelled_successors(self, node: int) -> DataFrame:
         return self.arcs.where(F.col("src") == node).select(F.col("dst").alias("node_id"), "labels").orderBy("node_id")
 
     def labelled_predecessors(self, node: int) -> DataFrame:
-        return self.arcs.where(F.col("dst") == node).select(F.col("src").alias("node_id"), "labels").orderBy("node_id")
+        return self.transpose().labelled_successors(node)
 
     def outdegrees(self) -> DataFrame:
         """Every node with the number of its distinct successors, zeros included."""
@@ -101,34 +122,61 @@ class PropertyGraph:
         """Distinct names of labels, numbered in the order of their bytes."""
         return numbered(self.flat_labels().where("name is not null").select("name").distinct(), ["name"], "label_name_id")
 
+    def label_name_ids(self, names: DataFrame) -> DataFrame:
+        """name and label_name_id of the rows (name) of names; null for names of no label."""
+        return names.select(F.col("name").cast("binary").alias("name")).join(self.label_names(), "name", "left")
+
+    def names_of_labels(self, ids: DataFrame) -> DataFrame:
+        """label_name_id and name of the rows (label_name_id) of ids; null for ids of no label."""
+        return ids.select(F.col("label_name_id").cast("bigint").alias("label_name_id")).join(self.label_names(), "label_name_id", "left")
+
+    def property(self, name: str, base64: bool = False) -> DataFrame:
+        """node_id and one property, null where a node has none; an error where its group isn't loaded.
+
+        base64: of messages and names, as text.
+        """
+        group = next((g for g, columns in PROPERTIES.items() if name in columns), None)
+        if group is None or group not in self.groups:
+            raise MissingProperty(f"{name} isn't loaded" if group else f"no such property: {name}")
+        return self.nodes.select("node_id", F.base64(name).alias(f"{name}_base64") if base64 else F.col(name))
+
     # views
 
     def subgraph(self, node_filter: Column | Callable[[DataFrame], DataFrame] | None = None, arc_filter: Column | None = None) -> PropertyGraph:
         """Arcs of which both ends and the arc itself pass; the filters are Spark predicates."""
         nodes = self.nodes if node_filter is None else node_filter(self.nodes) if callable(node_filter) else self.nodes.where(node_filter)
-        arcs = self.arcs if arc_filter is None else self.arcs.where(arc_filter)
-        if node_filter is not None:
-            for end in ("src", "dst"):
-                kept = nodes.select(F.col("node_id").alias(end))
-                arcs = arcs.join(kept, end, "left_semi")
-            arcs = arcs.select(*self.arcs.columns)
-        return replace(self, nodes=nodes, arcs=arcs)
+
+        def kept(arcs: DataFrame) -> DataFrame:
+            if node_filter is not None:
+                for end in ("src", "dst"):
+                    arcs = arcs.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi")
+            return arcs.select(*self.arcs.columns)
+
+        arcs = kept(self.arcs if arc_filter is None else self.arcs.where(arc_filter))
+        return replace(self, nodes=nodes, arcs=arcs, back=None if self.back is None or arc_filter is not None else kept(self.back))
 
     def with_types(self, types: str) -> PropertyGraph:
         """Only nodes of these types; decided on the arcs' own types, without a join."""
         kept = node_types(types)
         if kept is None:
             return self
-        return replace(self, nodes=self.nodes.where(F.col("node_type").isin(*kept)), arcs=self.arcs.where(F.col("src_type").isin(*kept) & F.col("dst_type").isin(*kept)))
+        both = F.col("src_type").isin(*kept) & F.col("dst_type").isin(*kept)
+        return replace(self, nodes=self.nodes.where(F.col("node_type").isin(*kept)), arcs=self.arcs.where(both), back=None if self.back is None else self.back.where(both))
 
     def with_edges(self, restriction: str) -> PropertyGraph:
         """Only arcs of these types, in the orientation of this view."""
         found = edge_predicate(edges(restriction))
-        return self if found is None else replace(self, arcs=self.arcs.where(found))
+        if found is None:
+            return self
+        back = None if self.back is None else self.back.where(edge_predicate(edges(reverse_edges(restriction))))
+        return replace(self, arcs=self.arcs.where(found), back=back)
 
     def transpose(self) -> PropertyGraph:
+        """Arcs the other way: as they are stored, else with their columns swapped."""
+        if self.back is not None:
+            return replace(self, arcs=self.back, back=self.arcs, transposed=not self.transposed)
         a = self.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_type").alias("src_type"), F.col("src_type").alias("dst_type"), "labels")
-        return replace(self, arcs=a, transposed=not self.transposed)
+        return replace(self, arcs=a, back=self.arcs, transposed=not self.transposed)
 
     def contiguous(self) -> PropertyGraph:
         """Nodes numbered anew from 0 in the order of their ids; arcs of nodes that aren't there go."""
@@ -137,7 +185,7 @@ class PropertyGraph:
         arcs = self.arcs
         for end in ("src", "dst"):
             arcs = arcs.join(new.select(F.col("node_id").alias(end), "new_id"), end).withColumn(end, F.col("new_id")).drop("new_id")
-        return replace(self, nodes=nodes, arcs=arcs.select(*self.arcs.columns))
+        return replace(self, nodes=nodes, arcs=arcs.select(*self.arcs.columns), back=None)
 
     def symmetric(self) -> DataFrame:
         """Distinct (src, dst) of both directions; a loop is an error."""
@@ -145,7 +193,8 @@ class PropertyGraph:
         return a.union(a.select("dst", "src")).toDF("src", "dst").distinct()
 
     def without_labels(self) -> PropertyGraph:
-        return replace(self, arcs=self.arcs.withColumn("labels", F.array().cast(f"array<{LABEL_DDL}>")))
+        bare = lambda arcs: arcs.withColumn("labels", F.array().cast(f"array<{LABEL_DDL}>"))
+        return replace(self, arcs=bare(self.arcs), back=None if self.back is None else bare(self.back))
 
     def masked(self, hidden: DataFrame) -> PropertyGraph:
         """Without the nodes of the swhid column of hidden; unknown ones are passed over."""

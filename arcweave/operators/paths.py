@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from arcweave.operators.graph import PropertyGraph
 from arcweave.operators.traverse import NodeFilter, source_rows, usable_arcs
 from arcweave.parse import InvalidArgument, NotFound, natural, node_types, reverse_edges
 from arcweave.plans.frontier import Walk
+from arcweave.plans.tables import counted, numbered, written
+from arcweave.schema import NODE_TYPES
 
 
 @dataclass(frozen=True)
@@ -170,19 +172,141 @@ def qualified_swhid(graph: PropertyGraph, path: Path, qualified: bool = True) ->
     return out
 
 
+#: Arc types on which an object's origins are looked for.
+CONTEXT_EDGES = "cnt:dir,dir:dir,dir:rev,rev:rev,rev:snp,rev:rel,rel:snp,snp:ori"
+
+
+def origin_paths(graph: PropertyGraph, swhid: str, restriction: str = CONTEXT_EDGES) -> DataFrame:
+    """origin and path (ids from the object to it) of every origin that an object is reached from, each a shortest one.
+
+    One walk back from the object finds all of them; the paths follow its parents,
+    a join a layer, for all origins at once.
+    """
+    walk = Walk(usable_arcs(graph, "BACKWARD", restriction, []), source_rows(graph, graph.node_ids([swhid])), mark_sources=True)
+    walk.run(None)
+    origins = graph.nodes.where("node_type = 'ori'").select(F.col("node_id").alias("node"))
+    found = None
+    for layer in reversed(walk.layers):
+        ends = layer.join(origins, "node", "left_semi").select(F.col("node").alias("origin"), F.array("node").alias("path"), F.col("parent").alias("next"))
+        if found is not None:
+            steps = layer.select(F.col("node").alias("next"), F.col("parent").alias("above"))
+            ends = ends.unionByName(found.join(steps, "next").select("origin", F.concat(F.array("next"), "path").alias("path"), F.col("above").alias("next")))
+        found = written(ends, "origin-paths")
+    return found.select("origin", "path")
+
+
+def contexts(graph: PropertyGraph, found: DataFrame, qualified: bool = True) -> DataFrame:
+    """origin and context, the qualified identifier of each path's first node, for all rows (origin, path) at once; the path ends at the origin."""
+    steps = found.select("origin", F.posexplode("path").alias("pos", "node_id"), F.col("path").alias("_p")).withColumn("next", F.get("_p", F.col("pos") + 1)).drop("_p")
+    steps = steps.join(graph.nodes.select("node_id", "swhid", "node_type", "url"), "node_id")
+    names = graph.arcs.select(F.col("src").alias("next"), F.col("dst").alias("node_id"), F.get(F.col("labels.name"), F.lit(0)).alias("name"))
+    steps = steps.join(names, ["node_id", "next"], "left")
+    rows = steps.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("pos", "swhid", "node_type", "url", "name"))).alias("r"))
+    first = lambda kind: F.get(F.filter("r", lambda x: x.node_type == kind), F.lit(0))
+    core, snapshot, anchor = F.get("r", F.lit(0)), first("snp"), F.coalesce(first("rev"), first("rel"))
+    inside = F.filter("r", lambda x, i: x.node_type.isin("cnt", "dir") & (F.get(F.col("r.node_type"), i + 1) == "dir") & x["name"].isNotNull())
+    path = F.array_join(F.reverse(F.transform(inside, lambda x: F.make_valid_utf8(x["name"].cast("string")))), "/")
+    within = F.concat(F.coalesce(F.concat(F.lit(";anchor="), anchor.swhid), F.lit("")), F.lit(";path=/"), path)
+    text = F.concat(
+        core.swhid, F.coalesce(F.concat(F.lit(";origin="), first("ori").url), F.lit("")),
+        F.when(snapshot.isNotNull() & (snapshot.pos > 0), F.concat(F.lit(";visit="), snapshot.swhid)).otherwise(""),
+        F.when(core.node_type.isin("cnt", "dir"), within).otherwise(""),
+    )
+    return rows.select("origin", (text if qualified else core.swhid).alias("context"))
+
+
 def find_context(graph: PropertyGraph, swhid: str, origin: str | None = None, qualified: bool = True) -> list[str]:
-    """Qualified identifiers of an object: from one origin ("" for any, a url), or from all ("*")."""
-    from arcweave.operators.traverse import Traversal, TraversalRequest
+    """Where an object was seen: from one origin ("" for any, a url), or from all ("*").
+
+    Qualified identifiers, else the origins' urls.
+    """
     from arcweave.parse import Swhid
 
+    if origin == "*":
+        found = origin_paths(graph, swhid)
+        if not qualified:
+            urls = found.select(F.col("origin").alias("node_id")).join(graph.nodes.select("node_id", "url"), "node_id")
+            return [r.url for r in urls.select("url").distinct().orderBy("url").toLocalIterator()]
+        return [r.context for r in contexts(graph, found).orderBy("context").toLocalIterator()]
     if not origin:
-        paths = [find_path_to(graph, FindPathToRequest([swhid], NodeFilter("ori"), "BACKWARD"))]
-    elif origin == "*":
-        found = Traversal(graph, TraversalRequest([swhid], "BACKWARD", return_nodes=NodeFilter("ori"))).nodes().join(graph.nodes.select(F.col("node_id").alias("node"), "swhid"), "node")
-        request = FindPathBetweenRequest([swhid], [], "BACKWARD")
-        paths = [find_path_between(graph, replace(request, dst=[r.swhid])) for r in found.select("swhid").distinct().orderBy("swhid").toLocalIterator()]
+        path = find_path_to(graph, FindPathToRequest([swhid], NodeFilter("ori"), "BACKWARD"))
     else:
         from hashlib import sha1
 
-        paths = [find_path_between(graph, FindPathBetweenRequest([swhid], [str(Swhid("ori", sha1(origin.encode()).hexdigest()))], "BACKWARD"))]
-    return [qualified_swhid(graph, p, qualified) for p in paths]
+        path = find_path_between(graph, FindPathBetweenRequest([swhid], [str(Swhid("ori", sha1(origin.encode()).hexdigest()))], "BACKWARD"))
+    if not qualified:
+        return [r.url for r in graph.nodes.where((F.col("node_id") == path.nodes[-1]) & F.col("url").isNotNull()).select("url").collect()]
+    return [qualified_swhid(graph, path)]
+
+
+def _cut(path: list[int], limit: int | None) -> list[int]:
+    """The whole path, its first nodes, or with a negative limit its last."""
+    return path if not limit else path[:limit] if limit > 0 else path[limit:]
+
+
+def walk_to(graph: PropertyGraph, src: str, dst: str, direction: str = "FORWARD", edges: str = "*", limit: int | None = None) -> list[int]:
+    """Ids of a shortest walk from src to a node, or to the next node of a type, cut to limit."""
+    if ":" in dst:
+        path = find_path_between(graph, FindPathBetweenRequest([src], [dst], direction, edges=edges))
+    else:
+        path = find_path_to(graph, FindPathToRequest([src], NodeFilter(dst), direction, edges))
+    return _cut(path.nodes, limit)
+
+
+def random_walk(graph: PropertyGraph, src: str, dst: str, direction: str = "FORWARD", edges: str = "*", limit: int | None = None, seed: int = 0, walkers: int = 32, most: int = 1000) -> list[int]:
+    """Ids of a random walk from src that ends at a node, or at the first node of a type, cut to limit.
+
+    So many walkers go at once, each on to one of its node's successors, drawn by a
+    hash of seed, walker and step; the first to arrive is taken. One that can't go on
+    is given up. If none arrives within most steps, there is no such walk.
+    """
+    (start,) = graph.node_ids([src])
+    arcs = usable_arcs(graph, direction, edges, [])
+    ends = graph.nodes.where(F.col("node_id") == graph.node_ids([dst])[0]) if ":" in dst else graph.nodes.where(F.col("node_type").isin(*(node_types(dst) or NODE_TYPES)))
+    ends = ends.select(F.col("node_id").alias("node"))
+    layer = graph.spark.range(walkers).select(F.col("id").alias("walker"), F.lit(start).alias("node"), F.array(F.lit(start)).alias("path"))
+    for step in range(most + 1):
+        done = layer.join(ends, "node", "left_semi").orderBy("walker").select("path").first()
+        if done:
+            return _cut(list(done.path), limit)
+        drawn = F.min_by("dst", F.xxhash64(F.lit(seed), "walker", F.lit(step), "dst")).alias("to")
+        layer = arcs.join(F.broadcast(layer.select("walker", F.col("node").alias("src"))), "src").groupBy("walker").agg(drawn).join(layer, "walker")  # walkers rows at most
+        layer, n = counted(layer.select("walker", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path")), "walkers")
+        if not n:
+            break
+    raise NotFound(f"no walk from {src} to {dst}")
+
+
+def bfs_order(graph: PropertyGraph, roots: list[str] | None = None) -> DataFrame:
+    """node_id and place: an order of all nodes in which what is reached from one root stands together, by depth.
+
+    Roots are those given, in their order, then nodes without predecessors, then
+    what is left in cycles, each for itself. A node reached from several belongs to
+    the first root that reaches it in the fewest steps. All roots of one of the three
+    kinds are walked from at once.
+    """
+    arcs = graph.arcs.select("src", "dst")
+    given = [(n, i) for i, n in enumerate(graph.node_ids(list(roots or [])))]
+    reached = graph.transpose().arcs.select(F.col("src").alias("node")).distinct()
+    every = graph.nodes.select(F.col("node_id").alias("node"))
+    kinds = [
+        graph.spark.createDataFrame(given, "node bigint, root bigint").groupBy("node").agg(F.min("root").alias("root")),
+        every.join(reached, "node", "left_anti").select("node", F.col("node").alias("root")),
+        every.select("node", F.col("node").alias("root")),
+    ]
+    seen = None
+    for kind, layer in enumerate(kinds):
+        depth = 0
+        while True:
+            if seen is not None:
+                layer = layer.join(seen.select("node"), "node", "left_anti")
+            layer, n = counted(layer.select("node", F.lit(kind).alias("kind"), "root", F.lit(depth).alias("depth")), "order")
+            if n:
+                seen = layer if seen is None else seen.union(layer)
+            if not n or kind == 2:
+                break
+            depth += 1
+            if depth % 10 == 0:
+                seen = written(seen, "order-seen")
+            layer = arcs.join(layer.select(F.col("node").alias("src"), "root"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("root"))
+    return numbered(seen, ["kind", "root", "depth", "node"], "place").select(F.col("node").alias("node_id"), "place")

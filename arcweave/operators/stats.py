@@ -75,7 +75,9 @@ def reach_counts(graph: PropertyGraph, roots: DataFrame, targets: str, restricti
     """For every root (node) at once, how many nodes of these types it reaches: root, count (zeros included).
 
     The walk carries the root. Pairs (root, node) are made distinct in each task
-    before they are shuffled; their number is that of the answer's own rows.
+    before they are shuffled. All pairs found are kept until the end, as exact
+    numbers of distinct nodes need them: as many rows as the sum of what is reached,
+    in tables of the shared folder, not in memory.
     leaves: count only nodes without usable arcs.
     """
     from arcweave.operators.traverse import usable_arcs

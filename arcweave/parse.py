@@ -23,6 +23,18 @@ class NotFound(GraphError):
     """What the request asks for isn't in the graph."""
 
 
+class MissingProperty(GraphError):
+    """A property was asked for that the graph doesn't hold."""
+
+
+def http_status(error: Exception, checking: bool = True) -> int:
+    """Status of a web response: 400 for identifiers that are wrong or unknown and for other bad parameters, else 503.
+
+    checking: the error came up while the request was checked, not while it ran.
+    """
+    return 400 if checking and isinstance(error, (InvalidArgument, NotFound)) else 503
+
+
 @dataclass(frozen=True, order=True)
 class Swhid:
     """A parsed identifier; ordered by type, then hash, as its text is."""

@@ -7,7 +7,7 @@ from arcweave.api import GraphService
 from arcweave.operators import extract, paths, stats
 from arcweave.operators.graph import PropertyGraph
 from arcweave.operators.traverse import NodeFilter, Traversal, TraversalRequest, closure, visit_paths
-from arcweave.parse import InvalidArgument, NotFound
+from arcweave.parse import InvalidArgument, MissingProperty, NotFound, http_status
 from arcweave.schema import LEGAL_ARCS
 from arcweave.sources import relations as sources
 from arcweave.sources import sinks
@@ -113,7 +113,7 @@ def test_get_node(graph):
     label = s.get_node(ORI1, "successor.label").first().successor[0].label[0]
     assert (label.visit_timestamp, label.is_full_visit, label.visit_type) == (1367900441, True, "vcs")
     entries = {(x.swhid, bytes(x.label[0].name), x.label[0].permission) for x in s.get_node(ident("dir", 8)).first().successor}
-    assert (ident("dir", 6), b"tests", 0o100755) not in entries or True
+    assert {(ident("dir", 6), b"tests"), (ident("cnt", 1), b"README.md"), (ident("cnt", 7), b"parser.c")} == {e[:2] for e in entries}
     for bad, error in (("swh:1:rev:00", InvalidArgument), ("", InvalidArgument), (ident("rev", 404), NotFound)):
         with pytest.raises(error):
             s.get_node(bad)
@@ -153,7 +153,68 @@ def test_context(graph):
     assert find(ident("dir", 12)) == [f"{ident('dir', 12)};origin={URLS[1]};visit={ident('snp', 22)};anchor={ident('rev', 13)};path=/"]
     assert find(ident("rev", 9), URLS[0]) == [ident("rev", 9) + tail]
     assert find(ident("snp", 20)) == [f"{ident('snp', 20)};origin={URLS[0]}"]
-    assert len(find(ident("cnt", 4), "*")) == 2
+    both = find(ident("cnt", 4), "*")
+    assert len(both) == 2 and set(both) == {find(ident("cnt", 4), u)[0] for u in URLS}
+    assert paths.find_context(graph, ident("cnt", 4), "*", False) == sorted(URLS) and paths.find_context(graph, ident("cnt", 14), "", False) == [URLS[1]]
+    assert find(ident("cnt", 15), "*") == find(ident("cnt", 15))
+
+
+def test_walks(graph):
+    s = GraphService(graph)
+    args = (ident("dir", 16), "rel", "backward", "dir:dir,dir:rev,rev:*")
+    assert s.walk(*args) == [ident("dir", 16), ident("dir", 17), ident("rev", 18), ident("rel", 19)]
+    assert s.walk(*args, -1) == [ident("rel", 19)] and s.walk(*args, 2) == [ident("dir", 16), ident("dir", 17)] and s.walk(*args, 0) == s.walk(*args)
+    for dst in ("rel", ident("rel", 19)):
+        path = s.random_walk(ident("cnt", 15), dst, "backward")
+        assert len(path) > 1 and path[0] == ident("cnt", 15) and path[-1] == ident("rel", 19)
+        ids = graph.node_ids(path)
+        assert all(graph.has_arc(b, a) for a, b in zip(ids, ids[1:]))
+        assert s.random_walk(ident("cnt", 15), dst, "backward", limit=-1) == [ident("rel", 19)] and len(s.random_walk(ident("cnt", 15), dst, "backward", limit=-2)) == 2
+        assert len(s.random_walk(ident("cnt", 15), dst, "backward", limit=3)) == 3
+    with pytest.raises(NotFound):
+        s.random_walk(ident("cnt", 15), "ori", "forward")
+
+
+def test_bfs_order(graph):
+    order = {r.node_id: r.place for r in paths.bfs_order(graph, [ident("dir", 12), ident("dir", 6)]).collect()}
+    assert sorted(order.values()) == list(range(24))
+    ids = {r.swhid: r.node_id for r in graph.nodes.collect()}
+    assert order[ids[ident("dir", 12)]] == 0
+    assert max(order[ids[ident(k, n)]] for k, n in (("dir", 12), ("dir", 8), ("dir", 6), ("cnt", 1), ("cnt", 4), ("cnt", 5), ("cnt", 7), ("cnt", 11))) == 7
+
+
+def test_properties_by_group(graph, spark, tmp_path):
+    graph.save(str(tmp_path / "g"))
+    some = PropertyGraph.load(spark, str(tmp_path / "g"), ["contents", "strings"])
+    some.save(str(tmp_path / "less"))
+    assert {r.length for r in some.property("length").collect()} >= {42, None}
+    assert [r.message_base64 for r in some.property("message", base64=True).where("message_base64 is not null").collect()].count("QWRkIHBhcnNlcg==") == 1
+    for bad in ("committer_ts", "nonsense"):
+        with pytest.raises(MissingProperty):
+            some.property(bad)
+    with pytest.raises(MissingProperty):
+        PropertyGraph.load(spark, str(tmp_path / "less"), ["timestamps"])
+    with pytest.raises(MissingProperty):
+        PropertyGraph.load(spark, str(tmp_path / "less"), ["nonsense"])
+    lenient = PropertyGraph.load(spark, str(tmp_path / "less"), ["contents", "timestamps"], optional=["timestamps"])
+    assert lenient.groups == {"contents"} and lenient.nodes.where("committer_ts is not null").isEmpty()
+    names = graph.label_names().collect()
+    asked = spark.createDataFrame([(names[3].name,), (b"nowhere",)], "name binary")
+    assert {(bytes(r.name), r.label_name_id) for r in graph.label_name_ids(asked).collect()} == {(bytes(names[3].name), names[3].label_name_id), (b"nowhere", None)}
+    back = graph.names_of_labels(spark.createDataFrame([(names[3].label_name_id,), (999,)], "label_name_id bigint")).collect()
+    assert {(r.label_name_id, r.name and bytes(r.name)) for r in back} == {(names[3].label_name_id, bytes(names[3].name)), (999, None)}
+
+
+def test_both_layouts_are_one_graph(graph):
+    swapped = graph.arcs.select("dst", "src", "dst_type", "src_type", "labels")
+    assert graph.back is not None and swapped.exceptAll(graph.transpose().arcs).isEmpty() and graph.transpose().arcs.exceptAll(swapped).isEmpty()
+    for view in (graph.with_types("dir,cnt"), graph.with_edges("dir:cnt,rev:dir"), graph.subgraph(F.col("node_id") % 2 == 0), graph.subgraph(arc_filter=F.col("src") % 2 == 0), graph.without_labels(), graph.transpose()):
+        there, back = view.arcs.select("src", "dst"), view.transpose().arcs.select("dst", "src")
+        assert there.exceptAll(back).isEmpty() and back.exceptAll(there).isEmpty()
+
+
+def test_statuses():
+    assert [http_status(e) for e in (InvalidArgument("x"), NotFound("x"), ValueError("x"))] == [400, 400, 503] and http_status(NotFound("x"), checking=False) == 503
 
 
 def test_closure_forks_paths(graph):
