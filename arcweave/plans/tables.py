@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it.
+
+    Only a session whose executors are threads of the driver may go without: it gets
+    a folder of its own beside the warehouse. On a cluster that is an error, as what one
+    executor writes to its own disk the others would miss.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="arcweave-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared")
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -25,6 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def in_small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """So many rows at most go to Python at once in what is written inside: for rows that carry whole sets or texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """written(df), and its number of rows as the writing itself counts them."""
     seen = Observation()
