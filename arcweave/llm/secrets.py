@@ -29,10 +29,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE = 12
 KINDS = ("assign", "access", "hex", "format")
 #: Words without which ASSIGN finds nothing, in any case.
-CUES = ("passw", "secret", "token", "api")
+CUES = (b"passw", b"secret", b"token", b"api")
 #: Tokens that the automata score: whole runs of these characters, of this length at least.
 LEAST_TOKEN = 8
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_TOKEN},}}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: Credentials of each kind that the formats are learned from: those of the smallest hash.
 SAMPLE = 1500
 #: Nats by which a format must make a token likelier than ordinary text does: odds of ten thousand to one.
@@ -40,20 +40,34 @@ GAIN = math.log(10_000)
 
 #: Kinds of characters; what a kind's characters are is alike in formats and in ordinary tokens. Marks are kinds of their own.
 _CLASS = str.maketrans({**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdefABCDEF", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ", "l")})
+#: Other bytes than those of CANDIDATE become blanks.
+_KEPT = bytes(i if CANDIDATE.match(chr(i)) else 32 for i in range(256))
+_HEX_RUN = re.compile(rb"[0-9a-f]{16}")
 #: As smoothing counts them: kinds of characters, lengths, cases.
 _SYMBOLS, _LENGTHS, _CASES = 3 + 6, 80, 4
 
 
-def base_spans(text: str) -> list[tuple[int, int, int, str]]:
+def long_tokens(text: str) -> tuple[bytes, list[bytes]]:
+    """A text's bytes, and its tokens of LEAST_TOKEN characters, without their places."""
+    data = text.encode("utf-8", "surrogatepass")
+    return data, [t for t in data.translate(_KEPT).split() if len(t) >= LEAST_TOKEN]
+
+
+def base_spans(text: str, data: bytes | None = None, tokens: list[bytes] | None = None) -> list[tuple[int, int, int, str]]:
     """(start, kind number, end, credential) of the fixed patterns' finds, in the order they are listed.
 
     A pattern with a least length finds the same as one without whose short finds
-    are dropped, for AKIA and hex: what is short there ends where its run ends.
+    are dropped, for AKIA and hex: what is short there ends where its run ends. Each
+    is run only where its bytes show that it finds something.
     """
-    found = [(m.start(), 2, m.end(), m.group()) for m in HEX.finditer(text)]
-    if "AKIA" in text:
+    if data is None:
+        data, tokens = long_tokens(text)
+    found = []
+    if any(len(t) >= 16 and _HEX_RUN.search(t) for t in tokens):
+        found += [(m.start(), 2, m.end(), m.group()) for m in HEX.finditer(text)]
+    if b"AKIA" in data:
         found += [(m.start(), 1, m.end(), m.group()) for m in ACCESS.finditer(text)]
-    low = text.lower()
+    low = data.lower()
     if any(c in low for c in CUES):
         found += [(m.start(), 0, m.end(), m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST_VALUE]
     return sorted(found)
@@ -61,9 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def candidates(text: str, base: Sequence[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
     """(start, token) of the tokens that the automata score, all but those inside one base span."""
-    if not base:
-        return [(m.start(), m.group()) for m in CANDIDATE.finditer(text)]
-    return [(m.start(), m.group()) for m in CANDIDATE.finditer(text) if not any(s <= m.start() and m.end() <= e for s, _, e, _ in base)]
+    return [(m.start(), m.group()) for m in CANDIDATE.finditer(text) if m.end() - m.start() >= LEAST_TOKEN and not any(s <= m.start() and m.end() <= e for s, _, e, _ in base)]
 
 
 def symbols(token: str) -> str:
@@ -187,33 +199,48 @@ class Model:
     formats: dict[str, Format]
     pairs: dict[str, Counter]
     least: float = GAIN
-    known: dict[str, bool] = field(default_factory=dict)
+    known: dict[bytes, bool] = field(default_factory=dict)
+    verdicts: dict[str, bool] = field(default_factory=dict)
 
     def gain(self, string: str) -> float:
         """Nats by which the likeliest format exceeds ordinary tokens, from which this one's own counts are taken off.
 
         What comes after a token has left a format speaks neither for nor against it.
         """
+        logs = [f.logs(string) for f in self.formats.values()]
+        most = max(map(len, logs), default=0)  # most tokens leave every format at once
         steps = transitions(string)
-        own, befores = Counter(steps), Counter(before for before, _ in steps)
+        own, befores = Counter(steps[:2] if most <= 2 else steps), Counter(before for before, _ in steps)
         plain = []
-        for before, c in steps:
+        for before, c in steps[:most]:
             seen = self.pairs.get(before, Counter())
             among = _CASES if before == "case" else _LENGTHS if before == "length" else _SYMBOLS
             plain.append(math.log((max(0, seen[c] - own[before, c]) + 1) / (max(0, seen.total() - befores[before]) + among)))
-        return max((sum(x - y for x, y in zip(f.logs(string), plain)) for f in self.formats.values()), default=-math.inf)
+        return max((sum(x - y for x, y in zip(f, plain)) for f in logs), default=-math.inf)
+
+    def fits(self, token: bytes) -> bool:
+        """Whether a token is likelier a credential, by the odds of least."""
+        yes = self.known.get(token)
+        if yes is None:
+            if len(self.known) > 1 << 17:
+                self.known.clear()
+            string = symbols(token.decode())
+            yes = self.verdicts.get(string)
+            if yes is None:
+                if len(self.verdicts) > 1 << 16:
+                    self.verdicts.clear()
+                yes = self.verdicts[string] = self.gain(string) >= self.least
+            self.known[token] = yes
+        return yes
 
     def added(self, found: Sequence[tuple[int, str]]) -> list[tuple[int, int, int]]:
-        out = []
-        for start, token in found:
-            yes = self.known.get(token)
-            if yes is None:
-                if len(self.known) > 1 << 17:
-                    self.known.clear()
-                yes = self.known[token] = self.gain(symbols(token)) >= self.least
-            if yes:
-                out.append((start, 3, start + len(token)))
-        return out
+        return [(start, 3, start + len(token)) for start, token in found if self.fits(token.encode())]
+
+    def spans(self, text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int]]]:
+        """Base spans of a text, and those that the method adds."""
+        data, tokens = long_tokens(text)
+        base = base_spans(text, data, tokens)
+        return base, self.added(candidates(text, base)) if any(map(self.fits, tokens)) else []
 
 
 def learn(docs: DataFrame, labelled: DataFrame | None = None) -> Model:
@@ -233,7 +260,7 @@ def learn(docs: DataFrame, labelled: DataFrame | None = None) -> Model:
         def folded() -> None:
             strings: Counter = Counter()
             for token, n in seen.items():
-                strings[symbols(token)] += n
+                strings[symbols(token.decode())] += n
             for string, n in strings.items():
                 for pair in transitions(string):
                     pairs[pair] += n
@@ -246,9 +273,10 @@ def learn(docs: DataFrame, labelled: DataFrame | None = None) -> Model:
         for b in batches:
             for text in b.column(0):
                 text = text.as_py() or ""
-                base = base_spans(text)
+                data, tokens = long_tokens(text)
+                base = base_spans(text, data, tokens)
                 labels.update((KINDS[k], value) for _, k, _, value in base)
-                seen.update([t for _, t in candidates(text, base)] if base else CANDIDATE.findall(text))
+                seen.update([t.encode() for _, t in candidates(text, base)] if base else tokens)
                 if len(seen) > 1 << 17:
                     folded()
                 if len(labels) > 1 << 14:
@@ -295,10 +323,10 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFram
             rows = []
             for text in b.column(1):
                 text = text.as_py() or ""
-                base = base_spans(text)
+                base, added = model.spans(text)
                 spans = [s[:3] for s in base]
                 kinds = Counter(k for _, k, _ in spans)
-                every = spans + model.added(candidates(text, base))
+                every = spans + added
                 rows.append((kinds[0], kinds[1], kinds[2], hashlib.sha256(joined(spans).encode()).hexdigest(), joined(every)))
             columns = list(zip(*rows)) if rows else [()] * 5
             types = [pa.int64()] * 3 + [pa.string()] * 2
@@ -324,8 +352,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", labelled: DataFrame | None =
             for text in b.column(at):
                 text = text.as_py()
                 if text:
-                    base = base_spans(text)
-                    spans = [(e - len(v) if k == 0 else s, e) for s, k, e, v in base] + [(s, e) for s, _, e in model.added(candidates(text, base))]
+                    base, added = model.spans(text)
+                    spans = [(e - len(v) if k == 0 else s, e) for s, k, e, v in base] + [(s, e) for s, _, e in added]
                     out, done = [], 0
                     for start, end in sorted(spans):
                         if end <= done:
