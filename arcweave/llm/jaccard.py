@@ -31,9 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import BROADCAST_BYTES, written
+from arcweave.llm.common import BROADCAST_BYTES, in_small_batches, written
 from arcweave.llm.components import components
 
+#: Texts, or pairs of sets, that a Python worker holds at once.
+BATCH = 512
+
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -104,7 +107,8 @@ class _Join:
     def __init__(self, docs: DataFrame, width: int, share: Fraction):
         self.docs, self.width, self.share = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, share
         self.num, self.den = share.numerator, share.denominator
-        every = written(_sets(docs, width, share), "sets")
+        with in_small_batches(docs.sparkSession, BATCH):
+            every = written(_sets(docs, width, share), "sets")
         self.documents = every.select("doc_id", "n", "digest")
         sets = every.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.first("least").alias("least"), F.first("firsts").alias("firsts"))
         self.sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
@@ -140,7 +144,8 @@ class _Join:
         many = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
         shared = rows.join(many, "token").groupBy("id").agg(F.count("*").alias("k"))
         ids = self.sets.select("id", "least").join(shared, "id").where("k >= least").select("id")
-        return written(self.hashes(ids), "candidates")
+        with in_small_batches(ids.sparkSession, BATCH):
+            return written(self.hashes(ids), "candidates")
 
     def _shared(self, rows: DataFrame) -> DataFrame:
         """(id, n, shared) of the sets (id, n, token) of whose shingles enough are in others: these, rarest first."""
@@ -167,7 +172,8 @@ class _Join:
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "sizes", "apart", "diff"])
 
         met = first.join(second, "b").select("a", "b", "x", "y")
-        return written(met.mapInArrow(run, "a long, b long, sizes long, apart long, diff array<long>"), "apart")
+        with in_small_batches(met.sparkSession, BATCH):
+            return written(met.mapInArrow(run, "a long, b long, sizes long, apart long, diff array<long>"), "apart")
 
     def _hung(self, rows: DataFrame) -> DataFrame:
         """(id, root, diff) of the sets that hang on a root: the difference from it."""
