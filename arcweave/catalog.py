@@ -12,7 +12,8 @@ from arcweave.functions import identifiers as fn
 from arcweave.operators import extract, paths, stats
 from arcweave.operators.graph import PropertyGraph
 from arcweave.operators.traverse import NodeFilter, Traversal, TraversalRequest, closure
-from arcweave.schema import LEGAL_ARCS
+from arcweave.parse import NotFound
+from arcweave.schema import LABEL_DDL, LEGAL_ARCS
 from arcweave.sources import example
 from arcweave.sources.commerce import stored_graph
 
@@ -241,14 +242,34 @@ def count_of_types(g):
     return stats.count_of_types(g, "cnt,dir")
 
 
-@query("SELECT (SELECT count(*) FROM nodes) AS num_nodes, (SELECT count(*) FROM arcs) AS num_edges, (SELECT max(c) FROM (SELECT count(*) AS c FROM arcs GROUP BY src)) AS outdegree_max, (SELECT max(c) FROM (SELECT count(*) AS c FROM arcs GROUP BY dst)) AS indegree_max, (SELECT count(*) FROM nodes WHERE node_type = 'cnt') AS contents, (SELECT count(*) FROM arcs WHERE src_type = 'dir' AND dst_type = 'dir') AS dir_dir")
+_REPORT = ", o AS (SELECT node_id, count(src) AS degree FROM nodes LEFT JOIN arcs ON node_id = src GROUP BY 1), i AS (SELECT node_id, count(dst) AS degree FROM nodes LEFT JOIN arcs ON node_id = dst GROUP BY 1)"
+_ENTRIES = "(SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT {0} AS k, count(*) AS n FROM {1} GROUP BY 1))"
+
+
+@query(
+    _REPORT + "SELECT (SELECT count(*) FROM nodes) AS num_nodes, (SELECT count(*) FROM arcs) AS num_edges, "
+    + ", ".join(f"(SELECT {f}(degree) FROM {t}) AS {name}_{f}" for t, name in (("o", "outdegree"), ("i", "indegree")) for f in ("min", "max"))
+    + ", (SELECT round(avg(degree), 9) FROM o) AS outdegree_avg, (SELECT round(avg(degree), 9) FROM i) AS indegree_avg, "
+    + _ENTRIES.format("node_type", "nodes") + " AS num_nodes_by_type, " + _ENTRIES.format("src_type || ':' || dst_type", "arcs") + " AS num_arcs_by_type, 1::BIGINT AS export_started_at, 2::BIGINT AS export_ended_at"
+)
 def stats_report(g):
-    r = stats.report(g)
-    return r.select("num_nodes", "num_edges", "outdegree_max", "indegree_max", F.col("num_nodes_by_type")["cnt"].alias("contents"), F.col("num_arcs_by_type")["dir:dir"].alias("dir_dir"))
+    entries = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias(c)
+    r = stats.report(g, 1, 2)
+    return r.select(*[F.round(c, 9).alias(c) if c.endswith("_avg") else entries(c) if c.endswith("_by_type") else c for c in r.columns])
 
 
-@query("SELECT 'x' AS problem, 0::BIGINT AS n WHERE FALSE")
+@query("SELECT * FROM (VALUES ('loops', (SELECT count(*) FROM nodes WHERE node_type = 'rel')), ('illegal arcs', (SELECT count(*) FROM nodes WHERE node_type = 'snp')), ('repeated ids', (SELECT count(*) FROM nodes WHERE node_type = 'ori')), ('ends without node', (SELECT count(*) FROM nodes WHERE node_type = 'snp'))) t(problem, n)")
 def build_problems(g):
+    """Of a graph with planted faults: loops at releases, arcs from snapshots to ids that are none, of types that aren't legal, and origins that stand twice."""
+    empty = F.array().cast(f"array<{LABEL_DDL}>").alias("labels")
+    loops = g.nodes.where("node_type = 'rel'").select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.col("node_type").alias("src_type"), F.col("node_type").alias("dst_type"), empty)
+    lost = g.nodes.where("node_type = 'snp'").select(F.col("node_id").alias("src"), (-F.col("node_id")).alias("dst"), F.col("node_type").alias("src_type"), F.lit("ori").alias("dst_type"), empty)
+    faulty = PropertyGraph(g.nodes.unionByName(g.nodes.where("node_type = 'ori'")), g.arcs.unionByName(loops).unionByName(lost))
+    return extract.problems(faulty, LEGAL_ARCS)
+
+
+@query("SELECT 'x' AS problem, count(*) AS n FROM arcs WHERE src = dst OR (src_type || ':' || dst_type) NOT IN (" + ", ".join(f"'{a}'" for a in LEGAL_ARCS) + ") HAVING count(*) > 0")
+def build_without_problems(g):
     return extract.problems(g, LEGAL_ARCS)
 
 
@@ -338,12 +359,12 @@ def max_depth_two(g):
     return _traversal(g, src=[NATION_ID], max_depth=2).nodes()
 
 
-@query(reach(str(CUSTOMER), types_sql("rev:dir,dir:dir"), depth=30) + "SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node HAVING min(depth) >= 1")
+@query(reach(str(CUSTOMER), types_sql("rev:dir,dir:dir"), depth=100_000) + "SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node HAVING min(depth) >= 1")
 def depths_of_orders(g):
     return _traversal(g, src=[CUSTOMER_ID], edges="rev:dir,dir:dir", min_depth=1).nodes()
 
 
-@query(reach(f"{ORDER}", types_sql("dir:dir"), depth=60) + "SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node")
+@query(reach(f"{ORDER}", types_sql("dir:dir"), depth=100_000) + "SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node")
 def order_chain(g):
     return _traversal(g, src=[ORDER_ID], edges="dir:dir").nodes()
 
@@ -378,10 +399,16 @@ def limited_nodes(g):
     return _traversal(g, src=[NATION_ID], edges="snp:rev,snp:rel", max_matching_nodes=10).nodes().select("node")
 
 
-@query(f", o AS (SELECT DISTINCT dst FROM arcs WHERE src = {ORDER}) SELECT swhid, length, CAST(deg AS BIGINT) AS num_successors FROM nodes JOIN o ON dst = node_id LEFT JOIN (SELECT src, count(*) AS deg FROM arcs GROUP BY src) d ON FALSE WHERE node_type = 'cnt'")
+@query(reach(str(CUSTOMER), types_sql("rev:dir,dir:dir")) + ", n AS (SELECT src, count(*) AS c FROM arcs WHERE src_type = 'dir' GROUP BY 1) SELECT swhid, coalesce(c, 0) AS num_successors FROM walk JOIN nodes ON node = node_id LEFT JOIN n ON src = node_id WHERE node_type = 'dir'")
 def described_nodes(g):
+    t = _traversal(g, src=[CUSTOMER_ID], edges="rev:dir,dir:dir", return_nodes=NodeFilter("dir"))
+    return GraphService(g).described(t.nodes(), "swhid,num_successors").select("swhid", "num_successors")
+
+
+@query(f", o AS (SELECT dst FROM arcs WHERE src = {ORDER}) SELECT swhid, length FROM nodes JOIN o ON dst = node_id WHERE node_type = 'cnt'")
+def described_contents(g):
     t = _traversal(g, src=[ORDER_ID], edges="dir:cnt", return_nodes=NodeFilter("cnt"))
-    return GraphService(g).described(t.nodes(), "swhid,cnt.length").select("swhid", "cnt.length", F.lit(None).cast("bigint").alias("num_successors"))
+    return GraphService(g).described(t.nodes(), "swhid,cnt.length").select("swhid", "cnt.length")
 
 
 @query(f"SELECT a.swhid, b.swhid AS successor, CAST(list(name ORDER BY name) AS VARCHAR[])[1] AS first_label FROM label_rows r JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE src = {ORDER} AND dst_type = 'cnt' GROUP BY 1, 2")
@@ -399,44 +426,120 @@ def closure_of_origin(g):
 
 # paths
 
-_SHORTEST = ", s AS (SELECT src AS s, dst AS d FROM arcs UNION ALL SELECT NULL, NULL WHERE FALSE)"
+#: After reach() with a depth: the least depth of each node, its parent of the least id, and back() of one end to the start.
+_TREE = ", near AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node), up AS (SELECT b.node, b.depth, min(a.node) AS parent FROM near b JOIN step ON d = b.node JOIN near a ON a.node = s AND a.depth = b.depth - 1 GROUP BY 1, 2)"
+
+
+def _back(ends: str) -> str:
+    return _TREE + f", back AS (SELECT node, depth FROM ({ends}) UNION ALL SELECT parent, depth - 1 FROM back JOIN up USING (node, depth))"
 
 
-@query(reach(str(PART), backward=True, depth=4) + f"SELECT CAST(min(depth) AS INTEGER) AS length FROM walk JOIN nodes ON node = node_id WHERE node_type = 'ori'")
+#: back as rows of a path: place, node and first label of the arc to the next node.
+_PATH = (
+    ", names AS (SELECT src AS a, dst AS b, min(name) AS name FROM label_rows GROUP BY 1, 2), both_ways AS (SELECT a, b, name FROM names UNION ALL SELECT b, a, name FROM names)"
+    " SELECT CAST(x.depth AS INTEGER) AS pos, swhid, name FROM back x JOIN nodes ON node_id = x.node LEFT JOIN back y ON y.depth = x.depth + 1 LEFT JOIN both_ways ON a = x.node AND b = y.node"
+)
+
+
+def _path(g: PropertyGraph, p: paths.Path) -> DataFrame:
+    return paths.path_rows(g, p).select("pos", "swhid", F.get(F.col("labels.name"), F.lit(0)).cast("string").alias("name"))
+
+
+@query(reach(str(PART), backward=True, depth=4) + _back("SELECT node, depth FROM near JOIN nodes ON node = node_id WHERE node_type = 'ori' ORDER BY depth, node LIMIT 1") + _PATH)
 def shortest_path_to_origin(g):
-    p = paths.find_path_to(g, paths.FindPathToRequest([PART_ID], NodeFilter("ori"), "BACKWARD"))
-    return g.spark.createDataFrame([(len(p.nodes) - 1,)], "length int")
+    return _path(g, paths.find_path_to(g, paths.FindPathToRequest([PART_ID], NodeFilter("ori"), "BACKWARD")))
 
 
-@query(reach(str(REGION), depth=6, where="src_type <> 'rel'") + f"SELECT CAST(min(depth) AS INTEGER) AS length FROM walk WHERE node = {PART}")
+@query(reach(str(ORDER), backward=True, depth=4) + _back("SELECT node, depth FROM near JOIN nodes ON node = node_id WHERE node_type = 'ori' ORDER BY depth, node LIMIT 1") + _PATH)
 def shortest_path_between(g):
-    p = paths.find_path_between(g.subgraph(arc_filter=F.col("src_type") != "rel"), paths.FindPathBetweenRequest([REGION_ID], [PART_ID]))
-    return g.spark.createDataFrame([(len(p.nodes) - 1,)], "length int")
+    """From an order to any region, over its customer and nation: of this length there is one path."""
+    regions = [_swhid("region", "ori", k) for k in range(5)]
+    return _path(g, paths.find_path_between(g, paths.FindPathBetweenRequest([ORDER_ID], regions, "BACKWARD")))
 
 
-@query(", b AS (SELECT dst AS node, src AS up FROM arcs), " + "w1 AS (SELECT 4000000001 AS node, 0 AS depth UNION SELECT up, depth + 1 FROM w1 JOIN b USING (node) WHERE depth < 5), w2 AS (SELECT 4000000002 AS node, 0 AS depth UNION SELECT up, depth + 1 FROM w2 JOIN b USING (node) WHERE depth < 5) SELECT CAST(coalesce(min(w1.depth + w2.depth), -1) AS INTEGER) AS length FROM w1 JOIN w2 USING (node)")
+@query(f", n AS (SELECT src AS nation FROM arcs WHERE dst = {CUSTOMER} AND src_type = 'snp'), o AS (SELECT min(dst) AS other FROM arcs JOIN n ON src = nation WHERE dst_type = 'rev' AND dst <> {CUSTOMER}), r AS (SELECT 0 AS pos, CAST({CUSTOMER} AS BIGINT) AS node FROM o WHERE other IS NOT NULL UNION ALL SELECT 1, nation FROM n, o WHERE other IS NOT NULL UNION ALL SELECT 2, other FROM o WHERE other IS NOT NULL) SELECT CAST(pos AS INTEGER) AS pos, swhid, pos = 1 AS is_midpoint FROM r JOIN nodes ON node_id = node")
 def common_ancestor(g):
-    from arcweave.parse import NotFound
+    """Of one customer and the first other one of its nation."""
+    nation = g.predecessors(CUSTOMER).where(F.col("node_id") >= 5 * 10**9)
+    other = g.arcs.where("dst_type = 'rev'").join(nation, F.col("src") == F.col("node_id")).where(F.col("dst") != CUSTOMER).agg(F.min("dst").alias("node_id"))
+    ids = [r.swhid for r in g.nodes.join(other, "node_id").select("swhid").collect()]
+    request = paths.FindPathBetweenRequest([CUSTOMER_ID], ids, "BACKWARD", "BACKWARD")
+    return GraphService(g).find_path_between(request).select("pos", "swhid", "is_midpoint")
 
+
+@query("SELECT 'none' AS found")
+def no_path(g):
+    """Parts have no arcs of their own: what isn't found is an error."""
     try:
-        p = paths.find_path_between(g, paths.FindPathBetweenRequest([_swhid("customer", "rev", 1)], [_swhid("customer", "rev", 2)], "BACKWARD", "BACKWARD"))
-        n = len(p.nodes) - 1
+        paths.find_path_between(g, paths.FindPathBetweenRequest([PART_ID], [REGION_ID]))
     except NotFound:
-        n = -1
-    return g.spark.createDataFrame([(n,)], "length int")
+        return g.spark.createDataFrame([("none",)], "found string")
+    return g.spark.createDataFrame([("a path",)], "found string")
+
+
+@query(reach(str(ORDER), backward=True) + "SELECT r.swhid AS origin, o.swhid || ';visit=' || s.swhid || ';anchor=' || c.swhid || ';path=/' AS context FROM nodes o JOIN arcs a1 ON a1.dst = o.node_id AND a1.src_type = 'rev' JOIN nodes c ON c.node_id = a1.src JOIN arcs a2 ON a2.dst = c.node_id JOIN nodes s ON s.node_id = a2.src JOIN arcs a3 ON a3.dst = s.node_id JOIN nodes r ON r.node_id = a3.src WHERE o.node_id = " + str(ORDER))
+def contexts_of_order(g):
+    found = paths.origin_paths(g, ORDER_ID)
+    text = F.regexp_replace("context", ";origin=[^;]*", "")
+    return paths.contexts(g, found).join(g.nodes.select(F.col("node_id").alias("origin"), "swhid"), "origin").select(F.col("swhid").alias("origin"), text.alias("context"))
+
+
+@query(reach(str(ORDER), types_sql("dir:cnt"), depth=1) + _back("SELECT node, depth FROM near JOIN nodes ON node = node_id WHERE node_type = 'cnt' ORDER BY depth, node LIMIT 1") + " SELECT CAST(depth AS INTEGER) AS pos, swhid FROM back JOIN nodes ON node_id = node")
+def walk_to_content(g):
+    path = GraphService(g).walk(ORDER_ID, "cnt", edges="dir:cnt")
+    return g.spark.createDataFrame(list(enumerate(path)), "pos int, swhid string")
+
+
+@query(reach(str(PART), backward=True) + "SELECT true AS arcs_hold, true AS ends_in_an_origin, swhid AS first FROM nodes WHERE node_id = " + str(PART))
+def random_walk_to_origin(g):
+    """A walk of any length: each step is an arc, and the last node is an origin."""
+    ids = paths.random_walk(g, PART_ID, "ori", "BACKWARD")
+    steps = g.spark.createDataFrame(list(zip(ids[1:], ids)), "src bigint, dst bigint")
+    held = g.arcs.join(F.broadcast(steps), ["src", "dst"], "left_semi").agg((F.count("*") == len(ids) - 1).alias("arcs_hold"))
+    ends = g.nodes.where(F.col("node_id") == ids[-1]).select((F.col("node_type") == "ori").alias("ends_in_an_origin"))
+    return held.crossJoin(ends).crossJoin(g.nodes.where(F.col("node_id") == ids[0]).select(F.col("swhid").alias("first")))  # one row each
+
+
+@query("SELECT node_type, count(*) AS count, 0::BIGINT AS before FROM nodes GROUP BY 1")
+def breadth_first_order(g):
+    """A numbering of all nodes: dense, each once; in a graph without cycles no origin is reached from another, so origins are first of their own trees."""
+    order = paths.bfs_order(g).join(g.nodes.select("node_id", "node_type"), "node_id")
+    n = g.num_nodes()
+    wrong = F.count_if((F.col("place") < 0) | (F.col("place") >= n))
+    return order.groupBy("node_type").agg(F.count_distinct("place").alias("count"), wrong.alias("before"))
+
+
+@query("SELECT node_id, length FROM nodes")
+def property_of_nodes(g):
+    return g.property("length")
+
+
+@query(", l AS (SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS label_name_id FROM (SELECT DISTINCT name FROM label_rows WHERE name IS NOT NULL)) SELECT n AS name, label_name_id FROM (VALUES ('1'), ('Customer#000000007'), ('nowhere')) a(n) LEFT JOIN l ON name = n")
+def label_name_lookup(g):
+    asked = g.spark.createDataFrame([("1",), ("Customer#000000007",), ("nowhere",)], "name string")
+    return g.label_name_ids(asked).select(F.col("name").cast("string").alias("name"), "label_name_id")
 
 
 # distributions over all roots
 
 
-@query(", r AS (SELECT DISTINCT src AS root, dst AS node FROM arcs WHERE src_type = 'rev' AND dst_type = 'dir'), c AS (SELECT DISTINCT root, dst FROM r JOIN arcs ON src = node WHERE dst_type = 'cnt') SELECT node_id AS root, count(dst) AS count FROM nodes LEFT JOIN c ON root = node_id WHERE node_type = 'rev' GROUP BY 1")
+#: Every revision with the directories under it, at any depth.
+_DIRS = ", w AS (SELECT src AS rev, dst AS node FROM arcs WHERE src_type = 'rev' AND dst_type = 'dir' UNION SELECT rev, dst FROM w JOIN arcs ON src = node WHERE src_type = 'dir' AND dst_type = 'dir'), held AS (SELECT DISTINCT rev, dst AS cnt FROM w JOIN arcs ON src = node WHERE dst_type = 'cnt')"
+
+
+@query(_DIRS + " SELECT node_id AS root, count(cnt) AS count FROM nodes LEFT JOIN held ON rev = node_id WHERE node_type = 'rev' GROUP BY 1")
 def revision_sizes(g):
-    return stats.reach_counts(g, g.nodes.where("node_type = 'rev'").select(F.col("node_id").alias("node")), "cnt", "rev:dir,dir:cnt")
+    return stats.reach_counts(g, g.nodes.where("node_type = 'rev'").select(F.col("node_id").alias("node")), "cnt", leaves=True)
 
 
-@query(", r AS (SELECT dst AS root, src AS node FROM arcs WHERE dst_type = 'cnt' AND src_type = 'dir'), up AS (SELECT DISTINCT root, src AS node FROM r JOIN arcs ON dst = node WHERE src_type = 'rev' AND dst_type = 'dir') SELECT node_id AS root, count(node) AS count FROM nodes LEFT JOIN up ON root = node_id WHERE node_type = 'cnt' GROUP BY 1")
+@query(_DIRS + " SELECT node_id AS root, count(rev) AS count FROM nodes LEFT JOIN held ON cnt = node_id WHERE node_type = 'cnt' GROUP BY 1")
 def content_popularity(g):
-    return stats.reach_counts(g, g.nodes.where("node_type = 'cnt'").select(F.col("node_id").alias("node")), "rev", "cnt:dir,dir:rev", "BACKWARD", leaves=True)
+    return stats.reach_counts(g, g.nodes.where("node_type = 'cnt'").select(F.col("node_id").alias("node")), "rev", "cnt:dir,dir:dir,dir:rev", "BACKWARD", leaves=True, carry="targets")
+
+
+@query(", o AS (SELECT c.dst AS root, a.src AS node FROM arcs c JOIN arcs a ON a.dst = c.src WHERE c.src_type = 'snp' AND c.dst_type = 'rev' AND a.src_type = 'ori') SELECT node_id AS root, count(DISTINCT node) AS count FROM nodes LEFT JOIN o ON root = node_id WHERE node_type = 'rev' GROUP BY 1")
+def commit_popularity(g):
+    return stats.reach_counts(g, g.nodes.where("node_type = 'rev'").select(F.col("node_id").alias("node")), "ori", "*", "BACKWARD", leaves=True)
 
 
 @query(", o AS (SELECT a.src AS root, b.dst AS node FROM arcs a JOIN arcs b ON a.dst = b.src WHERE a.src_type = 'ori' AND b.dst_type = 'rev') SELECT node_id AS root, count(DISTINCT node) AS count FROM nodes LEFT JOIN o ON root = node_id WHERE node_type = 'ori' GROUP BY 1")
@@ -485,11 +588,16 @@ def label_functions(spark, sf_dir):
     packed = fn.packed_entry(F.col("l_partkey"), F.col("l_linenumber") % 8)
     back = fn.unpacked_entry(packed)
     mode = F.element_at(F.array(*[F.lit(m) for m in (0o100644, 0o100755, 0o120000, 0o040000, 0o160000, 0o100600, 7)]), F.col("l_linenumber") % 7 + 1)
-    return items.select("l_orderkey", "l_linenumber", packed.alias("packed"), back["name_id"].alias("name_id"), back["permission_code"].alias("code"), fn.permission_name(mode).alias("permission"))
+    visit = fn.packed_visit(F.col("l_orderkey").cast("bigint") + 10**9, F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") % 8)
+    seen = fn.unpacked_visit(visit)
+    return items.select(
+        "l_orderkey", "l_linenumber", packed.alias("packed"), back["name_id"].alias("name_id"), back["permission_code"].alias("code"), fn.permission_name(mode).alias("permission"),
+        visit.alias("visit"), seen["visit_timestamp"].alias("visited"), seen["is_full_visit"].alias("full"), seen["visit_code"].alias("visit_code"), fn.packed_branch(F.col("l_partkey")).alias("branch"),
+    )
 
 
 QUERIES["label_functions"] = label_functions
-ORACLES["label_functions"] = "SELECT l_orderkey, l_linenumber, l_partkey * 8 + l_linenumber % 8 AS packed, l_partkey AS name_id, CAST(l_linenumber % 8 AS INTEGER) AS code, CASE l_linenumber % 7 WHEN 0 THEN 'content' WHEN 1 THEN 'executable' WHEN 2 THEN 'symlink' WHEN 3 THEN 'directory' WHEN 4 THEN 'revision' ELSE 'none' END AS permission FROM lineitem"
+ORACLES["label_functions"] = "SELECT l_orderkey, l_linenumber, l_partkey * 8 + l_linenumber % 8 AS packed, (l_orderkey + 1000000000) * 32 + (CASE WHEN l_linenumber % 2 = 0 THEN 16 ELSE 0 END) + 8 + l_linenumber % 8 AS visit, l_orderkey + 1000000000 AS visited, l_linenumber % 2 = 0 AS \"full\", CAST(l_linenumber % 8 AS INTEGER) AS visit_code, l_partkey * 8 AS branch, l_partkey AS name_id, CAST(l_linenumber % 8 AS INTEGER) AS code, CASE l_linenumber % 7 WHEN 0 THEN 'content' WHEN 1 THEN 'executable' WHEN 2 THEN 'symlink' WHEN 3 THEN 'directory' WHEN 4 THEN 'revision' ELSE 'none' END AS permission FROM lineitem"
 
 
 # the ingest, on the small relations that it is given

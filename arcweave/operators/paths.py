@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.functions.identifiers import lossy_text
 from arcweave.operators.graph import PropertyGraph
 from arcweave.operators.traverse import NodeFilter, source_rows, usable_arcs
 from arcweave.parse import InvalidArgument, NotFound, natural, node_types, reverse_edges
@@ -205,7 +206,7 @@ def contexts(graph: PropertyGraph, found: DataFrame, qualified: bool = True) ->
     first = lambda kind: F.get(F.filter("r", lambda x: x.node_type == kind), F.lit(0))
     core, snapshot, anchor = F.get("r", F.lit(0)), first("snp"), F.coalesce(first("rev"), first("rel"))
     inside = F.filter("r", lambda x, i: x.node_type.isin("cnt", "dir") & (F.get(F.col("r.node_type"), i + 1) == "dir") & x["name"].isNotNull())
-    path = F.array_join(F.reverse(F.transform(inside, lambda x: F.make_valid_utf8(x["name"].cast("string")))), "/")
+    path = F.array_join(F.reverse(F.transform(inside, lambda x: lossy_text(x["name"]))), "/")
     within = F.concat(F.coalesce(F.concat(F.lit(";anchor="), anchor.swhid), F.lit("")), F.lit(";path=/"), path)
     text = F.concat(
         core.swhid, F.coalesce(F.concat(F.lit(";origin="), first("ori").url), F.lit("")),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.operators.graph import PropertyGraph
-from arcweave.plans.tables import written
+from arcweave.parse import reverse_edges
+from arcweave.plans.tables import counted, written
 
 
 def nodes_by_type(graph: PropertyGraph) -> DataFrame:
@@ -71,35 +72,44 @@ def count_of_types(graph: PropertyGraph, types: str) -> DataFrame:
     return nodes.agg(F.count("*").alias("count"))
 
 
-def reach_counts(graph: PropertyGraph, roots: DataFrame, targets: str, restriction: str = "*", direction: str = "FORWARD", leaves: bool = False) -> DataFrame:
+def reach_counts(graph: PropertyGraph, roots: DataFrame, targets: str, restriction: str = "*", direction: str = "FORWARD", leaves: bool = False, carry: str = "roots") -> DataFrame:
     """For every root (node) at once, how many nodes of these types it reaches: root, count (zeros included).
 
-    The walk carries the root. Pairs (root, node) are made distinct in each task
-    before they are shuffled. All pairs found are kept until the end, as exact
-    numbers of distinct nodes need them: as many rows as the sum of what is reached,
-    in tables of the shared folder, not in memory.
-    leaves: count only nodes without usable arcs.
+    The walk carries its start: the root, or with carry "targets" each target, walked
+    back from; the answer is the same, and the side from which a node is reached by
+    fewer starts costs less. Pairs (start, node) are made distinct in each task before
+    they are shuffled. All pairs found are kept until the end, as exact numbers of
+    distinct nodes need them: as many rows as the sum of what is reached, in tables of
+    the shared folder, not in memory. leaves: count only nodes without usable arcs.
     """
     from arcweave.operators.traverse import usable_arcs
-    from arcweave.parse import node_types
+    from arcweave.parse import InvalidArgument, node_types
 
+    if carry not in ("roots", "targets"):
+        raise InvalidArgument(f"carry is roots or targets, not {carry}")
     arcs = usable_arcs(graph, direction, restriction, [])
-    seen = written(roots.select(F.col("node").alias("root"), "node").distinct(), "reach")
-    layer = seen
-    while True:
-        layer = arcs.join(layer.withColumnRenamed("node", "src"), "src").select("root", F.col("dst").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
-        layer = written(layer, "reach")
-        if layer.isEmpty():
-            break
-        seen = seen.union(layer)
     kept = node_types(targets)
-    found = seen
-    if kept is not None:
-        found = found.join(graph.nodes.where(F.col("node_type").isin(*kept)).select(F.col("node_id").alias("node")), "node", "left_semi")
+    ends = (graph.nodes if kept is None else graph.nodes.where(F.col("node_type").isin(*kept))).select(F.col("node_id").alias("node"))
     if leaves:
-        found = found.join(arcs.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    n = found.groupBy("root").agg(F.count("*").alias("count"))
-    return roots.select(F.col("node").alias("root")).distinct().join(n, "root", "left").select("root", F.coalesce("count", F.lit(0)).alias("count"))
+        ends = ends.join(arcs.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    roots = roots.select("node").distinct()
+    back = carry == "targets"
+    if back:
+        other = {"FORWARD": "BACKWARD", "BACKWARD": "FORWARD"}[direction]
+        arcs = usable_arcs(graph, other, reverse_edges(restriction), [])
+    seen = written((ends if back else roots).select(F.col("node").alias("start"), "node"), "reach")
+    layer, rounds = seen, 0
+    while True:
+        layer = arcs.join(layer.withColumnRenamed("node", "src"), "src").select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
+        layer, n = counted(layer, "reach")
+        if not n:
+            break
+        seen, rounds = seen.union(layer), rounds + 1
+        if rounds % 10 == 0:
+            seen = written(seen, "reach")
+    found = seen.join(roots if back else ends, "node", "left_semi")
+    n = found.groupBy(F.col("node" if back else "start").alias("root")).agg(F.count("*").alias("count"))
+    return roots.select(F.col("node").alias("root")).join(n, "root", "left").select("root", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def earliest_revisions(graph: PropertyGraph, objects: DataFrame) -> DataFrame:

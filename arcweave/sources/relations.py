@@ -86,7 +86,3 @@ class GraphBuilder:
         key = lambda x: tuple((v is not None, v) for v in x.values())
         arcs = [(s, d, types[s], types[d], sorted(labels, key=key)) for (s, d), labels in self._arcs.items()]
         return PropertyGraph.of(self.spark.createDataFrame(nodes, node_schema), self.spark.createDataFrame(arcs, arc_schema))
-
-
-def branch_targets() -> list[str]:
-    return [t for t in TARGET_TYPES if t not in ("file", "dir", "rev")]
