@@ -1,11 +1,17 @@
 """Personal data replaced by surrogates, in DataFrame operations alone.
 
-A surrogate is made from a value by a keyed permutation of all values of its
+What is found is taken apart into units: an address of mail, a number, a given name,
+a family name. A unit's surrogate is made by a keyed permutation of all values of its
 format: letters stay letters of their script and case, digits stay digits, marks
-stay where they are. No value stays as it is. So one value has one surrogate wherever it stands, and
-different values have different ones. Names get a first name of the same gender from
-a list, which could make two alike; all surrogates are therefore checked against
-each other and against all values found, and those that collide are made anew.
+stay where they are. Given names get one of the same gender from lists, or several
+joined. No unit stays as it is, one unit has one surrogate wherever it stands, and
+different units have different ones, for which all surrogates are checked against
+each other and against all units found; those that collide are made anew.
+
+So mentions corefer by their units: "Mrs Anna Schmidt", "Dr Schmidt" and a later
+"Schmidt" share a family name. The gender of a given name is that of its titles in
+all texts, not of the one beside it. In a text that names a person with a title, the
+same names are replaced without one too. Addresses of mail corefer in any case.
 """
 
 from __future__ import annotations
@@ -28,7 +34,8 @@ PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<
 SOCIAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\d-])"
 ACCOUNT = r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 CARD = r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])"
-PERSON = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{OTHER})\.? {_NAME}(?: {_NAME})?"
+TITLE = rf"(?:{FEMALE}|{MALE}|{OTHER})\.? "
+PERSON = rf"(?<!\p{{L}}){TITLE}{_NAME}(?: {_NAME})?"
 ANY = "|".join((EMAIL, ADDRESS, PHONE, SOCIAL, ACCOUNT, CARD, PERSON))
 #: A text without any of these holds none of the above; each alternative of ANY has one of them at least.
 CUE = rf"@|\d{{3}}|\d\.\d|\+\d|[A-Z]{{2}}\d{{2}}|(?:{FEMALE}|{MALE}|{OTHER})\.? \p{{L}}"
@@ -50,6 +57,7 @@ ALPHABETS = [
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
+_UPPER = ALPHABETS[1]
 #: Ranges of code points that may stand for each other: ideographs and syllables.
 RANGES = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x17000, 0x187F7), (0x20000, 0x2A6DF), (0x2A700, 0x2B739), (0x2B740, 0x2B81D), (0x2B820, 0x2CEA1), (0x2CEB0, 0x2EBE0), (0x30000, 0x3134A), (0x31350, 0x323AF)]
 #: Collisions after which a name or an address of mail gets a longer surrogate, as short ones may be used up.
@@ -126,17 +134,41 @@ def _checksum(digits: Column) -> Column:
     return (10 - total % 10) % 10
 
 
-def surrogate(value: Column, attempt: Column, key: str) -> Column:
-    """Of a value found, by its kind; attempt counts how often one was made before that collided."""
-    again = attempt.cast("string")
-    p = lambda v, t="": permuted(v, F.concat(F.lit(t + "/"), again) if isinstance(t, str) else F.concat(t, F.lit("/"), again), key, t not in ("address", "card", "social", "phone", "account") if isinstance(t, str) else True)
+def _names(value: Column) -> tuple[Column, Column]:
+    """Title and names of a person as it stands; the title may be empty."""
+    title = F.regexp_extract(value, f"^{TITLE}", 0)
+    return title, F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
+
+
+def _gender(title: Column) -> Column:
+    return F.when(title.rlike(f"^(?:{FEMALE})\\b"), "f").when(title.rlike(f"^(?:{MALE})\\b"), "m").otherwise("n")
+
+
+def units(value: Column, given: Column) -> Column:
+    """Array of (unit, gender) of a value found: a letter for the kind of unit, a colon, and the unit; gender by its own title, of given names alone.
+
+    given: the given names of the text, as a name alone may be one.
+    """
+    title, names = _names(value)
+    first, last = F.get(names, F.lit(0)), F.get(names, F.lit(1))
+    unit = lambda letter, v, gender=None: F.struct(F.concat(F.lit(letter + ":"), v).alias("unit"), (F.lit(None).cast("string") if gender is None else gender).alias("gender"))
+    person = F.when(last.isNotNull(), F.array(unit("g", first, _gender(title)), unit("f", last))).when((title == "") & F.array_contains(given, first), F.array(unit("g", first, F.lit("n")))).otherwise(F.array(unit("f", first)))
+    k = kind(value)
+    return F.when(k == "person", person).when(k == "email", F.array(unit("e", F.translate(value, _UPPER, _UPPER.lower())))).otherwise(F.array(unit("v", value)))
+
+
+def surrogate(unit: Column, attempt: Column, gender: Column, key: str) -> Column:
+    """Of a unit; attempt counts how often one was made before that collided."""
+    letter, value, again = F.substring(unit, 1, 1), F.substring(unit, F.lit(3), F.length(unit)), attempt.cast("string")
+    p = lambda v, t="", wide=True: permuted(v, F.concat(F.lit(t) if isinstance(t, str) else t, F.lit("/"), again), key, wide)
+    number = lambda *parts: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), again, *parts), 256), 1, 8), 16, 10).cast("long")
     more = F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), again, value), 256), 1, 8), "0123456789abcdef", "abcdefghijklmnop")
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     last = F.substring_index(domain, ".", -1)
     before = F.substring(domain, F.lit(1), F.length(domain) - F.length(last))
     fixed = ~F.concat(local, before).rlike(r"[\p{L}\p{N}]")
     longer = F.when((attempt >= LONGER) | (fixed & (attempt > 0)), more).otherwise("")
-    email = F.concat(p(local, F.lower(domain)), longer, F.lit("@"), p(before, "domain"), last)
+    email = F.concat(p(local, domain), longer, F.lit("@"), p(before, "domain"), last)
     octets = F.split(value, r"\.")
     shift = lambda mine, other, i: F.array_join(
         F.transform(F.split(mine, r"\."), lambda o, j: ((o.cast("int") + F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), again, F.lit(i), other), 256), j * 4 + 1, F.lit(4)), 16, 10).cast("int")) % 256).cast("string")), "."
@@ -144,83 +176,111 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
     valid = F.forall(octets, lambda o: (o.cast("int") < 256) & (o == o.cast("int").cast("string")))
     front, back = F.substring_index(value, ".", 2), F.substring_index(value, ".", -2)
     moved = shift(back, front, "a")
-    address = F.when(valid, F.concat(shift(front, moved, "b"), F.lit("."), moved)).otherwise(p(value, "address"))
+    address = F.when(valid, F.concat(shift(front, moved, "b"), F.lit("."), moved)).otherwise(p(value, "address", False))
     digits = F.regexp_replace(value, "[^0-9]", "")
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = p(body, "card")
+    new = p(body, "card", False)
     check = (F.right(digits, F.lit(1)).cast("int") + 10 - _checksum(body) + _checksum(new)) % 10  # as valid, or as far from it, as before
     whole = F.concat(new, check.cast("string"))
     mark = F.substring(value, 5, 1)
     groups = F.when(mark.rlike("[ -]"), F.concat(F.substring(whole, 1, 4), mark, F.substring(whole, 5, 4), mark, F.substring(whole, 9, 4), mark, F.substring(whole, F.lit(13), F.length(whole)))).otherwise(whole)
     code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[^\d]))", 1)
-    phone = F.concat(code, p(F.substring(value, F.length(code) + 1, F.length(value)), "phone"))
-    account = F.concat(F.substring(value, 1, 2), p(F.substring(value, F.lit(3), F.length(value)), "account"))
-    title = F.regexp_extract(value, r"^(\S+ )", 1)
-    rest = F.substring(value, F.length(title) + 1, F.length(value))
-    gender = F.when(title.rlike(f"^(?:{FEMALE})\\b"), "f").when(title.rlike(f"^(?:{MALE})\\b"), "m").otherwise("n")
-    pick = lambda g: F.element_at(F.array(*map(F.lit, NAMES[g])), (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), again, F.substring_index(rest, " ", 1)), 256), 1, 8), 16, 10).cast("long") % len(NAMES[g]) + 1).cast("int"))
-    first = F.when(gender == "f", pick("f")).when(gender == "m", pick("m")).otherwise(pick("n"))
-    latin = F.substring_index(rest, " ", 1).rlike(r"^[\x00-ɏ’]+$")
-    family = F.substring_index(rest, " ", -1)
-    two = F.concat(title, F.when(latin, first).otherwise(p(F.substring_index(rest, " ", 1), "first")), F.lit(" "), p(family, F.substring_index(rest, " ", 1)))
-    person = F.concat(F.when(rest.contains(" "), two).otherwise(F.concat(title, p(rest, "family"))), F.when(attempt >= LONGER, more).otherwise(""))
+    phone = F.concat(code, p(F.substring(value, F.length(code) + 1, F.length(value)), "phone", False))
+    account = F.concat(F.substring(value, 1, 2), p(F.substring(value, F.lit(3), F.length(value)), "account", False))
+    pick = lambda i: F.element_at(F.when(gender == "f", F.array(*map(F.lit, NAMES["f"]))).when(gender == "m", F.array(*map(F.lit, NAMES["m"]))).otherwise(F.array(*map(F.lit, NAMES["n"]))), (number(i.cast("string"), value) % 20 + 1).cast("int"))
+    listed = F.array_join(F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(3))), pick), "-")
+    suffix = F.when(attempt >= LONGER, more).otherwise("")
+    given = F.concat(F.when(value.rlike(r"^[\x00-ɏ’]+$"), listed).otherwise(p(value, "given")), suffix)
     k = kind(value)
     return (
-        F.when(k == "email", email).when(k == "address", address).when(k == "card", groups).when(k == "social", p(value, "social"))
-        .when(k == "phone", phone).when(k == "account", account).otherwise(person)
+        F.when(letter == "e", email).when(letter == "g", given).when(letter == "f", F.concat(p(value, "family"), suffix))
+        .when(k == "address", address).when(k == "card", groups).when(k == "social", p(value, "social", False))
+        .when(k == "phone", phone).otherwise(account)
     )
 
 
-def found(text: Column) -> Column:
-    """Values in the order in which they stand."""
-    return F.when(text.rlike(CUE), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
+def _cased(new: Column, like: Column) -> Column:
+    """new in the case of like, letter by letter, where both are as long."""
+    letters = F.transform(F.split(new, ""), lambda c, i: F.when(F.substring(like, i + 1, F.lit(1)).rlike("^[A-Z]"), F.translate(c, _UPPER.lower(), _UPPER)).otherwise(c))
+    return F.when(F.length(new) == F.length(like), F.array_join(letters, "")).otherwise(new)
+
+
+def _mention(value: Column, given: Column, known: Column, key: str) -> Column:
+    """What stands for a value found; known: map of units to (attempt, gender) where these aren't 0 and that of the own title."""
+
+    def made(u: Column) -> Column:
+        at = F.try_element_at(known, u["unit"])
+        return surrogate(u["unit"], F.coalesce(at["attempt"], F.lit(0)), F.coalesce(at["gender"], u["gender"]), key)
+
+    title, _ = _names(value)
+    k, parts = kind(value), F.transform(units(value, given), made)
+    return F.when(k == "person", F.concat(title, F.array_join(parts, " "))).when(k == "email", _cased(F.get(parts, F.lit(0)), value)).otherwise(F.get(parts, F.lit(0)))
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """docs with values, in the order in which they stand, given, the given names among them, and names, a pattern of the persons' names or null."""
+    titled = F.when(F.col("text").rlike(CUE), F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
+    persons = F.transform(F.filter("values", lambda v: kind(v) == "person"), lambda v: _names(v)[1])
+    docs = docs.withColumn("values", titled).withColumn("persons", persons)
+    two = F.filter("persons", lambda n: F.size(n) == 2)
+    names = F.concat(F.transform(two, lambda n: F.array_join(n, " ")), F.transform("persons", lambda n: F.element_at(n, -1)), F.transform(two, lambda n: F.get(n, F.lit(0))))
+    pattern = F.concat(F.lit(ANY + r"|(?<![\p{L}'’-])(?:"), F.array_join(F.array_distinct(names), "|"), F.lit(r")(?![\p{L}'’-])"))
+    docs = docs.withColumn("given", F.array_distinct(F.transform(two, lambda n: F.get(n, F.lit(0))))).withColumn("names", F.when(F.size("persons") > 0, pattern))
+    return docs.withColumn("values", F.when(F.col("names").isNotNull(), F.regexp_extract_all("text", F.col("names"), F.lit(0))).otherwise(F.col("values"))).drop("persons")
 
 
-def _attempts(values: DataFrame, key: str) -> DataFrame:
-    """(value, attempt) of the values whose first surrogate collides; attempt is the first that doesn't.
+def _attempts(found: DataFrame, key: str) -> DataFrame:
+    """(unit, gender, attempt) of all units (unit, gender): attempt is the first whose surrogate doesn't collide.
 
-    Two surrogates of one kind collide if they are equal, and one collides with a
-    value of the texts if it equals any, its own too. Of surrogates that are equal
-    the smallest value keeps its own.
+    Two surrogates collide if they are equal, and one collides with the units of the
+    texts if it equals any, its own too. Of surrogates that are equal the smallest
+    unit keeps its own.
     """
-    made = written(values.select("value", F.lit(0).alias("attempt"), surrogate(F.col("value"), F.lit(0), key).alias("made")), "surrogates")
+    parts = 2 * found.sparkSession.sparkContext.defaultParallelism
+    new = lambda units: units.repartition(parts, "unit").withColumn("made", surrogate(F.col("unit"), F.col("attempt"), F.col("gender"), key))
+    made = written(new(found.select("unit", "gender", F.lit(0).alias("attempt"))), "surrogates")
+    real = made.select(F.substring("unit", F.lit(3), F.length("unit")).alias("made")).distinct()
     while True:
-        twice = made.groupBy("made").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        equal = made.join(twice, "made").where(F.col("value") != F.col("first.value")).select("value")
-        real = made.join(made.select(F.col("value").alias("made")), "made", "left_semi").select("value")
-        again = written(equal.unionByName(real).distinct(), "again")
+        twice = made.groupBy("made").agg(F.min(F.struct("attempt", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        equal = made.join(twice, "made").where(F.col("unit") != F.col("first.unit")).select("unit")
+        again = written(equal.unionByName(made.join(real, "made", "left_semi").select("unit")).distinct(), "again")
         if again.isEmpty():
-            return made.where("attempt > 0").select("value", "attempt")
-        late = made.join(again, "value", "left_semi").select("value", (F.col("attempt") + 1).alias("attempt"))
-        late = late.withColumn("made", surrogate(F.col("value"), F.col("attempt"), key))
-        made = written(made.join(again, "value", "left_anti").unionByName(late), "surrogates")
+            return made.select("unit", "gender", "attempt")
+        late = new(made.join(again, "unit", "left_semi").select("unit", "gender", (F.col("attempt") + 1).alias("attempt")))
+        made = written(made.join(again, "unit", "left_anti").unionByName(late), "surrogates")
 
 
-def replaced(docs: DataFrame, key: str = "arcweave") -> DataFrame:
+def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs with text, n_found and surrogates: the text with all values replaced, and what they became.
 
     All rows and their doc_id are kept; repeated rows give repeated rows. A null
-    text stays null with nothing found. Columns besides doc_id and text aren't read.
-    key: the secret that the surrogates depend on; another key gives others.
+    text stays null with nothing found, an empty one empty. Columns besides doc_id
+    and text aren't read. key: the secret that the surrogates depend on; another key
+    gives others. A very long text is held whole in its task.
 
     Texts aren't shuffled: surrogates are computed where a value stands. Only the
-    distinct values are, for the check, and what collided, which is joined to the
-    documents it stands in; that is broadcast within BROADCAST_BYTES, else shuffled.
+    distinct units are, for the check, and those whose surrogate isn't the first one
+    or whose gender isn't that of each title: these are joined to the documents they
+    stand in, which are broadcast within BROADCAST_BYTES, else shuffled.
     """
-    mentions = docs.select("doc_id", F.xxhash64("text").alias("copy"), F.explode(F.array_distinct(found(F.col("text")))).alias("value"))
-    mentions = written(mentions, "mentions")
-    late = written(_attempts(mentions.select("value").distinct(), key), "collided")
-    rows = docs.select("doc_id", "text", found(F.col("text")).alias("values"))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    rows = _found(docs.select("doc_id", "text"))
+    each = F.explode(F.array_distinct(F.flatten(F.transform("values", lambda v: units(v, F.col("given"))))))
+    mentions = written(rows.where(F.size("values") > 0).select("doc_id", F.xxhash64("text").alias("copy"), each.alias("u")).select("doc_id", "copy", "u.*"), "mentions")
+    has = lambda g: F.coalesce(F.max(F.col("gender") == g), F.lit(False))
+    gender = F.when(F.substring("unit", 1, 1) != "g", None).when(has("f") & ~has("m"), "f").when(has("m") & ~has("f"), "m").otherwise("n")
+    found = written(mentions.groupBy("unit").agg(gender.alias("gender"), (F.count_distinct("gender") > 1).alias("mixed")), "units")
+    late = _attempts(found, key).join(found.select("unit", "mixed"), "unit").where("attempt > 0 or mixed").select("unit", "attempt", "gender")
+    late = written(late, "collided")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<attempt:int,gender:string>>"))
     if late.isEmpty():
-        rows = rows.withColumn("attempts", none)
+        rows = rows.withColumn("known", none)
     else:
-        by = late.join(mentions, "value").groupBy("doc_id", "copy").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("value", "attempt")))).alias("attempts"))
+        by = late.join(mentions.select("doc_id", "copy", "unit").distinct(), "unit").groupBy("doc_id", "copy").agg(F.map_from_entries(F.collect_list(F.struct("unit", F.struct("attempt", "gender")))).alias("known"))
         by = written(by, "collided-in").withColumnRenamed("doc_id", "_id")
         by = F.broadcast(by) if by.count() * 400 <= BROADCAST_BYTES else by
-        rows = rows.join(by, rows["doc_id"].eqNullSafe(by["_id"]) & (F.xxhash64("text") == by["copy"]), "left").withColumn("attempts", F.coalesce("attempts", none))
-    made = F.transform("values", lambda v: surrogate(v, F.coalesce(F.try_element_at("attempts", v), F.lit(0)), key))
-    rows = rows.select("doc_id", "text", "values", F.when(F.size("values") > 0, made).otherwise(F.array().cast("array<string>")).alias("surrogates"))
-    between = F.split("text", ANY, -1)
+        rows = rows.join(by, rows["doc_id"].eqNullSafe(by["_id"]) & (F.xxhash64("text") == by["copy"]), "left").withColumn("known", F.coalesce("known", none))
+    made = F.transform("values", lambda v: _mention(v, F.col("given"), F.col("known"), key))
+    rows = rows.select("doc_id", "text", "values", "names", F.when(F.size("values") > 0, made).otherwise(F.array().cast("array<string>")).alias("surrogates"))
+    between = F.when(F.col("names").isNull(), F.split("text", ANY, -1)).otherwise(F.split("text", F.col("names"), -1))
     text = F.array_join(F.zip_with(between, F.col("surrogates"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return rows.select("doc_id", F.when(F.size("surrogates") > 0, text).otherwise(F.col("text")).alias("text"), F.coalesce(F.size("surrogates"), F.lit(0)).cast("long").alias("n_found"), F.transform("values", kind).alias("kinds"), "surrogates")

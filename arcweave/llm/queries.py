@@ -17,7 +17,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replaced(table(spark, sf_dir, "documents"))
+    return pii.replaced(table(spark, sf_dir, "documents"), spark.conf.get("spark.arcweave.surrogates.key", "example key"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

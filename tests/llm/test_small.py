@@ -9,7 +9,6 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from arcweave.llm import chat, decontam, gru, jaccard, lm, pii, quality, secrets, topk, urls
 
@@ -461,7 +460,7 @@ def test_long_texts_cost_their_own_words():
 def test_surrogates(spark):
     texts = ["Mail ann.b@x.org or ANN.B@x.org, +1 (504) 555-2652; Mrs Anna Schmidt met Herr Paul Größe.", "ip 10.0.0.1, card 4111 1111 1111 1111, Mrs Anna Schmidt again; ann.b@x.org", "Dr. Иван Петров", None, "", "nothing here"]
     df = docs_of(spark, texts)
-    got = {r.doc_id: r for r in pii.replaced(df).collect()}
+    got = {r.doc_id: r for r in pii.replaced(df, "key").collect()}
     assert len(got) == 6 and got[3].text is None and got[5].text == "nothing here" and got[4].n_found == 0
     a, b = got[0], got[1]
     assert a.kinds == ["email", "email", "phone", "person", "person"] and b.kinds == ["address", "card", "person", "email"]
@@ -474,11 +473,35 @@ def test_surrogates(spark):
     assert re.fullmatch("Dr\\. [А-Я][а-я]+ [А-Я][а-я]+", got[2].surrogates[0])
 
 
+def test_mentions_corefer(spark):
+    """One person's names are the same in every form of mention and in all texts, in their own gender; others' differ."""
+    texts = [
+        "Mrs Anna Schmidt met Dr Schmidt. Anna Schmidt left; Schmidt came and Anna too, not Schmidtchen. Ann@X.org is ann@x.org.",
+        "Dr Anna Weber wrote to Frau Schmidt about Weber", "Anna Schmidt and Weber have no title here", "Mr Robin Weber, Mrs Robin Weber",
+    ]
+    df = docs_of(spark, [*enumerate(texts), (0, texts[0]), (None, texts[1]), (9, None), (10, ""), (11, "so " * 200_000 + "Mrs Schmidt")])
+    rows = pii.replaced(df, "key").collect()
+    assert len(rows) == 9 and pii.replaced(df.limit(0), "key").count() == 0
+    by = {r.doc_id: r for r in rows}
+    assert sum(r.doc_id == 0 and r == by[0] for r in rows) == 2 and by[None][1:] == by[1][1:]
+    a, b, c = by[0].surrogates, by[1].surrogates, by[3].surrogates
+    title, given, family = a[0].split(" ")
+    assert title == "Mrs" and a[1:5] == [f"Dr {family}", f"{given} {family}", family, given] and set(given.split("-")) <= set(pii.NAMES["f"])
+    assert a[5].lower() == a[6] and a[5] != a[6] and a[5][0].isupper() and a[5].split("@")[1][0].isupper()
+    assert by[0].n_found == 7 and "Schmidtchen" in by[0].text and not re.search(r"Schmidt\b|Anna|nn@", by[0].text)
+    weber = b[0].split(" ")[2]
+    assert b == [f"Dr {given} {weber}", f"Frau {family}", weber] and weber not in (family, "Weber") and by[2].text == texts[2]
+    robin = c[0].split(" ")[1]
+    assert c == [f"Mr {robin} {weber}", f"Mrs {robin} {weber}"] and set(robin.split("-")) <= set(pii.NAMES["n"])
+    assert by[11].surrogates == [f"Mrs {family}"] and by[9].text is None and by[10].text == ""
+    other = {r.doc_id: r.surrogates for r in pii.replaced(df, "another key").collect()}
+    assert other[0] != a
+
+
 def test_surrogates_are_distinct(spark):
     values = [f"Mrs {a} {b}" for a in ("Ann", "Bea", "Cleo", "Dora") for b in ("Li", "Wu", "Ng", "Xu", "Ho", "Yu", "Ma", "An", "Ba", "Ce")] * 1 + [f"{a}@b.co" for a in "abcdefghijklmnopqrstuvwxyz"]
-    got = pii.replaced(docs_of(spark, [v + " said" for v in values])).collect()
+    got = pii.replaced(docs_of(spark, [v + " said" for v in values]), "key").collect()
     new = {r.doc_id: r.surrogates[0] for r in got}
     assert len(set(new.values())) == len(values)
     real = {v: i for i, v in enumerate(values)}
-    assert all(real.get(s, i) == i for i, s in new.items())
-    assert F
+    assert not set(new.values()) & real.keys()

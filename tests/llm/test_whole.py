@@ -20,7 +20,7 @@ def test_every_value_has_a_cue(spark):
     }
     assert "|".join(each[p] and p for p in (pii.EMAIL, pii.ADDRESS, pii.PHONE, pii.SOCIAL, pii.ACCOUNT, pii.CARD, pii.PERSON)) == pii.ANY
     values = [v for p in each for v in each[p]]
-    got = {r.doc_id: r for r in pii.replaced(spark.createDataFrame([(i, f"so {v} it is") for i, v in enumerate(values)], DOCS)).collect()}
+    got = {r.doc_id: r for r in pii.replaced(spark.createDataFrame([(i, f"so {v} it is") for i, v in enumerate(values)], DOCS), "key").collect()}
     for i, v in enumerate(values):
         assert got[i].n_found == 1 and v not in got[i].text, v
 
@@ -30,7 +30,7 @@ def test_no_value_is_its_own_surrogate(spark, monkeypatch):
     odd = ["李明@公司.cn", "김철수@서울.kr", "Mr Արամ Պետրոսյան", "Dr Łł", "Frau Ōō", "Mr Ёё", "Mrs Ήή", "_@-.co", "𠀀@𠀁.cn", "محمد@شركة.com"]
     short = [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]  # as many as there are: only longer ones are left
     values = odd + short
-    got = {r.doc_id: r for r in pii.replaced(spark.createDataFrame([(i, f"{v} said") for i, v in enumerate(values)], DOCS)).collect()}
+    got = {r.doc_id: r for r in pii.replaced(spark.createDataFrame([(i, f"{v} said") for i, v in enumerate(values)], DOCS), "key").collect()}
     new = [got[i].surrogates[0] for i in range(len(values))]
     assert len(set(new)) == len(values) and not set(new) & set(values)
     assert all(got[i].text == f"{s} said" for i, s in enumerate(new))
