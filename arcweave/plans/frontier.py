@@ -24,6 +24,10 @@ UNROLLED = 3
 SMALL = 200_000
 
 
+#: Nodes of a layer up to which they are given to the scan of the arcs, which are sorted by source and skip what they can't be in.
+FEW = 500
+
+
 def _small(layer: DataFrame, n: int) -> DataFrame:
     return F.broadcast(layer) if n <= SMALL else layer
 
@@ -57,9 +61,11 @@ class Walk:
 
     def step(self) -> bool:
         """The next layer; False, and no layer, where there is none."""
-        layer, depth = _small(self.last, self.nodes), len(self.layers)
+        layer, depth, arcs = _small(self.last, self.nodes), len(self.layers), self.arcs
+        if self.nodes <= FEW:
+            arcs = arcs.where(F.col("src").isin(*{r.node for r in self.last.select("node").collect()}))
         if self.ranked:
-            out = self.arcs.join(layer.select(F.col("node").alias("src"), "rank"), "src").select("src", "dst", "rank")
+            out = arcs.join(layer.select(F.col("node").alias("src"), "rank"), "src").select("src", "dst", "rank")
             if self.most is not None:  # at most as many rows as are left of the budget
                 out = out.orderBy("rank", "dst").limit(max(0, self.most - self.used))
             out = numbered(out, ["rank", "dst"], "seq", self.used + 1)
@@ -68,7 +74,8 @@ class Walk:
             self.arc_rows.append(out)
             found = out.groupBy(F.col("dst").alias("node")).agg(F.min("seq").alias("order"), F.min_by("src", "seq").alias("parent"))
         else:
-            found = self.arcs.join(layer.select(F.col("node").alias("src")).distinct(), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+            met = arcs if self.nodes <= FEW else arcs.join(layer.select(F.col("node").alias("src")).distinct(), "src")
+            found = met.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         if self.seen is not None:
             found = found.join(self.seen, "node", "left_anti")
         new = found.withColumn("depth", F.lit(depth))
