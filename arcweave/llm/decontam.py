@@ -62,7 +62,12 @@ def prefixes(docs: DataFrame, each: DataFrame) -> DataFrame:
     shingles = each.select("window", "words", "size", F.explode(at).alias("offset"))
     shingles = shingles.withColumn("key", _pair(F.get("words", F.col("offset")), F.get("words", F.col("offset") + 1)))
     pairs = written(shingles.where(~single), "shingles")
-    counts = _places(docs, pairs.select("key").distinct(), "inner", False, []).groupBy("key").count()
+    keys, counts = written(pairs.select("key").distinct(), "keys"), None
+    blocks = max(1, -(-keys.count() * 40 // BROADCAST_BYTES))
+    for b in range(blocks):
+        block = keys.where(F.pmod("key", F.lit(blocks)) == b)
+        part = _places(docs, block, "inner", False, []).groupBy("key").count()
+        counts = part if counts is None else counts.unionByName(part)
     rarest = F.min_by(F.struct("words", "size", "key", "offset"), F.struct(F.coalesce("count", F.lit(0)), "offset"))
     several = pairs.join(counts, "key", "left").groupBy("window").agg(rarest.alias("r")).select("window", "r.*")
     return several.unionByName(shingles.where(single).select("window", "words", "size", "key", "offset"))
@@ -73,13 +78,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Data
 
     A window is width words of an item, or all of an item with fewer; a word of a
     document inside any occurrence of any window is hit. Null and wordless texts
-    have no words and no hits; items without id or words have no windows. Exact
-    repeats of a document (id and text) count as one; rows of one doc_id with
-    different texts are judged each for itself, a null doc_id like any other.
-    Columns besides those named aren't read.
-
-    The windows are broadcast in blocks of rows within BROADCAST_BYTES, each
-    block against all documents, so a benchmark of any size is joined whole. Only
+    have no words and no hits; items without id or words have no windows. Repeated
+    rows give repeated rows; rows of one doc_id with different texts are judged each
+    for itself, a null doc_id like any other. Columns besides those named aren't
+    read. A very long text is held whole in its task, and its words are rows there.
+
+    The keys that are counted, and the windows, are broadcast in blocks of rows within
+    BROADCAST_BYTES, each block against all documents: a benchmark of any size is
+    joined whole, by as many scans of the texts as it has blocks. Only
     the places where a window really is leave the scan, besides one row for each
     document; they meet by document, whose own words bound them.
     """
@@ -111,8 +117,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Data
     spans = hits.groupBy(*by).agg(F.max("n_words").alias("n_words"), length.alias("n_hit"))
     of_items = hits.where("window is not null").select(*by, "window").distinct().join(owners, "window").select(*by, F.col("item_id").cast("string").alias("item_id")).distinct()
     items = of_items.groupBy(*by).agg(F.count("*").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item_id"))).alias("items"))
+    repeated = texts.groupBy(*by).agg(F.count("*").alias("rows")).where("rows > 1").withColumnsRenamed({"doc_id": "_id", "copy": "_copy"})
     same = [spans[c].eqNullSafe(items[c]) for c in by]
-    return spans.join(items, same[0] & same[1], "left").select(
+    found = spans.join(items, same[0] & same[1], "left").join(repeated, spans["doc_id"].eqNullSafe(F.col("_id")) & (spans["copy"] == F.col("_copy")), "left")
+    found = found.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("rows", F.lit(1).cast("long")))))
+    return found.select(
         spans["doc_id"], "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), spans["copy"]
     )
 

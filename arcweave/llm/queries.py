@@ -68,26 +68,26 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 OP4 = f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS t FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
-g AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS t FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win))),
-o AS (SELECT doc_id, i, g.k AS k, item_id FROM g JOIN win ON g.t = win.t AND g.k = win.k),
-h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM o)) GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM o) GROUP BY doc_id)
+g AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS t FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win))),
+o AS (SELECT r, i, g.k AS k, item_id FROM g JOIN win ON g.t = win.t AND g.k = win.k),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, i, k FROM o)) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM o) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN n ON n.r = d.r
 """
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 OP3 = f"""
-WITH RECURSIVE d AS (SELECT doc_id, w, least(len(w), 3) AS k FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)),
-s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d WHERE k > 0),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
-links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
-reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id)
-SELECT r.doc_id, CAST(coalesce(max(len(s.s)), 0) AS BIGINT) AS n_shingles, min(r.r) AS component_id FROM reach r LEFT JOIN s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, w, least(len(w), 3) AS k FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)),
+s AS (SELECT r, doc_id, list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d WHERE k > 0),
+e AS (SELECT r, len(s) AS n, unnest(s) AS t FROM s WHERE doc_id IS NOT NULL),
+links AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.t = b.t AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(r, low) AS (SELECT r, doc_id FROM d UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.r)
+SELECT d.doc_id, CAST(coalesce(max(len(s.s)), 0) AS BIGINT) AS n_shingles, min(reach.low) AS component_id FROM d JOIN reach ON reach.r = d.r LEFT JOIN s ON s.r = d.r GROUP BY d.r, d.doc_id
 """
 
 

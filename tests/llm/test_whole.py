@@ -4,7 +4,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
-from arcweave.llm import jaccard, pii, secrets
+from arcweave.llm import decontam, jaccard, pii, queries, secrets
 
 DOCS = "doc_id long, text string"
 
@@ -68,3 +68,39 @@ def test_keep_one_of_repeated_and_null_ids(spark):
     (last,) = [t for i, t in kept if i is None]
     assert last in (w, w + "more")
     assert kept == Counter([(1, x), (5, y), (2, z), (None, last), (7, ""), (7, ""), (8, None)])
+
+
+def same_as_sql(got, sql, **tables):
+    """Rows of a query and of its SQL on the same small tables."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name, rows in tables.items():
+        con.execute(f"CREATE TABLE {name} ({'doc_id' if name == 'documents' else 'item_id'} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    found = con.execute(sql)
+    names = sorted(c[0] for c in found.description)
+    key = lambda row: repr(row)
+    want = sorted((tuple(dict(zip([c[0] for c in found.description], row))[n] for n in names) for row in found.fetchall()), key=key)
+    assert sorted((tuple(r[n] for n in names) for r in got.select(*names).collect()), key=key) == want
+
+
+def test_repeated_and_null_rows_as_in_sql(spark):
+    x, y = "one two three four five six seven eight nine ten eleven", "a b c d e f g h"
+    docs = [(3, x), (3, x), (3, y), (None, x), (None, x), (None, None), (4, None), (4, ""), (5, "zero " + x), (6, y), (6, y), (7, "a b"), (8, "b"), (8, "A B")]
+    items = [(1, x), (1, x), (2, "b"), (None, y), (3, None), (4, ""), (5, y + " i j k l")]
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    same_as_sql(decontam.contaminated(df, bench), queries.OP4, documents=docs, benchmark=items)
+    same_as_sql(jaccard.linked_documents(df), queries.OP3, documents=docs)
+    clean = [d for d in docs if d[1] in (None, "", y)]
+    assert Counter(map(tuple, decontam.keep_clean(df, bench.where("item_id <> 2 or item_id is null")).collect())) == Counter([*clean, (7, "a b"), (8, "b"), (8, "A B")])
+
+
+def test_benchmark_in_many_blocks(spark, monkeypatch):
+    texts = [f"doc {i} " + " ".join(f"w{(i * 7 + k) % 50}" for k in range(30)) for i in range(40)]
+    items = [(i, " ".join(f"w{(i * 3 + k) % 50}" for k in range(14))) for i in range(12)] + [(50, "doc")]
+    df, bench = spark.createDataFrame([*enumerate(texts)], DOCS), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(decontam.contaminated(df, bench).collect())
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 2000)
+    assert sorted(decontam.contaminated(df, bench).collect()) == want
+    same_as_sql(decontam.contaminated(df, bench), queries.OP4, documents=[*enumerate(texts)], benchmark=items)
