@@ -2,10 +2,11 @@
 
 A component of the query is a term, and what it adds to a vector's score above
 the least it can add in the block is that vector's posting: between 0 and the
-term's bound. Terms in falling order of bound are split where the bounds of the
-rest can no longer lift a vector over the k-th best score found: the terms before
-are essential and their postings are added up for all vectors of the block; the
-rest are probed, a few terms at a time, for the vectors that can still compete.
+term's bound. The posting list of a term holds the vectors with a posting above 0.
+Terms in falling order of bound are split where the bounds of the rest can no longer
+lift a vector over the k-th best score found: the terms before are essential, and
+only vectors in one of their lists are candidates; their postings are added up. The
+rest are probed, a few terms at a time, for the candidates that can still compete.
 A block whose bounds all together can't compete is skipped. Each block gives its
 best k of a query; these are merged at the end.
 """
@@ -72,11 +73,28 @@ def _matrix(vectors: bytes, ids: np.ndarray, width: int) -> np.ndarray:
     return np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
 
-def max_score(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, least: int | None) -> tuple[list[tuple[int, int]], int]:
-    """The block's best k as (score, id), ties to smaller ids, and how many vectors were probed.
+class Block:
+    """Vectors of a block with the bounds of their components, and posting lists where these are short."""
 
-    low, high: of each component in the block. least: the k-th best score known so far.
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors, self.low, self.high = ids, vectors, vectors.min(0), vectors.max(0)
+        self.lists: dict[tuple[int, bool], np.ndarray | None] = {}
+
+    def postings(self, term: int, positive: bool) -> np.ndarray | None:
+        """Places of the vectors that a term of that sign lifts above its least; None where most are."""
+        if (term, positive) not in self.lists:
+            v = self.vectors[:, term]
+            found = np.flatnonzero(v > self.low[term] if positive else v < self.high[term])
+            self.lists[term, positive] = found if 4 * len(found) < len(v) else None
+        return self.lists[term, positive]
+
+
+def max_score(query: np.ndarray, own: int, block: Block, k: int, least: int | None) -> tuple[list[tuple[int, int]], int]:
+    """The block's best k as (score, id), ties to smaller ids, and how many components of vectors were read.
+
+    least: the k-th best score known so far.
     """
+    ids, vectors, low, high = block.ids, block.vectors, block.low, block.high
     bound = np.abs(query) * (high - low)
     order = np.argsort(-bound, kind="stable")
     base = int(np.minimum(query * low, query * high).sum())
@@ -85,14 +103,19 @@ def max_score(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray,
         return [], 0
     # the essential terms: while those after them could lift a vector over the threshold alone
     need = (least if least is not None else base) - base
-    split = max(int(np.searchsorted(-rest, -need, side="right")), PROBE) if need > 0 else len(query) // 2
-    split = min(split, len(query))
+    split = min(int(np.searchsorted(-rest, -need, side="right")) if need > 0 else len(query) // 2, len(query))
     terms = order[:split]
-    alive = np.flatnonzero(ids != own)
-    scores = vectors[:, terms] @ query[terms]
-    scores = scores[alive]
+    lists = [block.postings(int(t), bool(query[t] > 0)) for t in terms if query[t] != 0] if need > 0 else [None]
+    if all(x is not None for x in lists):
+        alive = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+        alive = alive[ids[alive] != own]
+        scores = vectors[np.ix_(alive, terms)] @ query[terms]
+        read = sum(map(len, lists)) + len(alive) * split
+    else:
+        alive = np.flatnonzero(ids != own)
+        scores = (vectors[:, terms] @ query[terms])[alive]
+        read = len(ids) * split
     below = int(np.minimum(query[order] * low[order], query[order] * high[order])[split:].sum())
-    probed = len(alive)
     while True:
         # each vector ends between scores + below and scores + below + rest[split]
         if len(scores) > k:
@@ -107,10 +130,11 @@ def max_score(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray,
             break
         terms = order[split : split + PROBE]
         scores = scores + vectors[np.ix_(alive, terms)] @ query[terms]
+        read += len(alive) * len(terms)
         below -= int(np.minimum(query[terms] * low[terms], query[terms] * high[terms]).sum())
         split += len(terms)
     best = np.lexsort((ids[alive], -scores))[:k]
-    return [(int(scores[i]), int(ids[alive[i]])) for i in best], probed
+    return [(int(scores[i]), int(ids[alive[i]])) for i in best], read
 
 
 def _exact(query: list[int], own: int, ids: list[int], vectors: list[list[int]], k: int) -> list[tuple[int, int]]:
@@ -130,15 +154,20 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     largest such number.
 
     The stated queries are dealt into blocks, and each block of vectors goes to
-    each of them; a task holds one of either at a time. The k rows of each query
-    and block are cut to k in each task before they are merged by query.
+    each of them; a task holds one of either at a time. Where there are few blocks of
+    queries each stands several times, so that blocks of vectors are spread over all
+    tasks. The k rows of each query and block are cut to k in each task before they
+    are merged by query.
     """
     rows = quantized(vectors)
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
     many = max(1, -(-queries.count() // QUERY_BLOCK))
     packed = queries.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(many)).alias("n")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    met = _blocks(rows, BLOCK).withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
-    pairs = met.join(packed.hint("shuffle_hash"), "n").select("n", "ids", "vectors", "width", "queries")
+    salts = max(1, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // many))
+    packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    met = _blocks(rows, BLOCK).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
+    met = met.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
+    pairs = met.join(packed.hint("shuffle_hash"), ["n", "salt"]).select("n", "ids", "vectors", "width", "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, dict[int, list[int]]] = {}  # of the blocks of queries met last: the k best scores of each query
@@ -150,7 +179,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             size = float(np.abs(m.astype(float)).max(initial=1)) * float(np.abs(q.astype(float)).max(initial=1)) * 2 * max(width, 1)
             if size < 2**52:
                 m, q = m.astype(np.float64), q.astype(np.float64)  # exact, and faster
-            low, high = m.min(0), m.max(0)
+            block = Block(ids, m)
             if r["n"] not in known and len(known) >= 4:
                 known.clear()
             tops, out = known.setdefault(r["n"], {}), []
@@ -159,7 +188,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                     best = _exact([int(x) for x in query], i, ids.tolist(), m.tolist(), k)
                 else:
                     top = tops.setdefault(j, [])
-                    best, _ = max_score(query, i, ids, m, low, high, k, top[k - 1] if len(top) >= k else None)
+                    best, _ = max_score(query, i, block, k, top[k - 1] if len(top) >= k else None)
                     top[:] = sorted(top + [x for x, _ in best], reverse=True)[:k]
                 out += [(i, v, max(-(1 << 63), min(x, (1 << 63) - 1))) for x, v in best]
             columns = list(zip(*out)) if out else [(), (), ()]

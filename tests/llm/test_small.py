@@ -75,12 +75,28 @@ def test_top_k_small(spark):
     v = rng.integers(-50, 50, (500, 12)).astype(float)
     v[:450] *= 0.1
     q = v[480]
-    best, probed = topk.max_score(q, 480, np.arange(500), np.floor(v), np.floor(v).min(0), np.floor(v).max(0), 5, None)
+    best, _ = topk.max_score(q, 480, topk.Block(np.arange(500), np.floor(v)), 5, None)
     scores = np.floor(v) @ q
     want = sorted((-int(s), i) for i, s in enumerate(scores) if i != 480)[:5]
     assert [(-s, i) for s, i in best] == want
 
 
+def test_few_vectors_are_read():
+    """Of sparse vectors only those in lists of essential terms are read, of clustered ones only the near are probed to the end."""
+    rng = np.random.default_rng(8)
+    sparse = np.floor(rng.random((2000, 200)) * 100) * (rng.random((2000, 200)) < 0.03)
+    near = np.floor(rng.standard_normal((2000, 64)) * 4 + 60 * np.eye(64)[rng.integers(0, 64, 2000)])
+    for v, part in ((sparse, 0.1), (near, 0.6)):
+        block, total, read = topk.Block(np.arange(2000), v), 0, 0
+        for own in range(0, 2000, 100):
+            scores = sorted(((-int(s), i) for i, s in enumerate(v @ v[own]) if i != own))
+            best, n = topk.max_score(v[own], own, block, 5, -scores[4][0])
+            assert [(-s, i) for s, i in best] == scores[:5]
+            assert topk.max_score(v[own], own, block, 5, None)[0] == best
+            total, read = total + v.size, read + n
+        assert read < part * total, (read, total)
+
+
 # chat
 
 
