@@ -100,11 +100,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
     A null role is of no known kind; a null or empty text renders as nothing. The
     merged texts are joined by an empty line. Extra columns aren't read.
 
-    Turns are dealt by a hash of the conversation, then sorted with spilling; a
-    conversation streams through its task turn by turn, and only its own turns,
-    that its rendered row must hold anyway, are in memory.
+    Turns are dealt by a hash of the conversation, then sorted with spilling, which
+    brings exact repeats together; a conversation streams through its task turn by
+    turn, and only its own turns, that its rendered row must hold anyway, are in
+    memory, however many or long they are.
     """
-    rows = turns.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
+    rows = turns.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def done(conv: int, roles: list, texts: list) -> tuple:
@@ -115,11 +116,14 @@ def format_chats(turns: DataFrame) -> DataFrame:
         return conv, len(roles), cost, count("merge"), count("relabel"), count("insert"), kept, out, hashlib.sha256(out.encode()).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conv, roles, texts = None, [], []
+        conv, roles, texts, last = None, [], [], None
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
             out = []
-            for c, role, text in zip(b["conv_id"].tolist(), b["role"].tolist(), b["text"].tolist()):
+            for c, turn, role, text in zip(b["conv_id"].tolist(), b["turn"].tolist(), b["role"].tolist(), b["text"].tolist()):
+                same, last = last, (c, None if turn != turn else turn, role, text)
+                if same == last:
+                    continue
                 if c != conv:
                     if conv is not None:
                         out.append(done(conv, roles, texts))

@@ -11,6 +11,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,31 +41,53 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """Fits a url, A-Z lower-cased, in which the expression is found.
-
-    literals: whole tokens (runs of a-z and 0-9) of which every such url holds all.
-    """
+    """Fits a url, A-Z lower-cased, in which the expression is found; its classes and borders of words are those of ASCII."""
 
     verdict: str
     pattern: str
-    literals: tuple[str, ...]
+
+    @property
+    def literals(self) -> tuple[str, ...]:
+        """Whole tokens (runs of a-z and 0-9) of which every url that fits holds all."""
+        return literal_tokens(self.pattern)
+
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """Tokens that stand in every match of an expression, with something else on both sides of each.
+
+    Read off the expression's outermost sequence: runs of literal characters between
+    literals of other kinds, borders of words, or the ends. What groups, repeats and
+    classes need isn't looked into, so a rule may have fewer tokens than it could.
+    """
+    out, run, left, border = [], "", False, False
+    for op, value in _parser.parse(pattern, re.ASCII):
+        name = str(op)
+        if name == "LITERAL" and re.match(_TOKEN, chr(value)):
+            left = left if run else border
+            run, border = run + chr(value), False
+            continue
+        closed = name == "LITERAL" or name == "AT" and str(value) != "AT_NON_BOUNDARY"  # no token goes on over such a place
+        if run and left and closed:
+            out.append(run)
+        run, border = "", closed
+    return tuple(dict.fromkeys(out))
 
 
 #: The rules of the registered query.
 HOST_RULES = (HostRule("block", "net/"), HostRule("allow", "example.net/en/"), HostRule("block", "example.com/de/"), HostRule("allow", "org/fr/"))
 #: The patterns of the registered query: gambling, pills, adult and tracking hosts; the first that fits decides.
 PATTERN_RULES = (
-    PatternRule("allow", r"^[^/?#]*://[^/?#]*\b(?:help|support)\.[^/?#]*\bcasino\b", ("casino",)),
-    PatternRule("block", r"^[^/?#]*://[^/?#]*\bcasino\b", ("casino",)),
-    PatternRule("block", r"^[^/?#]*://[^/?#]*\bfree-bets?\b", ("free",)),
-    PatternRule("block", r"^[^/?#]*://[^/?#]*\bbets\b", ("bets",)),
-    PatternRule("block", r"^[^/?#]*://[^/?#]*\bpoker\b", ("poker",)),
-    PatternRule("block", r"^[^/?#]*://[^/?#]*\bcheap-pills?\b", ("cheap",)),
-    PatternRule("block", r"^[^/?#]*://[^/?#]*\bpills\b", ("pills",)),
-    PatternRule("block", r"^[^/?#]*://[^/?#]*\badult-x\b", ("adult",)),
-    PatternRule("block", r"^[^/?#]*://[^/?#]*\bxxx\b", ("xxx",)),
-    PatternRule("block", r"^[^/?#]*://[^/?#]*\bviagra\b", ("viagra",)),
-    PatternRule("block", r"/ads?/[^?#]*\bbanner\b", ("banner",)),
+    PatternRule("allow", r"^[^/?#]*://[^/?#]*\b(?:help|support)\.[^/?#]*\bcasino\b"),
+    PatternRule("block", r"^[^/?#]*://[^/?#]*\bcasino\b"),
+    PatternRule("block", r"^[^/?#]*://[^/?#]*\bfree-bets?\b"),
+    PatternRule("block", r"^[^/?#]*://[^/?#]*\bbets\b"),
+    PatternRule("block", r"^[^/?#]*://[^/?#]*\bpoker\b"),
+    PatternRule("block", r"^[^/?#]*://[^/?#]*\bcheap-pills?\b"),
+    PatternRule("block", r"^[^/?#]*://[^/?#]*\bpills\b"),
+    PatternRule("block", r"^[^/?#]*://[^/?#]*\badult-x\b"),
+    PatternRule("block", r"^[^/?#]*://[^/?#]*\bxxx\b"),
+    PatternRule("block", r"^[^/?#]*://[^/?#]*\bviagra\b"),
+    PatternRule("block", r"/ads?/[^?#]*\bbanner\b"),
 )
 
 
@@ -91,7 +114,8 @@ class RuleIndex:
         for h in hosts:
             self.hosts[rarest(host_tokens(h))].append(h)
         for k, p in enumerate(patterns):
-            self.patterns[rarest(p.literals)].append((k, re.compile(p.pattern), p.verdict))
+            self.patterns[rarest(p.literals)].append((k, p.pattern, p.verdict))
+        self.compiled: dict[str, re.Pattern] = {}  # those that have run
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, int]:
         """Host, path, host rule, verdict, and how many patterns ran."""
@@ -106,17 +130,30 @@ class RuleIndex:
         low = (url or "").translate(_TO_LOWER)
         found = sorted((x for t in {*re.findall(_TOKEN, low), ""} for x in self.patterns.get(t, ())), key=lambda x: x[0])
         for ran, (_, pattern, verdict) in enumerate(found, 1):
-            if pattern.search(low):
+            known = self.compiled.get(pattern)
+            if known is None:
+                known = self.compiled[pattern] = re.compile(pattern, re.ASCII)
+            if known.search(low):
                 return host, path, None, verdict, ran
         return host, path, None, "allow", len(found)
 
 
+def rules_of(rules: DataFrame) -> tuple[list[HostRule], list[PatternRule]]:
+    """Rules from a table (place, kind, verdict, text) of kinds host and pattern, in the order of place; rows of other kinds are an error."""
+    hosts, patterns = [], []
+    for r in rules.select("place", "kind", "verdict", "text").orderBy("place").toLocalIterator():
+        if r.kind not in ("host", "pattern") or r.verdict not in ("allow", "block"):
+            raise ValueError(f"no such rule: {r}")
+        hosts.append(HostRule(r.verdict, r.text)) if r.kind == "host" else patterns.append(PatternRule(r.verdict, r.text))
+    return hosts, patterns
+
+
 def token_counts(pages: DataFrame, tokens: set[str]) -> dict[str, int]:
     """In how many of all urls each token of the rules stands; as many rows as rules have tokens."""
     low = F.translate(F.col("url"), _UPPER, _LOWER)
-    wanted = F.array(*[F.lit(t) for t in sorted(tokens)]) if tokens else F.array().cast("array<string>")
-    held = F.array_intersect(F.regexp_extract_all(low, F.lit(f"({_TOKEN})"), 1), wanted)
-    return {r.token: r["count"] for r in pages.select(F.explode(held).alias("token")).groupBy("token").count().collect()}
+    held = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(f"({_TOKEN})"), 1))).alias("token"))
+    wanted = pages.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string")  # as large as the rules
+    return {r.token: r["count"] for r in held.join(F.broadcast(wanted), "token").groupBy("token").count().collect()}
 
 
 def filter_urls(pages: DataFrame, hosts: Sequence[HostRule] = HOST_RULES, patterns: Sequence[PatternRule] = PATTERN_RULES) -> DataFrame:
@@ -124,8 +161,9 @@ def filter_urls(pages: DataFrame, hosts: Sequence[HostRule] = HOST_RULES, patter
 
     A null url has an empty host and path, no rule, and the verdict allow, as has
     any url that nothing fits. Repeated rows give repeated rows; columns besides
-    page_id and url aren't read. The rules are the operator's own parameters, so
-    their index is as large as they are. A narrow map after one small count.
+    page_id and url aren't read. The rules are the operator's own parameters, or come
+    from a table by rules_of(); every worker holds their index, as large as they are,
+    and compiles the expressions that run. A narrow map after one small count.
     """
     tokens = {t for h in hosts for t in host_tokens(h)} | {t for p in patterns for t in p.literals}
     seen = token_counts(pages, tokens)
