@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 
 #: Distinct pieces whose ids a worker remembers; beyond that it starts afresh.
 REMEMBERED = 1 << 18
+#: Prefixes, and pairs of tokens, that it remembers besides.
+PREFIXES = 1 << 17
 #: Pieces of up to so many bytes are remembered.
 SHORT = 64
 #: Documents whose ids a worker holds at once.
@@ -155,12 +157,12 @@ class Codec(dict):
     def _by_prefix(self, data: bytes) -> list[int]:
         """As PrefixTable, with one table for all short pieces: most begin as others do."""
         last, v, end = self.last, self.vocabulary, len(data)
-        if len(last) + end > REMEMBERED:
+        if len(last) + end > PREFIXES:
             last.clear()
         while end and data[:end] not in last:
             end -= 1
         get, pairs, begin = v.ranks.get, self.pairs, 0
-        if len(pairs) > REMEMBERED:
+        if len(pairs) > PREFIXES:
             pairs.clear()
         if end:
             begin = end - len(v.tokens[last[data[:end]]])
@@ -185,6 +187,10 @@ class Codec(dict):
             at -= len(v.tokens[out[-1]])
         return out[::-1]
 
+    def forget(self) -> None:
+        """Drops what is remembered: a worker may go on to other work."""
+        self.clear(), self.last.clear(), self.pairs.clear()
+
     def split(self, text: str) -> list[str]:
         return self.any_text(text) if NOT_PLAIN(text) else self.plain_text(text)
 
@@ -232,6 +238,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
                     columns.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(n)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        c.forget()
 
     schema = SCHEMA + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
