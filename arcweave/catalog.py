@@ -13,6 +13,7 @@ from arcweave.operators import extract, paths, stats
 from arcweave.operators.graph import PropertyGraph
 from arcweave.operators.traverse import NodeFilter, Traversal, TraversalRequest, closure
 from arcweave.parse import NotFound
+from arcweave.plans.tables import numbered
 from arcweave.schema import LABEL_DDL, LEGAL_ARCS
 from arcweave.sources import example
 from arcweave.sources.commerce import stored_graph
@@ -279,15 +280,24 @@ def identifiers(g):
     return g.nodes.select("node_id", back.alias("swhid"), F.concat(F.lit("swh:1:"), fn.type_name(fn.type_code(F.col("node_type")))).alias("prefix"), fn.is_swhid(F.col("swhid")).alias("valid"), fn.swhid_hash(F.col("swhid")).alias("digest"))
 
 
-@query(f"SELECT swhid FROM nodes WHERE node_type = 'cnt' AND node_id NOT IN (SELECT dst FROM arcs WHERE src = {SUPPLIER})")
+@query("SELECT 'swh:1:cnt:' || sha1('nothing:' || CAST(p_partkey AS VARCHAR)) AS swhid FROM part WHERE p_partkey % 3 = 0")
 def unknown_identifiers(g):
-    known = g.successors(SUPPLIER)
-    return g.with_types("cnt").nodes.join(known, "node_id", "left_anti").select("swhid")
+    """Of a list of parts, a third of which have names that nothing in the graph has."""
+    made = F.when(F.col("node_id") % 3 == 0, fn.swhid("cnt", F.sha1(F.concat(F.lit("nothing:"), F.col("node_id").cast("string")).cast("binary")))).otherwise(F.col("swhid"))
+    return g.unknown(g.with_types("cnt").nodes.select(made.alias("swhid")))
 
 
-@query(f"SELECT swhid FROM nodes WHERE node_id IN (SELECT dst FROM arcs WHERE src = {SUPPLIER})")
+@query(f", kept AS (SELECT dst AS k FROM arcs WHERE src = {NATION} UNION ALL SELECT dst FROM arcs WHERE src IN (SELECT dst FROM arcs WHERE src = {NATION}) AND src_type = 'rev') SELECT DISTINCT src, dst FROM arcs WHERE src IN (SELECT k FROM kept) AND dst IN (SELECT k FROM kept)")
 def subset_restriction(g):
-    return g.nodes.join(g.successors(SUPPLIER), "node_id", "left_semi").select("swhid")
+    """To the customers and suppliers of a nation and the customers' orders, by their identifiers."""
+    near = g.successors(NATION)
+    orders = g.with_edges("rev:dir").arcs.join(near.withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("node_id"))
+    return g.only(g.nodes.join(near.union(orders), "node_id", "left_semi")).arcs.select("src", "dst")
+
+
+@query("SELECT (SELECT count(DISTINCT name) FROM label_rows) AS label_names, 0::BIGINT AS persons")
+def distinct_counts(g):
+    return stats.distinct_counts(g)
 
 
 # traversals
@@ -569,6 +579,16 @@ def url_functions(pages):
 ORACLES["url_functions"] = "SELECT page_id, 'swh:1:ori:' || sha1(url) AS swhid, array_to_string(list_reverse(string_split(rtrim(url, '/'), '/')), '/') AS key, CASE WHEN url LIKE 'https://%' THEN 'git://' || substr(url, 9) WHEN url LIKE 'git://%' THEN 'https://' || substr(url, 7) END AS swapped FROM pages"
 
 
+@_pages
+def origins_in_order(pages):
+    """Urls numbered in the order of their reversed paths, ties by page."""
+    keyed = pages.select("page_id", fn.reversed_path(F.col("url")).alias("key"))
+    return numbered(keyed, ["key", "page_id"], "place").select("page_id", "place")
+
+
+ORACLES["origins_in_order"] = "SELECT page_id, CAST(row_number() OVER (ORDER BY array_to_string(list_reverse(string_split(rtrim(url, '/'), '/')), '/') NULLS FIRST, page_id NULLS FIRST) - 1 AS BIGINT) AS place FROM pages"
+
+
 def person_functions(spark, sf_dir):
     name = F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit(" <user"), F.col("c_custkey").cast("string"), F.lit("@example.org>")))
     p = fn.parsed_fullname(F.col("full"))

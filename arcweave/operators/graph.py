@@ -200,6 +200,14 @@ class PropertyGraph:
         """Without the nodes of the swhid column of hidden; unknown ones are passed over."""
         return self.subgraph(lambda nodes: nodes.join(hidden.select("swhid").distinct(), "swhid", "left_anti").select(*nodes.columns))
 
+    def only(self, identifiers: DataFrame) -> PropertyGraph:
+        """The nodes of the swhid column of identifiers, and the arcs between them."""
+        return self.subgraph(lambda nodes: nodes.join(identifiers.select("swhid").distinct(), "swhid", "left_semi").select(*nodes.columns))
+
+    def unknown(self, identifiers: DataFrame) -> DataFrame:
+        """Rows (swhid) of identifiers that are no nodes, each once."""
+        return identifiers.select("swhid").distinct().join(self.nodes.select("swhid"), "swhid", "left_anti")
+
     # comparison
 
     def difference(self, other: PropertyGraph, labels: bool = True, properties: bool = True) -> DataFrame:

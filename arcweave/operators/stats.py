@@ -64,6 +64,12 @@ def report(graph: PropertyGraph, export_started_at: int | None = None, export_en
     return one.withColumn("export_started_at", F.lit(export_started_at).cast("bigint")).withColumn("export_ended_at", F.lit(export_ended_at).cast("bigint"))
 
 
+def distinct_counts(graph: PropertyGraph) -> DataFrame:
+    """One row: how many persons are authors or committers, and how many names labels have."""
+    persons = graph.nodes.select(F.explode(F.array("author_id", "committer_id")).alias("p")).agg(F.count_distinct("p").alias("persons"))
+    return persons.crossJoin(graph.flat_labels().agg(F.count_distinct("name").alias("label_names")))  # one row each
+
+
 def count_of_types(graph: PropertyGraph, types: str) -> DataFrame:
     from arcweave.parse import node_types
 

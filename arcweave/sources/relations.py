@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from arcweave.functions.identifiers import is_swhid, origin_swhid
 from arcweave.operators.graph import PropertyGraph
+from arcweave.plans.tables import numbered, written
 from arcweave.schema import ARC_COLUMNS, LABEL, NODE_COLUMNS, RELATIONS, TARGET_TYPES
 
 
@@ -26,6 +27,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.col("value") != "")
 
 
+def read_lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files, without empty ones, numbered by file in alphabetical order, then as they stand: place, value."""
+    lines = spark.read.text(path).where(F.col("value") != "").select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
+    return numbered(written(lines, "lines"), ["_file", "_start", "_line"], "place").select("place", "value")
+
+
 def read_masked(spark: SparkSession, path: str) -> DataFrame:
     """Identifiers to hide, one a line; lines that aren't identifiers are passed over."""
     return read_lines(spark, path).where(is_swhid(F.col("value"))).select(F.col("value").alias("swhid"))

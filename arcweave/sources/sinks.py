@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.operators.graph import PropertyGraph
@@ -31,6 +31,18 @@ def write_stats(stats: DataFrame, path: str) -> None:
     stats.write.json(path)
 
 
+def write_stats_lines(stats: DataFrame, path: str) -> None:
+    """One row as lines of key=value; the entries of its maps are lines of their own, after the name of the map."""
+    maps = [c for c, t in stats.dtypes if t.startswith("map")]
+    own = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in stats.columns if c not in maps]
+
+    def entries(c: str) -> Column:
+        return F.transform(F.map_entries(c), lambda e: F.concat(F.lit(f"{c}."), e["key"].cast("string"), F.lit("="), e["value"].cast("string")))
+
+    each = map(entries, maps)
+    stats.select(F.explode(F.filter(F.concat(F.array(*own), *each), lambda x: x.isNotNull())).alias("value")).write.text(path)
+
+
 def write_json(graph: PropertyGraph, path: str) -> None:
     graph.nodes.write.json(f"{path}/nodes")
     graph.arcs.write.json(f"{path}/arcs")

@@ -246,6 +246,16 @@ def test_sources_and_sinks(graph, spark, tmp_path):
     edges = graph.arcs.join(graph.nodes.select(F.col("node_id").alias("src"), F.col("swhid").alias("a")), "src").join(graph.nodes.select(F.col("node_id").alias("dst"), F.col("swhid").alias("b")), "dst")
     edges.select(F.concat_ws(" ", "a", "b")).write.text(str(tmp_path / "edges"))
     assert graph.difference(sources.read_edge_list(spark, str(tmp_path / "lines"), str(tmp_path / "edges")), labels=False, properties=False).count() == 0
+    (tmp_path / "texts").mkdir()
+    for name, lines in (("b.txt", "3\n\n1\n"), ("a.txt", "9\n8\n"), ("c.txt", "".join(f"{i}\n" for i in range(50)))):
+        (tmp_path / "texts" / name).write_text(lines)
+    assert [r.value for r in sources.read_lines_in_order(spark, str(tmp_path / "texts")).orderBy("place").collect()] == ["9", "8", "3", "1", *map(str, range(50))]
+    sinks.write_stats_lines(stats.report(graph, 1, 2), str(tmp_path / "stats"))
+    lines = {r.value for r in spark.read.text(str(tmp_path / "stats")).collect()}
+    assert {"num_nodes=24", "num_edges=28", "num_arcs_by_type.dir:cnt=8", "export_started_at=1"} <= lines
+    assert tuple(stats.distinct_counts(graph).first()) == (3, 11)
+    asked = spark.createDataFrame([(ident("cnt", 1),), (ident("cnt", 404),), (ident("dir", 8),), (ident("cnt", 404),)], "swhid string")
+    assert swhids(graph.unknown(asked)) == [ident("cnt", 404)] and graph.only(asked).num_nodes() == 2 and graph.only(asked).num_arcs() == 1
     (tmp_path / "mask.txt").write_text(f"{ORI1}\nnonsense\n")
     assert swhids(sources.read_masked(spark, str(tmp_path / "mask.txt"))) == [ORI1]
     (tmp_path / "origins.txt").write_text(URLS[0] + "\n")
