@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -26,13 +27,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: ends its lineage, survives lost executors."""
+_scopes = threading.local()
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """df as a table in the shared folder: ends its lineage, survives lost executors.
+
+    lasting: what a function returns still reads it, so scratch() leaves it.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if open_scopes := getattr(_scopes, "made", None):
+        open_scopes[-1].append((path, lasting))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go at its end, but for lasting ones, which go with the scope around it, if there is one."""
+    if not hasattr(_scopes, "made"):
+        _scopes.made = []
+    _scopes.made.append([])
+    try:
+        yield
+    finally:
+        made = _scopes.made.pop()
+        for path, lasting in made:
+            if not lasting:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            elif _scopes.made:
+                _scopes.made[-1].append((path, False))
+
+
 @contextmanager
 def in_small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """So many rows at most go to Python at once in what is written inside: for rows that carry whole sets or texts."""
