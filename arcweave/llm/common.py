@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.plans.tables import in_small_batches, shared_dir, written
+from arcweave.plans.tables import in_small_batches, scratch, shared_dir, written
 
-__all__ = ["BROADCAST_BYTES", "held_out", "in_small_batches", "shared_dir", "table", "written"]
+__all__ = ["BROADCAST_BYTES", "held_out", "in_small_batches", "scratch", "shared_dir", "table", "written"]
 
 #: Largest side, in bytes of its rows, that an operator broadcasts at once.
 BROADCAST_BYTES = 32 << 20

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import BROADCAST_BYTES, written
+from arcweave.llm.common import BROADCAST_BYTES, scratch, written
 
 #: What separates words: ASCII but letters and digits.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,7 +37,7 @@ def windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     each = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("words"))
-    each = written(each.select("item_id", "words", F.sha2(F.concat_ws(" ", "words"), 256).alias("window")).distinct(), "windows")
+    each = written(each.select("item_id", "words", F.sha2(F.concat_ws(" ", "words"), 256).alias("window")).distinct(), "windows", lasting=True)
     return each.groupBy("window").agg(F.first("words").alias("words")).withColumn("size", F.size("words")), each.select("window", "item_id").distinct()
 
 
@@ -90,23 +90,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Data
     document; they meet by document, whose own words bound them.
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("copy"), words(F.col("text")).alias("w"))
-    each, owners = windows(benchmark, width)
-    found = written(prefixes(texts, each), "prefixes")
-    n, longest, singles = found.agg(F.count("*"), F.coalesce(F.max(F.length(F.concat_ws(" ", "words"))), F.lit(0)), F.count(F.when(F.col("size") == 1, 1))).first()
-    blocks = max(1, -(-n * (longest + 400) // BROADCAST_BYTES))
-    start = F.col("at") - F.col("offset")
-    fits = F.col("window").isNotNull() & (start >= 0) & (start + F.col("size") <= F.size("w"))
-    there = F.coalesce(fits & (F.slice("w", F.greatest(start + 1, F.lit(1)), F.greatest("size", F.lit(0))) == F.col("words")), F.lit(False))
-    hits = None
-    for single in [False, True][: 1 + bool(singles)]:
-        for b in range(blocks):
-            block = found.where((F.col("size") == 1) == single).where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-            placed = _places(texts, block, "left", single, ["doc_id", "copy"])
-            first = F.coalesce(F.col("at"), F.lit(0)) == 0
-            part = placed.where(there | first).select("doc_id", "copy", F.size("w").cast("long").alias("n_words"), F.when(there, F.struct(start.alias("start"), (start + F.col("size")).alias("end"))).alias("span"), F.when(there, F.col("window")).alias("window"))
-            hits = part if hits is None else hits.unionByName(part)
+    with scratch(docs.sparkSession):
+        each, owners = windows(benchmark, width)
+        found = written(prefixes(texts, each), "prefixes")
+        n, longest, singles = found.agg(F.count("*"), F.coalesce(F.max(F.length(F.concat_ws(" ", "words"))), F.lit(0)), F.count(F.when(F.col("size") == 1, 1))).first()
+        blocks = max(1, -(-n * (longest + 400) // BROADCAST_BYTES))
+        start = F.col("at") - F.col("offset")
+        fits = F.col("window").isNotNull() & (start >= 0) & (start + F.col("size") <= F.size("w"))
+        there = F.coalesce(fits & (F.slice("w", F.greatest(start + 1, F.lit(1)), F.greatest("size", F.lit(0))) == F.col("words")), F.lit(False))
+        hits = None
+        for single in [False, True][: 1 + bool(singles)]:
+            for b in range(blocks):
+                block = found.where((F.col("size") == 1) == single).where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
+                placed = _places(texts, block, "left", single, ["doc_id", "copy"])
+                first = F.coalesce(F.col("at"), F.lit(0)) == 0
+                part = placed.where(there | first).select("doc_id", "copy", F.size("w").cast("long").alias("n_words"), F.when(there, F.struct(start.alias("start"), (start + F.col("size")).alias("end"))).alias("span"), F.when(there, F.col("window")).alias("window"))
+                hits = part if hits is None else hits.unionByName(part)
+        hits = written(hits, "hits", lasting=True)
     by = ["doc_id", "copy"]
-    hits = written(hits, "hits")
     # the union of the spans' lengths: each begins where those before it, in order of their ends, have not yet been
     length = F.aggregate(
         F.array_sort(F.collect_set("span")),
@@ -127,6 +128,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Data
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs, with all their columns."""
-    bad = contaminated(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
+    """The rows of docs in which no window of the benchmark occurs, with all their columns.
+
+    Null and wordless texts are clean; repeated rows stay or go together; rows of one
+    doc_id, or of none, are judged each by its own text.
+    """
+    with scratch(docs.sparkSession):
+        bad = contaminated(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
+        bad = written(bad.distinct(), "contaminated", lasting=True)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_copy"]), "left_anti")

@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import BROADCAST_BYTES, in_small_batches, written
+from arcweave.llm.common import BROADCAST_BYTES, in_small_batches, scratch, written
 from arcweave.llm.components import components
 
 #: Texts, or pairs of sets, that a Python worker holds at once.
@@ -109,7 +110,7 @@ class _Join:
         self.num, self.den = share.numerator, share.denominator
         with in_small_batches(docs.sparkSession, BATCH):
             every = written(_sets(docs, width, share), "sets")
-        self.documents = every.select("doc_id", "n", "digest")
+        self.documents = written(every.select("doc_id", "n", "digest"), "documents", lasting=True)
         sets = every.where("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.first("least").alias("least"), F.first("firsts").alias("firsts"))
         self.sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
 
@@ -289,7 +290,7 @@ class _Join:
         part = components(self.links())
         sets = self.sets.select("id", "digest", "doc_id").join(part.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         lowest = sets.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        of = written(sets.join(lowest, "component").select("digest", "component_id"), "of-sets")
+        of = written(sets.join(lowest, "component").select("digest", "component_id"), "of-sets", lasting=True)
         found = self.documents.join(of, "digest", "left")
         own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
@@ -309,7 +310,8 @@ def linked_documents(docs: DataFrame, width: int = 3, share: Fraction = Fraction
     between sets, or blocks of sets, that the bounds leave open. A text is read in
     one task, whatever its length, and stands there as one array of hashes.
     """
-    return _Join(docs, width, share).result()
+    with scratch(docs.sparkSession):
+        return _Join(docs, width, share).result()
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -318,16 +320,18 @@ def keep_one(docs: DataFrame, width: int = 5, share: Fraction = Fraction(4, 5))
     Rows without doc_id are linked as others are, and come last. Of rows of equal
     doc_id and text one stays. Rows without words are linked with nothing and stay.
     """
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")  # one for each doc_id and text, never null
-    keyed = docs.withColumn("_key", key)
-    found = linked_documents(docs.select(key.alias("doc_id"), "text"), width, share).where("n_shingles > 0").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("component"))
-    found = found.groupBy("_key").agg(F.min("component").alias("component"), F.count("*").alias("copies"))
-    rows = keyed.select("_key", "doc_id", F.xxhash64("text").alias("copy")).distinct()
-    members = written(found.join(rows, "_key"), "members")
-    best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", "_key")).alias("best"), F.count("*").alias("n")).where("n > 1")
-    drop = members.join(best.select("component", F.col("best._key").alias("kept")), "component").where("_key <> kept").select("_key")
-    kept = keyed.join(written(drop, "dropped"), "_key", "left_anti")
-    twice = members.where("copies > 1").select("_key")
-    if not twice.isEmpty():
-        kept = kept.join(twice, "_key", "left_anti").unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
-    return kept.select(*docs.columns)
+    with scratch(docs.sparkSession):
+        key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")  # one for each doc_id and text, never null
+        k = next(n for n in map("_key{}".format, count()) if n not in docs.columns)
+        keyed = docs.withColumn(k, key)
+        found = linked_documents(docs.select(key.alias("doc_id"), "text"), width, share).where("n_shingles > 0").select(F.col("doc_id").alias(k), F.col("component_id").alias("component"))
+        found = found.groupBy(k).agg(F.min("component").alias("component"), F.count("*").alias("copies"))
+        rows = keyed.select(k, "doc_id", F.xxhash64("text").alias("copy")).distinct()
+        members = written(found.join(rows, k), "members", lasting=True)
+        best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", k)).alias("best"), F.count("*").alias("n")).where("n > 1")
+        drop = members.join(best.select("component", F.col(f"best.{k}").alias("kept")), "component").where(F.col(k) != F.col("kept")).select(k)
+        kept = keyed.join(written(drop, "dropped", lasting=True), k, "left_anti")
+        twice = members.where("copies > 1").select(k)
+        if not twice.isEmpty():
+            kept = kept.join(twice, k, "left_anti").unionByName(kept.join(twice, k, "left_semi").dropDuplicates([k]))
+        return kept.select(*docs.columns)

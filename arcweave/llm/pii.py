@@ -23,7 +23,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import BROADCAST_BYTES, written
+from arcweave.llm.common import BROADCAST_BYTES, scratch, written
 
 #: What is found, in this order of preference at one place.
 _NAME = r"[\p{Lu}\p{Lt}][\p{L}'’-]+"
@@ -264,21 +264,22 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     stand in, which are broadcast within BROADCAST_BYTES, else shuffled.
     """
     rows = _found(docs.select("doc_id", "text"))
-    each = F.explode(F.array_distinct(F.flatten(F.transform("values", lambda v: units(v, F.col("given"))))))
-    mentions = written(rows.where(F.size("values") > 0).select("doc_id", F.xxhash64("text").alias("copy"), each.alias("u")).select("doc_id", "copy", "u.*"), "mentions")
-    has = lambda g: F.coalesce(F.max(F.col("gender") == g), F.lit(False))
-    gender = F.when(F.substring("unit", 1, 1) != "g", None).when(has("f") & ~has("m"), "f").when(has("m") & ~has("f"), "m").otherwise("n")
-    found = written(mentions.groupBy("unit").agg(gender.alias("gender"), (F.count_distinct("gender") > 1).alias("mixed")), "units")
-    late = _attempts(found, key).join(found.select("unit", "mixed"), "unit").where("attempt > 0 or mixed").select("unit", "attempt", "gender")
-    late = written(late, "collided")
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<attempt:int,gender:string>>"))
-    if late.isEmpty():
-        rows = rows.withColumn("known", none)
-    else:
-        by = late.join(mentions.select("doc_id", "copy", "unit").distinct(), "unit").groupBy("doc_id", "copy").agg(F.map_from_entries(F.collect_list(F.struct("unit", F.struct("attempt", "gender")))).alias("known"))
-        by = written(by, "collided-in").withColumnRenamed("doc_id", "_id")
-        by = F.broadcast(by) if by.count() * 400 <= BROADCAST_BYTES else by
-        rows = rows.join(by, rows["doc_id"].eqNullSafe(by["_id"]) & (F.xxhash64("text") == by["copy"]), "left").withColumn("known", F.coalesce("known", none))
+    with scratch(docs.sparkSession):
+        each = F.explode(F.array_distinct(F.flatten(F.transform("values", lambda v: units(v, F.col("given"))))))
+        mentions = written(rows.where(F.size("values") > 0).select("doc_id", F.xxhash64("text").alias("copy"), each.alias("u")).select("doc_id", "copy", "u.*"), "mentions")
+        has = lambda g: F.coalesce(F.max(F.col("gender") == g), F.lit(False))
+        gender = F.when(F.substring("unit", 1, 1) != "g", None).when(has("f") & ~has("m"), "f").when(has("m") & ~has("f"), "m").otherwise("n")
+        found = written(mentions.groupBy("unit").agg(gender.alias("gender"), (F.count_distinct("gender") > 1).alias("mixed")), "units")
+        late = _attempts(found, key).join(found.select("unit", "mixed"), "unit").where("attempt > 0 or mixed").select("unit", "attempt", "gender")
+        late = written(late, "collided")
+        none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<attempt:int,gender:string>>"))
+        if late.isEmpty():
+            rows = rows.withColumn("known", none)
+        else:
+            by = late.join(mentions.select("doc_id", "copy", "unit").distinct(), "unit").groupBy("doc_id", "copy").agg(F.map_from_entries(F.collect_list(F.struct("unit", F.struct("attempt", "gender")))).alias("known"))
+            by = written(by, "collided-in", lasting=True).withColumnRenamed("doc_id", "_id")
+            by = F.broadcast(by) if by.count() * 400 <= BROADCAST_BYTES else by
+            rows = rows.join(by, rows["doc_id"].eqNullSafe(by["_id"]) & (F.xxhash64("text") == by["copy"]), "left").withColumn("known", F.coalesce("known", none))
     made = F.transform("values", lambda v: _mention(v, F.col("given"), F.col("known"), key))
     rows = rows.select("doc_id", "text", "values", "names", F.when(F.size("values") > 0, made).otherwise(F.array().cast("array<string>")).alias("surrogates"))
     between = F.when(F.col("names").isNull(), F.split("text", ANY, -1)).otherwise(F.split("text", F.col("names"), -1))

@@ -93,6 +93,29 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> float:
+    """Share of good texts among the unlabelled, from these and trusted ones alone.
+
+    The ratio of both densities is the same, one over the prior, wherever only good
+    texts are. A balanced logistic model of trusted against unlabelled texts gives
+    the ratio; its median over trusted texts that it wasn't fitted on is taken for
+    that plateau. With fewer than 20 trusted or unlabelled texts it is a half.
+    """
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    own = np.arange(len(positive)) % 5 > 0
+    both = np.concatenate([positive[own], unlabelled])
+    mean, scale = both.mean(0), both.std(0) + 1e-3
+    a, b, u = (np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))]) for x in (positive[own], positive[~own], unlabelled))
+    w = m = v = np.zeros(WIDTH + 1)
+    for t in range(1, steps + 1):
+        grad = a.T @ (1 / (1 + np.exp(-np.clip(a @ w, -50, 50))) - 1) / len(a) + u.T @ (1 / (1 + np.exp(-np.clip(u @ w, -50, 50)))) / len(u)
+        grad[:-1] += decay * w[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return float(np.clip(1 / np.median(np.exp(np.clip(b @ w, -50, 50))), 0.01, 0.99))
+
+
 def featured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,25 +128,25 @@ def featured(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """From texts of documents that aren't held out, of which labels trusts some as good.
 
-    The class prior is the share of good ones among all labelled documents that
-    aren't held out; a document with differing labels counts as bad, a null label
-    as none. The model is fitted on at most sample trusted and sample unlabelled
-    texts, taken by the smallest hash of their ids; no label of the unlabelled is
-    looked at. Both sides of the join with the texts are bounded by that.
+    A document with differing labels isn't trusted, nor one whose label is null; that
+    a label is bad is used for nothing else. The class prior and the model are fitted
+    on at most sample trusted and sample unlabelled texts, taken by the smallest hash
+    of their ids; no label of the unlabelled is looked at. Both sides of the join with
+    the texts are bounded by that.
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     judged = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    n, good = judged.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)), F.lit(0))).first()
-    prior = min(max((good + 1) / (n + 2), 0.01), 0.99)
     by_hash = lambda ids: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     trusted = by_hash(judged.where("quality = 1").select("doc_id")).withColumn("trusted", F.lit(True))
     ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).select(F.col("doc_id").cast("long").alias("doc_id"))
     some = by_hash(ids.distinct()).withColumn("trusted", F.lit(False))
     wanted = trusted.unionByName(some).groupBy("doc_id").agg(F.max("trusted").alias("positive"), F.min("trusted").alias("only_positive"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")  # at most 2 * sample ids
-    rows = featured(texts).join(F.broadcast(wanted), "doc_id").select("x", "positive", "only_positive").collect()
+    rows = sorted(featured(texts).join(F.broadcast(wanted), "doc_id").select("x", "positive", "only_positive").collect())  # in an order of their own
     x = lambda which: np.array([np.frombuffer(r.x, np.float32) for r in rows if which(r)], np.float32).reshape(-1, WIDTH)
-    return fit(x(lambda r: r.positive), x(lambda r: not r.only_positive), prior)
+    positive, unlabelled = x(lambda r: r.positive), x(lambda r: not r.only_positive)
+    mixed = np.random.default_rng(1).permutation(len(positive))
+    return fit(positive, unlabelled, class_prior(positive[mixed], unlabelled))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -131,8 +154,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts are scored as empty ones. Repeated rows give repeated
     rows. A null doc_id is scored, never learned from. Columns besides doc_id and
-    text aren't read. Without labels every text has the same score. A narrow map;
-    only the sample that the model is fitted on goes to the driver.
+    text aren't read. Without labels every text has the same score. A narrow map, a
+    very long text whole in its task; only the features of the sample that the model
+    is fitted on go to the driver.
     """
     model = learn(docs, labels)
 
@@ -146,7 +170,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are predicted to be good, with all their columns."""
+    """The rows of docs that are predicted to be good, with all their columns.
+
+    Null and empty texts are judged as empty ones; repeated rows are judged alike and
+    stay repeated; a null doc_id is judged, never learned from. Of an empty table
+    nothing is left. A very long text is held whole in its task.
+    """
     model = learn(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

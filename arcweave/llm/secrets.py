@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import written
+from arcweave.llm.common import scratch, written
 
 #: The base patterns, in the order in which spans of one start are listed.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -314,7 +314,8 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFram
     is held whole in its task. labelled: known credentials (kind, value) besides
     those that the base patterns find.
     """
-    model = learn(docs, labelled)
+    with scratch(docs.sparkSession):
+        model = learn(docs, labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -342,7 +343,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", labelled: DataFrame | None =
     become one. n_chars, where there is such a column, follows the new text.
     A null text stays null, an empty one empty; repeated rows stay repeated.
     """
-    model = learn(docs, labelled)
+    with scratch(docs.sparkSession):
+        model = learn(docs, labelled)
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

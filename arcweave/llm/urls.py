@@ -163,7 +163,8 @@ def filter_urls(pages: DataFrame, hosts: Sequence[HostRule] = HOST_RULES, patter
     any url that nothing fits. Repeated rows give repeated rows; columns besides
     page_id and url aren't read. The rules are the operator's own parameters, or come
     from a table by rules_of(); every worker holds their index, as large as they are,
-    and compiles the expressions that run. A narrow map after one small count.
+    and compiles the expressions that run. A narrow map after one small count; an empty
+    table gives no rows, and a very long url costs its own length.
     """
     tokens = {t for h in hosts for t in host_tokens(h)} | {t for p in patterns for t in p.literals}
     seen = token_counts(pages, tokens)

@@ -254,6 +254,40 @@ def test_hidden_formats_are_found():
 # quality
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_class_prior(share):
+    """From texts of two kinds whose shares are known, without any label of the bad ones; and the fit finds who is who."""
+    rng = np.random.default_rng(4)
+    words = ["tree", "house", "river", "stone", "walks", "quietly", "under", "again"]
+    good = lambda: " ".join(rng.choice(words, int(rng.integers(20, 60)))).capitalize() + "."
+    bad = lambda: " | ".join(rng.choice(["WIN!!", "$$$", "%%% ###", "buy;now"], int(rng.integers(10, 40))))
+    truth = rng.random(800) < share
+    unlabelled = np.array([quality.features(good() if t else bad()) for t in truth])
+    positive = np.array([quality.features(good()) for _ in range(300)])
+    prior = quality.class_prior(positive, unlabelled)
+    assert abs(prior - truth.mean()) < 0.08 and quality.class_prior(positive[:5], unlabelled) == 0.5
+    scores = quality.fit(positive, unlabelled, prior).score(unlabelled)
+    assert ((scores >= 0.3) == truth).mean() > 0.97
+
+
+def test_risk_against_brute_force():
+    """The fit's last weights have no larger non-negative risk than small moves of them, by the risk's own formula."""
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(1, 1, (200, quality.WIDTH)), rng.normal(-1, 1, (200, quality.WIDTH))
+    positive, unlabelled = good[:100].astype(np.float32), np.concatenate([good[100:], bad]).astype(np.float32)
+    model = quality.fit(positive, unlabelled, 0.33, steps=1500, rate=0.02)
+    p, u = (np.clip((x - model.mean) / model.scale, -8, 8) for x in (positive, unlabelled))
+
+    def risk(w, b):
+        loss = lambda z: np.log1p(np.exp(-z))
+        minus = loss(-(u @ w + b)).mean() - 0.33 * loss(-(p @ w + b)).mean()
+        return 0.33 * loss(p @ w + b).mean() + max(0.0, minus) + 0.5e-3 * (w @ w)
+
+    least = risk(model.weights, model.bias)
+    for _ in range(100):
+        assert risk(model.weights + rng.normal(0, 0.05, quality.WIDTH), model.bias + rng.normal(0, 0.05)) > least - 2e-3
+
+
 def test_quality(spark):
     good, bad = "The cat sat on the mat. It was warm, and it slept well.\n" * 5, "Win!! Buy!! Now!! | cheap | pills | $$$ %%% ###" * 5
     rows = [(i, (good if i % 3 else bad) + str(i)) for i in range(300)] + [(None, good), (400, None), (401, "")]
