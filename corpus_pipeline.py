@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 run() writes what each returns to the shared folder and reads it for the next. Rows
 carry whole texts, so each stage has them go to Python a few hundred at a time: it
 lowers the session's setting of Arrow batches, as its result is computed later.
+
+In every stage null and empty texts are texts without words: the classifier judges
+them, no other stage removes or changes them, and they encode to nothing. Repeated
+rows are kept apart by no stage but one_of_copies, which keeps one. Rows without a
+doc_id are documents too. Columns that documents doesn't have are passed on, whatever
+their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ def _few_at_once(spark: SparkSession) -> None:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier rejects."""
+    """Without the documents that the classifier rejects, by their own text alone."""
     _few_at_once(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
@@ -44,7 +50,7 @@ def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mask."""
+    """All documents, their secrets replaced by a mask; n_chars follows."""
     _few_at_once(spark)
     return secrets.redact(docs)
 
