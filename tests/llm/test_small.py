@@ -396,8 +396,8 @@ def test_jaccard_edges(spark):
     assert jaccard.linked_documents(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_jaccard_of_versions(spark, seed):
+@pytest.mark.parametrize(("seed", "width", "share"), [(1, 3, Fraction(9, 10)), (2, 2, Fraction(3, 4))])
+def test_jaccard_of_versions(spark, seed, width, share):
     """Copies of copies: several versions of a base text, each with near copies of its own, and pieces shared by all."""
     rng = np.random.default_rng(seed)
     text = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
@@ -416,9 +416,8 @@ def test_jaccard_of_versions(spark, seed):
             version = edited(base, int(rng.integers(0, 9)), 40)
             rows += [edited(version, int(rng.integers(0, 5)), 40 if g else 10**6) for _ in range(8)]
     rows = list(enumerate(" ".join(r) for r in rows))
-    for width, share in ((3, Fraction(9, 10)), (2, Fraction(3, 4))):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_documents(docs_of(spark, rows), width, share).collect()}
-        assert got == brute_components(rows, width, share)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_documents(docs_of(spark, rows), width, share).collect()}
+    assert got == brute_components(rows, width, share)
 
 
 def test_pairs_grow_with_near_copies(spark, monkeypatch):
