@@ -138,6 +138,11 @@ class Traversal:
         """(src, dst) of all usable arcs of each emitted node."""
         return self.arcs.join(self.nodes().select(F.col("node").alias("src")), "src").select("src", "dst")
 
+    def labelled_edges(self) -> DataFrame:
+        """(src, dst, labels) of all usable arcs of each emitted node."""
+        labels = oriented(self.graph, self.request.direction).with_edges(self.request.edges).arcs.select("src", "dst", "labels")
+        return self.edges().join(labels, ["src", "dst"]).select("src", "dst", "labels")
+
 
 def closure(graph: PropertyGraph, origins: list[str] | DataFrame, retry_protocols: bool = False) -> tuple[PropertyGraph, DataFrame]:
     """The subgraph reached from origins, by url, and the urls that aren't in the graph.

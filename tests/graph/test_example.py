@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from arcweave import __main__ as commands
 from arcweave.api import GraphService
 from arcweave.operators import extract, paths, stats
 from arcweave.operators.graph import PropertyGraph
@@ -12,7 +13,8 @@ from arcweave.schema import LEGAL_ARCS
 from arcweave.sources import relations as sources
 from arcweave.sources import sinks
 from arcweave.sources.example import URLS, ident, relations
-from hashlib import sha1
+from base64 import b64encode
+from hashlib import sha1, sha256
 
 ORI1, ORI2 = (f"swh:1:ori:{sha1(u.encode()).hexdigest()}" for u in URLS)
 
@@ -213,6 +215,29 @@ def test_both_layouts_are_one_graph(graph):
         assert there.exceptAll(back).isEmpty() and back.exceptAll(there).isEmpty()
 
 
+def test_commands(graph, spark, tmp_path):
+    import json
+
+    path = str(tmp_path / "g")
+    graph.save(path)
+    node = json.loads(commands.run(spark, ["get-node", "--graph", path, "--node", ident("cnt", 1)])[0])
+    assert node["swhid"] == ident("cnt", 1) and node["cnt"]["length"] == 42 and node["num_successors"] == 0
+    number = str(graph.node_ids([ident("cnt", 1)])[0])
+    assert json.loads(commands.run(spark, ["get-node", "--graph", path, "--node", number, "--mask", "cnt.length"])[0]) == {"swhid": ident("cnt", 1), "cnt": {"length": 42}}
+    assert set(commands.run(spark, ["node-ids", "--graph", path], [ident("cnt", 1) + "\n", "\n", ident("cnt", 404)])) == {f"{ident('cnt', 1)} {number}", f"{ident('cnt', 404)} "}
+    assert len(commands.run(spark, ["label-ids", "--graph", path], ["README.md", "nowhere"])) == 1
+    assert commands.run(spark, ["hash-persons"], ["Jane Doe <jane@example.org>"]) == [b64encode(sha256(b"Jane Doe <jane@example.org>").digest()).decode()]
+    with pytest.raises(NotFound):
+        commands.run(spark, ["get-node", "--graph", path, "--node", ident("rev", 404)])
+
+
+def test_labelled_edges(graph):
+    rows = run(graph, ident("dir", 8), edges="dir:dir,dir:cnt").labelled_edges().collect()
+    assert sorted(bytes(r.labels[0].name) for r in rows) == [b"README.md", b"README.rst", b"main.py", b"parser.c", b"tests"]
+    back = run(graph, ident("cnt", 1), direction="BACKWARD", edges="cnt:dir", max_depth=1).labelled_edges().where(F.size("labels") > 0).collect()
+    assert {bytes(r.labels[0].name) for r in back} == {b"README.md"}
+
+
 def test_statuses():
     assert [http_status(e) for e in (InvalidArgument("x"), NotFound("x"), ValueError("x"))] == [400, 400, 503] and http_status(NotFound("x"), checking=False) == 503
 
