@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from arcweave.schema import NODE_TYPES, PERMISSIONS, TARGET_TYPES, TYPE_CODE, UNTYPED_ORIGINS, VISIT_CLASSES
-
-SWHID_PATTERN = "^swh:1:(cnt|dir|ori|rel|rev|snp):[0-9a-fA-F]{40}$"
+from arcweave.schema import FULLNAME_PATTERN, NODE_TYPES, PERMISSIONS, SWHID_PATTERN, TARGET_TYPES, TYPE_CODE, UNTYPED_ORIGINS, VISIT_CLASSES
 
 
 def swhid(node_type: Column | str, digest: Column) -> Column:
@@ -85,9 +83,8 @@ def person_key(fullname: Column) -> Column:
 
 def parsed_fullname(fullname: Column) -> Column:
     """Struct of name, email, local and domain part; null if the text isn't `name <local@domain>`."""
-    pattern = r"^(.+)\s+<((.+)@(.+))>$"
-    part = lambda i: F.regexp_extract(fullname, pattern, i)
-    return F.when(fullname.rlike(pattern), F.struct(part(1).alias("name"), part(2).alias("email"), part(3).alias("local"), part(4).alias("domain")))
+    part = lambda i: F.regexp_extract(fullname, FULLNAME_PATTERN, i)
+    return F.when(fullname.rlike(FULLNAME_PATTERN), F.struct(part(1).alias("name"), part(2).alias("email"), part(3).alias("local"), part(4).alias("domain")))
 
 
 def reversed_path(url: Column) -> Column:

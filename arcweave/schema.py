@@ -31,6 +31,9 @@ UNTYPED_ORIGINS = {
     "https://www.npmjs.com/package/@reactionaries/hookd": "npm",
     "https://github.com/shines001/krping": "git",
 }
+#: What an identifier looks like, and a full name with an address of mail (name, address, local part, domain).
+SWHID_PATTERN = "^swh:1:(cnt|dir|ori|rel|rev|snp):[0-9a-fA-F]{40}$"
+FULLNAME_PATTERN = r"^(.+)\s+<((.+)@(.+))>$"
 
 LABEL = T.StructType([
     T.StructField("name", T.BinaryType()),
