@@ -35,6 +35,10 @@ PLAIN_PATTERN = rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s0-9{_LETT
 NOT_PLAIN = re.compile(rf"[^\t-\r\x20-\x7e{_LETTERS}]").search
 
 
+#: Rank of what is no token.
+NEVER = 1 << 62
+
+
 class Vocabulary:
     """Ranks of tokens, and which two tokens may stand side by side."""
 
@@ -42,40 +46,50 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-        for rank, token in sorted(self.tokens.items()):
-            self.halves[rank] = (rank, rank)
-            for cut in range(len(token) - 1, 0, -1):
-                a, b = ranks.get(token[:cut], rank), ranks.get(token[cut:], rank)
-                if a < rank and b < rank and self.adjacent(a, b):
-                    self.halves[rank] = (a, b)
-                    self.merged[a, b] = rank
+        self.merges: dict[int, tuple[list[int], list[bytes], list[bytes]] | None] = {}
+
+    def merging(self, token: int) -> tuple[list[int], list[bytes], list[bytes]] | None:
+        """The merges that make a token from its bytes: their ranks, and its first and last piece before each and at the end; None if they make something else."""
+        if token not in self.merges:
+            rank = self.ranks.get
+            parts = [bytes((c,)) for c in self.tokens[token]]
+            taken, first, last = [], [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                least, i = min((rank(x + y, NEVER), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+                if least == NEVER:
                     break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                taken.append(least), first.append(parts[0]), last.append(parts[-1])
+            self.merges[token] = (taken, first, last) if len(parts) == 1 else None
+        return self.merges[token]
 
     def adjacent(self, a: int, b: int) -> bool:
         """Whether the encoding of both tokens' bytes is just these two tokens.
 
-        Undoes merges from the latest on, on both sides of the border: at each
-        moment of the merging, the two tokens that touch must not have a merge
-        of their own that would have come before the ones still to be undone.
+        Merges their bytes side by side, each time the pair of least rank, of equal
+        ones the leftmost: what each token does by itself is known, and only the two
+        pieces at the border could do something else.
         """
-        halves, merged, before = self.halves, self.merged, 1 << 62
-        while True:
-            if merged.get((a, b), before) < before:
-                return False
-            if a > b:
-                before, a = a, halves[a][1]
-                if a == before:
-                    before, b = b + 1, halves[b][0]
-                    if b + 1 == before:
-                        return True
+        left, right = self.merging(a), self.merging(b)
+        if left is None or right is None:
+            return False
+        i = j = 0
+        rank, (taken_a, _, last), (taken_b, first, _) = self.ranks.get, left, right
+        next_a, next_b = taken_a[0] if taken_a else NEVER, taken_b[0] if taken_b else NEVER
+        across = rank(last[0] + first[0], NEVER)
+        while across >= next_a or across > next_b:
+            if next_a == next_b == NEVER:  # both are whole
+                return True
+            changed = False
+            if next_a <= next_b:
+                i += 1
+                next_a, changed = taken_a[i] if i < len(taken_a) else NEVER, last[i] is not last[i - 1]
             else:
-                before, b = b + 1, halves[b][0]
-                if b + 1 == before:
-                    before, a = a, halves[a][1]
-                    if a == before:
-                        return True
+                j += 1
+                next_b, changed = taken_b[j] if j < len(taken_b) else NEVER, first[j] is not first[j - 1]
+            if changed:
+                across = rank(last[i] + first[j], NEVER)
+        return False
 
 
 class PrefixTable:
@@ -188,8 +202,8 @@ class Codec(dict):
         return out[::-1]
 
     def forget(self) -> None:
-        """Drops what is remembered: a worker may go on to other work."""
-        self.clear(), self.last.clear(), self.pairs.clear()
+        """Drops the pieces and prefixes that are remembered: a worker may go on to other work."""
+        self.clear(), self.last.clear()
 
     def split(self, text: str) -> list[str]:
         return self.any_text(text) if NOT_PLAIN(text) else self.plain_text(text)
