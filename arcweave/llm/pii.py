@@ -158,45 +158,57 @@ def units(value: Column, given: Column) -> Column:
 
 
 def surrogate(unit: Column, attempt: Column, gender: Column, key: str) -> Column:
-    """Of a unit; attempt counts how often one was made before that collided."""
+    """Of a unit; attempt counts how often one was made before that collided.
+
+    What is permuted is chosen first and permuted once: letters of any script for
+    names and mail, ASCII for numbers.
+    """
     letter, value, again = F.substring(unit, 1, 1), F.substring(unit, F.lit(3), F.length(unit)), attempt.cast("string")
-    p = lambda v, t="", wide=True: permuted(v, F.concat(F.lit(t) if isinstance(t, str) else t, F.lit("/"), again), key, wide)
+    p = lambda v, t, wide: permuted(v, F.concat(t, F.lit("/"), again), key, wide)
     number = lambda *parts: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), again, *parts), 256), 1, 8), 16, 10).cast("long")
     more = F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), again, value), 256), 1, 8), "0123456789abcdef", "abcdefghijklmnop")
+    suffix = F.when(attempt >= LONGER, more).otherwise("")
+    # names and mail
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     last = F.substring_index(domain, ".", -1)
     before = F.substring(domain, F.lit(1), F.length(domain) - F.length(last))
     fixed = ~F.concat(local, before).rlike(r"[\p{L}\p{N}]")
     longer = F.when((attempt >= LONGER) | (fixed & (attempt > 0)), more).otherwise("")
-    email = F.concat(p(local, domain), longer, F.lit("@"), p(before, "domain"), last)
+    mail = letter == "e"
+    of_letters = F.when(letter != "v", p(F.when(mail, local).otherwise(value), F.when(mail, domain).when(letter == "g", "given").otherwise("family"), True))
+    of_domain = F.when(mail, p(before, F.lit("domain"), True))
+    pick = lambda i: F.element_at(F.when(gender == "f", F.array(*map(F.lit, NAMES["f"]))).when(gender == "m", F.array(*map(F.lit, NAMES["m"]))).otherwise(F.array(*map(F.lit, NAMES["n"]))), (number(i.cast("string"), value) % 20 + 1).cast("int"))
+    listed = F.array_join(F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(3))), pick), "-")
+    latin = (letter == "g") & value.rlike(r"^[\x00-ɏ’]+$")
+    # numbers
+    k = kind(value)
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[^\d]))", 1)
+    of_digits = F.when(letter == "v", p(F.when(k == "card", body).when(k == "phone", F.substring(value, F.length(code) + 1, F.length(value))).when(k == "account", F.substring(value, F.lit(3), F.length(value))).otherwise(value), k, False))
     octets = F.split(value, r"\.")
     shift = lambda mine, other, i: F.array_join(
         F.transform(F.split(mine, r"\."), lambda o, j: ((o.cast("int") + F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), again, F.lit(i), other), 256), j * 4 + 1, F.lit(4)), 16, 10).cast("int")) % 256).cast("string")), "."
     )
-    valid = F.forall(octets, lambda o: (o.cast("int") < 256) & (o == o.cast("int").cast("string")))
+    valid = (k == "address") & F.forall(octets, lambda o: (o.cast("int") < 256) & (o == o.cast("int").cast("string")))
     front, back = F.substring_index(value, ".", 2), F.substring_index(value, ".", -2)
     moved = shift(back, front, "a")
-    address = F.when(valid, F.concat(shift(front, moved, "b"), F.lit("."), moved)).otherwise(p(value, "address", False))
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = p(body, "card", False)
-    check = (F.right(digits, F.lit(1)).cast("int") + 10 - _checksum(body) + _checksum(new)) % 10  # as valid, or as far from it, as before
-    whole = F.concat(new, check.cast("string"))
     mark = F.substring(value, 5, 1)
-    groups = F.when(mark.rlike("[ -]"), F.concat(F.substring(whole, 1, 4), mark, F.substring(whole, 5, 4), mark, F.substring(whole, 9, 4), mark, F.substring(whole, F.lit(13), F.length(whole)))).otherwise(whole)
-    code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[^\d]))", 1)
-    phone = F.concat(code, p(F.substring(value, F.length(code) + 1, F.length(value)), "phone", False))
-    account = F.concat(F.substring(value, 1, 2), p(F.substring(value, F.lit(3), F.length(value)), "account", False))
-    pick = lambda i: F.element_at(F.when(gender == "f", F.array(*map(F.lit, NAMES["f"]))).when(gender == "m", F.array(*map(F.lit, NAMES["m"]))).otherwise(F.array(*map(F.lit, NAMES["n"]))), (number(i.cast("string"), value) % 20 + 1).cast("int"))
-    listed = F.array_join(F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(3))), pick), "-")
-    suffix = F.when(attempt >= LONGER, more).otherwise("")
-    given = F.concat(F.when(value.rlike(r"^[\x00-ɏ’]+$"), listed).otherwise(p(value, "given")), suffix)
-    k = kind(value)
-    return (
-        F.when(letter == "e", email).when(letter == "g", given).when(letter == "f", F.concat(p(value, "family"), suffix))
-        .when(k == "address", address).when(k == "card", groups).when(k == "social", p(value, "social", False))
-        .when(k == "phone", phone).otherwise(account)
-    )
+
+    def card(new: Column) -> Column:
+        check = (F.right(digits, F.lit(1)).cast("int") + 10 - _checksum(body) + _checksum(new)) % 10  # as valid, or as far from it, as before
+        whole = F.concat(new, check.cast("string"))
+        return F.when(mark.rlike("[ -]"), F.concat(F.substring(whole, 1, 4), mark, F.substring(whole, 5, 4), mark, F.substring(whole, 9, 4), mark, F.substring(whole, F.lit(13), F.length(whole)))).otherwise(whole)
+
+    def put(s: Column) -> Column:
+        return (
+            F.when(mail, F.concat(s["letters"], longer, F.lit("@"), s["domain"], last)).when(latin, F.concat(listed, suffix)).when(letter != "v", F.concat(s["letters"], suffix))
+            .when(valid, F.concat(shift(front, moved, "b"), F.lit("."), moved)).when(s["kind"] == "card", card(s["digits"]))
+            .when(s["kind"] == "phone", F.concat(code, s["digits"])).when(s["kind"] == "account", F.concat(F.substring(value, 1, 2), s["digits"])).otherwise(s["digits"])
+        )
+
+    once = F.array(F.struct(of_letters.alias("letters"), of_domain.alias("domain"), of_digits.alias("digits"), k.alias("kind")))
+    return F.get(F.transform(once, put), F.lit(0))
 
 
 def _cased(new: Column, like: Column) -> Column:
