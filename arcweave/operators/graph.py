@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.parse import MissingProperty, NotFound, Swhid, edge_predicate, edges, node_types, reverse_edges
-from arcweave.plans.tables import numbered
+from arcweave.plans.tables import numbered, unsent
 from arcweave.schema import ARC_COLUMNS, LABEL_DDL, NODE_COLUMNS, PROPERTIES
 
 
@@ -41,7 +41,7 @@ class PropertyGraph:
 
     @classmethod
     def of(cls, nodes: DataFrame, arcs: DataFrame) -> PropertyGraph:
-        return cls(with_columns(nodes, NODE_COLUMNS), with_columns(arcs, ARC_COLUMNS))
+        return cls(unsent(with_columns(nodes, NODE_COLUMNS)), unsent(with_columns(arcs, ARC_COLUMNS)))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, properties: bool | Iterable[str] = True, labels: bool = True, optional: Iterable[str] = ()) -> PropertyGraph:
@@ -50,7 +50,7 @@ class PropertyGraph:
         properties: all groups that are stored, none, or names of groups, each of
         which must be stored unless it's optional.
         """
-        nodes, arcs, back = (spark.read.parquet(f"{path}/{part}") for part in ("nodes", "arcs", "arcs_back"))
+        nodes, arcs, back = (unsent(spark.read.parquet(f"{path}/{part}")) for part in ("nodes", "arcs", "arcs_back"))
         stored = frozenset(g for g, columns in PROPERTIES.items() if set(columns) <= set(nodes.columns))
         wanted = stored if properties is True else frozenset(properties or ())
         if unknown := wanted - set(PROPERTIES):

@@ -88,7 +88,7 @@ class Traversal:
         depth = acyclic_depth(edges(r.edges), frozenset(kinds), r.direction == "BACKWARD")
         depth = min(x for x in (depth, r.max_depth, 1 << 30) if x is not None)
         self.bounded = depth <= max(UNROLLED, 4)
-        visited = unrolled(self.arcs, rows, depth) if self.bounded else Walk(self.arcs, rows).run(r.max_depth).select("node", "depth")
+        visited = unrolled(self.arcs, rows, self.sources, depth) if self.bounded else Walk(self.arcs, rows).run(r.max_depth).select("node", "depth")
         return visited
 
     def _with_ns(self, visited: DataFrame) -> DataFrame:

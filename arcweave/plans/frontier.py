@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.parse import Arcs
-from arcweave.plans.tables import counted, numbered, written
+from arcweave.plans.tables import counted, numbered, unsent, written
 from arcweave.schema import LEGAL_ARCS, NODE_TYPES
 
 #: Rounds that are stated as one plan at most.
@@ -29,7 +29,7 @@ FEW = 500
 
 
 def _small(layer: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(layer) if n <= SMALL else layer
+    return F.broadcast(layer) if n <= SMALL else unsent(layer)
 
 
 class Walk:
@@ -53,6 +53,7 @@ class Walk:
         self.layers = [first]
         self.arc_rows: list[DataFrame] = []  # of each round, in ranked walks: src, dst, seq
         self.seen = self.layers[0].select("node").distinct() if mark_sources else None
+        self.n_seen = self.nodes if mark_sources else 0
         self.used = 0
 
     @property
@@ -77,7 +78,7 @@ class Walk:
             met = arcs if self.nodes <= FEW else arcs.join(layer.select(F.col("node").alias("src")).distinct(), "src")
             found = met.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         if self.seen is not None:
-            found = found.join(self.seen, "node", "left_anti")
+            found = found.join(_small(self.seen, self.n_seen), "node", "left_anti")
         new = found.withColumn("depth", F.lit(depth))
         new = numbered(new, ["order"], "rank").select("node", "parent", "depth", "rank") if self.ranked else new.select("node", "parent", "depth")
         new, self.nodes = counted(new, "layer")
@@ -85,6 +86,7 @@ class Walk:
             return False
         self.layers.append(new)
         nodes = new.select("node")
+        self.n_seen += self.nodes
         self.seen = nodes if self.seen is None else self.seen.union(nodes)
         if len(self.layers) % 10 == 0:
             self.seen = written(self.seen, "seen")
@@ -112,11 +114,21 @@ def acyclic_depth(arcs: Arcs | None, start: frozenset[str] | None, backward: boo
     return depth
 
 
-def unrolled(arcs: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
-    """node and depth (least number of arcs) of so many rounds, as one lazy plan; sources come once for each time they stand."""
-    layer, parts = sources.select("node").distinct(), []
+def unrolled(arcs: DataFrame, sources: DataFrame, ids: list[int], depth: int) -> DataFrame:
+    """node and depth (least number of arcs) of so many rounds, as one lazy plan; sources (ids, as rows) come once for each time they stand.
+
+    Few sources are given to the scan of the arcs, more are sent to it. How large later
+    layers are isn't known, so they are shuffled with the arcs.
+    """
+    parts = []
     for d in range(1, depth + 1):
-        layer = arcs.join(layer.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        if d > 1:
+            met = unsent(arcs).join(layer.select(F.col("node").alias("src")), "src")
+        elif len(set(ids)) <= FEW:
+            met = arcs.where(F.col("src").isin(*set(ids)))
+        else:
+            met = arcs.join(_small(sources.select(F.col("node").alias("src")).distinct(), len(ids)), "src")
+        layer = met.select(F.col("dst").alias("node")).distinct()
         parts.append(layer.withColumn("depth", F.lit(d)))
     first = sources.select("node", F.lit(0).alias("depth"))
     return first if not parts else first.union(reduce(DataFrame.union, parts).groupBy("node").agg(F.min("depth").alias("depth")))
