@@ -11,8 +11,8 @@ from arcweave.functions.identifiers import lossy_text
 from arcweave.operators.graph import PropertyGraph
 from arcweave.operators.traverse import NodeFilter, source_rows, usable_arcs
 from arcweave.parse import InvalidArgument, NotFound, natural, node_types, reverse_edges
-from arcweave.plans.frontier import Walk
-from arcweave.plans.tables import counted, numbered, written
+from arcweave.plans.frontier import Walk, small
+from arcweave.plans.tables import counted, numbered, unsent, written
 from arcweave.schema import NODE_TYPES
 
 
@@ -115,7 +115,7 @@ def find_path_between(graph: PropertyGraph, request: FindPathBetweenRequest) ->
 
     def met(mine: Walk, theirs: Walk) -> tuple[int, int, int] | None:
         """The first node of my last layer that they have found: node, my depth, their depth."""
-        near = mine.last.join(theirs.visited().select("node", F.col("depth").alias("theirs")), "node")
+        near = small(mine.last, mine.nodes).join(theirs.visited().select("node", F.col("depth").alias("theirs")), "node")
         found = near.groupBy("node").agg(F.min("theirs").alias("theirs")).orderBy("theirs", "node").first()
         return None if found is None else (found.node, len(mine.layers) - 1, found.theirs)
 
@@ -191,7 +191,7 @@ def origin_paths(graph: PropertyGraph, swhid: str, restriction: str = CONTEXT_ED
         ends = layer.join(origins, "node", "left_semi").select(F.col("node").alias("origin"), F.array("node").alias("path"), F.col("parent").alias("next"))
         if found is not None:
             steps = layer.select(F.col("node").alias("next"), F.col("parent").alias("above"))
-            ends = ends.unionByName(found.join(steps, "next").select("origin", F.concat(F.array("next"), "path").alias("path"), F.col("above").alias("next")))
+            ends = ends.unionByName(unsent(found).join(steps, "next").select("origin", F.concat(F.array("next"), "path").alias("path"), F.col("above").alias("next")))
         found = written(ends, "origin-paths")
     return found.select("origin", "path")
 
@@ -300,7 +300,7 @@ def bfs_order(graph: PropertyGraph, roots: list[str] | None = None) -> DataFrame
         depth = 0
         while True:
             if seen is not None:
-                layer = layer.join(seen.select("node"), "node", "left_anti")
+                layer = layer.join(unsent(seen.select("node")), "node", "left_anti")
             layer, n = counted(layer.select("node", F.lit(kind).alias("kind"), "root", F.lit(depth).alias("depth")), "order")
             if n:
                 seen = layer if seen is None else seen.union(layer)

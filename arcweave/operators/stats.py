@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from arcweave.operators.graph import PropertyGraph
 from arcweave.parse import reverse_edges
-from arcweave.plans.tables import counted, written
+from arcweave.plans.frontier import small
+from arcweave.plans.tables import counted, unsent, written
 
 
 def nodes_by_type(graph: PropertyGraph) -> DataFrame:
@@ -78,6 +79,13 @@ def count_of_types(graph: PropertyGraph, types: str) -> DataFrame:
     return nodes.agg(F.count("*").alias("count"))
 
 
+def _inner_and_last(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst) of arcs to nodes of types that arcs lead on from, and of arcs to types without: only the first need a round after round."""
+    on = [r.src_type for r in arcs.select("src_type").distinct().collect()]  # six types at most
+    further = F.col("dst_type").isin(*on)
+    return arcs.where(further).select("src", "dst"), arcs.where(~further).select("src", "dst")
+
+
 def reach_counts(graph: PropertyGraph, roots: DataFrame, targets: str, restriction: str = "*", direction: str = "FORWARD", leaves: bool = False, carry: str = "roots") -> DataFrame:
     """For every root (node) at once, how many nodes of these types it reaches: root, count (zeros included).
 
@@ -88,12 +96,12 @@ def reach_counts(graph: PropertyGraph, roots: DataFrame, targets: str, restricti
     distinct nodes need them: as many rows as the sum of what is reached, in tables of
     the shared folder, not in memory. leaves: count only nodes without usable arcs.
     """
-    from arcweave.operators.traverse import usable_arcs
+    from arcweave.operators.traverse import oriented
     from arcweave.parse import InvalidArgument, node_types
 
     if carry not in ("roots", "targets"):
         raise InvalidArgument(f"carry is roots or targets, not {carry}")
-    arcs = usable_arcs(graph, direction, restriction, [])
+    arcs = oriented(graph, direction).with_edges(restriction).arcs
     kept = node_types(targets)
     ends = (graph.nodes if kept is None else graph.nodes.where(F.col("node_type").isin(*kept))).select(F.col("node_id").alias("node"))
     if leaves:
@@ -102,18 +110,24 @@ def reach_counts(graph: PropertyGraph, roots: DataFrame, targets: str, restricti
     back = carry == "targets"
     if back:
         other = {"FORWARD": "BACKWARD", "BACKWARD": "FORWARD"}[direction]
-        arcs = usable_arcs(graph, other, reverse_edges(restriction), [])
+        arcs = oriented(graph, other).with_edges(reverse_edges(restriction)).arcs
     seen = written((ends if back else roots).select(F.col("node").alias("start"), "node"), "reach")
-    layer, rounds = seen, 0
+    layer, rounds, n = seen, 0, None
+    inner, last = _inner_and_last(arcs)
+
+    def reached(arcs: DataFrame, layer: DataFrame, n: int | None) -> DataFrame:
+        near = layer.withColumnRenamed("node", "src")
+        return arcs.join(unsent(near) if n is None else small(near, n), "src").select("start", F.col("dst").alias("node")).distinct()
+
     while True:
-        layer = arcs.join(layer.withColumnRenamed("node", "src"), "src").select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
-        layer, n = counted(layer, "reach")
+        layer, n = counted(reached(inner, layer, n).join(unsent(seen), ["start", "node"], "left_anti"), "reach")
         if not n:
             break
         seen, rounds = seen.union(layer), rounds + 1
         if rounds % 10 == 0:
             seen = written(seen, "reach")
-    found = seen.join(roots if back else ends, "node", "left_semi")
+    seen = seen.union(written(reached(last, seen, None), "reach"))  # no node of these types is in seen, but for a start, which has no arcs to itself
+    found = unsent(seen).join(roots if back else ends, "node", "left_semi")
     n = found.groupBy(F.col("node" if back else "start").alias("root")).agg(F.count("*").alias("count"))
     return roots.select(F.col("node").alias("root")).join(n, "root", "left").select("root", F.coalesce("count", F.lit(0)).alias("count"))
 
@@ -127,16 +141,18 @@ def earliest_revisions(graph: PropertyGraph, objects: DataFrame) -> DataFrame:
     best = F.min(F.struct("committer_ts", "revision")).alias("best")
     layer = graph.nodes.where("node_type = 'rev' and committer_ts is not null").select(F.col("node_id").alias("node"), "committer_ts", F.col("node_id").alias("revision"))
     known = layer = written(layer, "earliest")
-    arcs = graph.arcs.select("src", "dst")
+    inner, last = _inner_and_last(graph.arcs)
+    down = lambda arcs, layer: arcs.join(unsent(layer.withColumnRenamed("node", "src")), "src").groupBy(F.col("dst").alias("node")).agg(best).select("node", "best.*")
     while True:
-        moved = arcs.join(layer.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(best).select("node", "best.*")
+        moved = down(inner, layer)
         old = known.select("node", F.struct("committer_ts", "revision").alias("old"))
-        better = moved.join(old, "node", "left").where(F.col("old").isNull() | (F.struct("committer_ts", "revision") < F.col("old"))).drop("old")
+        better = moved.join(unsent(old), "node", "left").where(F.col("old").isNull() | (F.struct("committer_ts", "revision") < F.col("old"))).drop("old")
         layer = written(better, "earliest")
         if layer.isEmpty():
             break
         known = written(known.unionByName(layer).groupBy("node").agg(best).select("node", "best.*"), "earliest")
-    return objects.select("node").join(known, "node").select("node", "revision", "committer_ts")
+    known = known.unionByName(down(last, known)).groupBy("node").agg(best).select("node", "best.*")
+    return objects.select("node").join(unsent(known), "node").select("node", "revision", "committer_ts")
 
 
 def shared_root_forks(graph: PropertyGraph, swhid: str) -> DataFrame:

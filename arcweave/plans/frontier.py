@@ -24,11 +24,14 @@ UNROLLED = 3
 SMALL = 200_000
 
 
+#: Arcs that a task sorts, where a layer is shuffled with them.
+PART = 2_000_000
 #: Nodes of a layer up to which they are given to the scan of the arcs, which are sorted by source and skip what they can't be in.
 FEW = 500
 
 
-def _small(layer: DataFrame, n: int) -> DataFrame:
+def small(layer: DataFrame, n: int) -> DataFrame:
+    """layer, of n rows, as the side of a join that is sent whole if it is small."""
     return F.broadcast(layer) if n <= SMALL else unsent(layer)
 
 
@@ -54,6 +57,7 @@ class Walk:
         self.arc_rows: list[DataFrame] = []  # of each round, in ranked walks: src, dst, seq
         self.seen = self.layers[0].select("node").distinct() if mark_sources else None
         self.n_seen = self.nodes if mark_sources else 0
+        self.parts: int | None = None
         self.used = 0
 
     @property
@@ -62,7 +66,7 @@ class Walk:
 
     def step(self) -> bool:
         """The next layer; False, and no layer, where there is none."""
-        layer, depth, arcs = _small(self.last, self.nodes), len(self.layers), self.arcs
+        layer, depth, arcs = small(self.last, self.nodes), len(self.layers), self.arcs
         if self.nodes <= FEW:
             arcs = arcs.where(F.col("src").isin(*{r.node for r in self.last.select("node").collect()}))
         if self.ranked:
@@ -75,10 +79,10 @@ class Walk:
             self.arc_rows.append(out)
             found = out.groupBy(F.col("dst").alias("node")).agg(F.min("seq").alias("order"), F.min_by("src", "seq").alias("parent"))
         else:
-            met = arcs if self.nodes <= FEW else arcs.join(layer.select(F.col("node").alias("src")).distinct(), "src")
+            met = arcs if self.nodes <= FEW else self._met(layer.select(F.col("node").alias("src")).distinct())
             found = met.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         if self.seen is not None:
-            found = found.join(_small(self.seen, self.n_seen), "node", "left_anti")
+            found = found.join(small(self.seen, self.n_seen), "node", "left_anti")
         new = found.withColumn("depth", F.lit(depth))
         new = numbered(new, ["order"], "rank").select("node", "parent", "depth", "rank") if self.ranked else new.select("node", "parent", "depth")
         new, self.nodes = counted(new, "layer")
@@ -92,6 +96,14 @@ class Walk:
             self.seen = written(self.seen, "seen")
         return True
 
+    def _met(self, layer: DataFrame) -> DataFrame:
+        """Arcs of a layer; where both are shuffled, so many parts that a task sorts PART arcs or so, if the session has fewer."""
+        if self.nodes > SMALL:
+            if self.parts is None:
+                self.parts = max(1 + self.arcs.count() // PART, int(self.arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            return unsent(self.arcs.repartition(self.parts, "src")).join(layer.repartition(self.parts, "src"), "src")
+        return self.arcs.join(F.broadcast(layer), "src")
+
     def run(self, max_depth: int | None) -> DataFrame:
         """All layers in one table: node, parent, depth (and rank)."""
         while (max_depth is None or len(self.layers) <= max_depth) and self.step():
@@ -127,7 +139,7 @@ def unrolled(arcs: DataFrame, sources: DataFrame, ids: list[int], depth: int) ->
         elif len(set(ids)) <= FEW:
             met = arcs.where(F.col("src").isin(*set(ids)))
         else:
-            met = arcs.join(_small(sources.select(F.col("node").alias("src")).distinct(), len(ids)), "src")
+            met = arcs.join(small(sources.select(F.col("node").alias("src")).distinct(), len(ids)), "src")
         layer = met.select(F.col("dst").alias("node")).distinct()
         parts.append(layer.withColumn("depth", F.lit(d)))
     first = sources.select("node", F.lit(0).alias("depth"))
