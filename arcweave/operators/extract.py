@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arcweave.functions.identifiers import origin_swhid, permission, person_key, seconds, swhid, swhid_type, target_type, visit_class
 from arcweave.operators.graph import PropertyGraph
 from arcweave.parse import node_types
-from arcweave.plans.tables import numbered, written
+from arcweave.plans.tables import numbered, unsent, written
 from arcweave.schema import LABEL, LABEL_DDL
 
 #: Which relations hold the nodes of a type, and what they own.
@@ -160,10 +160,12 @@ def problems(graph: PropertyGraph, legal: tuple[str, ...]) -> DataFrame:
     """Checks after a build, a row for each that fails: loops, illegal arc types, ends without node, repeated ids."""
     arcs, ids = graph.arcs, graph.nodes.select("node_id")
     kind = F.concat_ws(":", "src_type", "dst_type")
+    ends = arcs.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n"))  # of a node at once: far fewer rows than ends
+    ends = ends.unionByName(graph.transpose().arcs.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n")))
     found = [
         arcs.where("src = dst").agg(F.lit("loops").alias("problem"), F.count("*").alias("n")),
         arcs.where(~kind.isin(*legal)).agg(F.lit("illegal arcs").alias("problem"), F.count("*").alias("n")),
         ids.groupBy("node_id").count().where("count > 1").agg(F.lit("repeated ids").alias("problem"), F.count("*").alias("n")),
-        arcs.select(F.explode(F.array("src", "dst")).alias("node_id")).join(ids, "node_id", "left_anti").agg(F.lit("ends without node").alias("problem"), F.count("*").alias("n")),
+        ends.join(unsent(ids), "node_id", "left_anti").agg(F.lit("ends without node").alias("problem"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")),
     ]
     return reduce(DataFrame.unionByName, found).where("n > 0")
