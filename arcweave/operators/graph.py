@@ -67,11 +67,15 @@ class PropertyGraph:
 
         Columns of absent groups aren't written.
         """
-        absent = [c for g, columns in PROPERTIES.items() if g not in self.groups for c in columns]
-        self.nodes.drop(*absent).repartitionByRange("node_id").sortWithinPartitions("node_id").write.parquet(f"{path}/nodes")
+        self.save_nodes(path)
         for name, arcs in (("arcs", self.arcs), ("arcs_back", self.transpose().arcs)):
             arcs.repartitionByRange("src_type", "dst_type", "src").sortWithinPartitions("src", "dst").write.partitionBy("src_type", "dst_type").parquet(f"{path}/{name}")
 
+    def save_nodes(self, path: str, rows: int | None = None) -> None:
+        """rows: of one part, or so; else the session's number of parts."""
+        absent = [c for g, columns in PROPERTIES.items() if g not in self.groups for c in columns]
+        self.nodes.drop(*absent).repartitionByRange(*([1 + self.num_nodes() // rows] if rows else []), "node_id").sortWithinPartitions("node_id").write.parquet(f"{path}/nodes")
+
     # primitives
 
     def num_nodes(self) -> int:
@@ -149,7 +153,7 @@ class PropertyGraph:
         def kept(arcs: DataFrame) -> DataFrame:
             if node_filter is not None:
                 for end in ("src", "dst"):
-                    arcs = arcs.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi")
+                    arcs = arcs.join(unsent(nodes.select(F.col("node_id").alias(end))), end, "left_semi")
             return arcs.select(*self.arcs.columns)
 
         arcs = kept(self.arcs if arc_filter is None else self.arcs.where(arc_filter))
