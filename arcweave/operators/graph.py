@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.parse import MissingProperty, NotFound, Swhid, edge_predicate, edges, node_types, reverse_edges
-from arcweave.plans.tables import numbered, unsent
+from arcweave.plans.frontier import small
+from arcweave.plans.tables import counted, numbered, unsent, written
 from arcweave.schema import ARC_COLUMNS, LABEL_DDL, NODE_COLUMNS, PROPERTIES
 
 
@@ -215,14 +216,46 @@ class PropertyGraph:
     # comparison
 
     def difference(self, other: PropertyGraph, labels: bool = True, properties: bool = True) -> DataFrame:
-        """Rows (side, kind, key) of what stands in one graph alone; empty for equal ones. Nodes go by swhid."""
-        skip = {"node_id"} | (set() if properties else {*NODE_COLUMNS} - {"swhid", "node_type"})
+        """Rows (side, kind, key) of what stands in one graph alone; empty for equal ones. Nodes go by swhid.
 
-        def rows(g: PropertyGraph) -> DataFrame:
-            nodes = g.nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(*[F.col(c) for c in NODE_COLUMNS if c not in skip])).alias("key"))
-            ids = g.nodes.select("node_id", "swhid")
-            arcs = g.arcs.join(ids.select(F.col("node_id").alias("src"), F.col("swhid").alias("a")), "src").join(ids.select(F.col("node_id").alias("dst"), F.col("swhid").alias("b")), "dst")
-            return nodes.unionByName(arcs.select(F.lit("arc").alias("kind"), F.to_json(F.struct("a", "b", *(["labels"] if labels else []))).alias("key")))
-
-        a, b = rows(self), rows(other)
-        return a.exceptAll(b).select(F.lit("left").alias("side"), "kind", "key").unionByName(b.exceptAll(a).select(F.lit("right").alias("side"), "kind", "key"))
+        Both graphs' rows are counted together, once. Where both give their nodes the same
+        ids, arcs are counted by ids, and only those that may differ get identifiers.
+        """
+        columns = [c for c in NODE_COLUMNS if c != "node_id" and (properties or c in ("swhid", "node_type"))]
+        more = ["labels"] if labels else []
+
+        def counts(mine: DataFrame, theirs: DataFrame, *by: str) -> DataFrame:
+            """Distinct rows of both, and how often each stands left (l) and right (r)."""
+            rows = mine.select(*by, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(theirs.select(*by, F.lit(0).alias("l"), F.lit(1).alias("r")))
+            return rows.groupBy(*by).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+
+        def alone(rows: DataFrame, kind: str, *key: str) -> DataFrame:
+            """Rows with n, a row for each time: of the left above 0, of the right below."""
+            side = F.when(F.col("n") > 0, "left").otherwise("right").alias("side")
+            rows = rows.where("n <> 0").select(side, F.lit(kind).alias("kind"), F.to_json(F.struct(*key)).alias("key"), F.abs("n").cast("int").alias("n"))
+            return rows.withColumn("n", F.explode(F.array_repeat(F.lit(0), F.col("n")))).drop("n")
+
+        nodes = alone(counts(self.nodes, other.nodes, *columns).withColumn("n", F.col("l") - F.col("r")), "node", *columns)
+        ids = written(counts(self.nodes, other.nodes, "node_id", "swhid"), "ids")
+        if all(ids.groupBy(c).count().where("count > 1").isEmpty() for c in ("node_id", "swhid")):
+            arcs = counts(self.arcs, other.arcs, "src", "dst", *more)
+            odd, n = counted(ids.where("l <> r").select("node_id"), "odd")
+            for end in ("src", "dst"):
+                mark = small(odd.select(F.col("node_id").alias(end), F.lit(True).alias(f"{end}_odd")), n)
+                arcs = arcs.join(mark, end, "left")
+            # As often left as right, between ends that stand as often left as right (or nowhere): no difference.
+            arcs = arcs.where("l <> r or src_odd or dst_odd").drop("src_odd", "dst_odd")
+            for end, name in (("src", "a"), ("dst", "b")):
+                arcs = arcs.join(unsent(ids.select(F.col("node_id").alias(end), F.col("swhid").alias(name), F.col("l").alias(f"{name}l"), F.col("r").alias(f"{name}r"))), end)
+            arcs = arcs.withColumn("n", F.col("l") * F.col("al") * F.col("bl") - F.col("r") * F.col("ar") * F.col("br"))
+        else:
+
+            def named(g: PropertyGraph) -> DataFrame:
+                named_ids = unsent(g.nodes.select("node_id", "swhid"))
+                arcs = g.arcs.select("src", "dst", *more)
+                for end, name in (("src", "a"), ("dst", "b")):
+                    arcs = arcs.join(named_ids.select(F.col("node_id").alias(end), F.col("swhid").alias(name)), end)
+                return arcs
+
+            arcs = counts(named(self), named(other), "a", "b", *more).withColumn("n", F.col("l") - F.col("r"))
+        return nodes.unionByName(alone(arcs, "arc", "a", "b", *more))
