@@ -81,8 +81,8 @@ class Walk:
         else:
             met = arcs if self.nodes <= FEW else self._met(layer.select(F.col("node").alias("src")).distinct())
             found = met.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        if self.seen is not None:
-            found = found.join(small(self.seen, self.n_seen), "node", "left_anti")
+        if self.seen is not None:  # no anti join: Spark moves that below the meeting and shuffles all arcs by their other end for it
+            found = found.join(small(self.seen.select("node", F.lit(True).alias("old")), self.n_seen), "node", "left").where("old is null").drop("old")
         new = found.withColumn("depth", F.lit(depth))
         new = numbered(new, ["order"], "rank").select("node", "parent", "depth", "rank") if self.ranked else new.select("node", "parent", "depth")
         new, self.nodes = counted(new, "layer")
@@ -97,11 +97,16 @@ class Walk:
         return True
 
     def _met(self, layer: DataFrame) -> DataFrame:
-        """Arcs of a layer; where both are shuffled, so many parts that a task sorts PART arcs or so, if the session has fewer."""
+        """Arcs of a layer; where both are shuffled, so many parts that a task sorts PART arcs or so, if the session has fewer.
+
+        Only arcs from the layer's range of ids are: the scan skips the others.
+        """
         if self.nodes > SMALL:
             if self.parts is None:
                 self.parts = max(1 + self.arcs.count() // PART, int(self.arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-            return unsent(self.arcs.repartition(self.parts, "src")).join(layer.repartition(self.parts, "src"), "src")
+            least, most = self.last.agg(F.min("node"), F.max("node")).first()
+            arcs = self.arcs.where(F.col("src").between(least, most))
+            return unsent(arcs.repartition(self.parts, "src")).join(layer.repartition(self.parts, "src"), "src")
         return self.arcs.join(F.broadcast(layer), "src")
 
     def run(self, max_depth: int | None) -> DataFrame:
