@@ -8,9 +8,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave.functions.identifiers import swhid_bytes, swhid_of_bytes
 from arcweave.parse import MissingProperty, NotFound, Swhid, edge_predicate, edges, node_types, reverse_edges
-from arcweave.plans.frontier import small
-from arcweave.plans.tables import counted, numbered, unsent, written
+from arcweave.plans.frontier import PART, marked
+from arcweave.plans.tables import counted, numbered, setting, unsent
 from arcweave.schema import ARC_COLUMNS, LABEL_DDL, NODE_COLUMNS, PROPERTIES
 
 
@@ -25,7 +26,8 @@ class PropertyGraph:
     """nodes and arcs as in schema.NODE_COLUMNS and ARC_COLUMNS; everything derived is lazy.
 
     back: the same arcs with their ends swapped, where they are stored so; groups:
-    the groups of properties that are there, all others being null.
+    the groups of properties that are there, all others being null; loose: the arcs
+    before nodes were left out, so that some may have ends that are no nodes.
     """
 
     nodes: DataFrame
@@ -33,6 +35,7 @@ class PropertyGraph:
     transposed: bool = False
     back: DataFrame | None = None
     groups: frozenset[str] = frozenset(PROPERTIES)
+    loose: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -154,7 +157,9 @@ class PropertyGraph:
             return arcs.select(*self.arcs.columns)
 
         arcs = kept(self.arcs if arc_filter is None else self.arcs.where(arc_filter))
-        return replace(self, nodes=nodes, arcs=arcs, back=None if self.back is None or arc_filter is not None else kept(self.back))
+        back = None if self.back is None or arc_filter is not None else kept(self.back)
+        loose = self.arcs if self.loose is None or callable(node_filter) else self.loose  # a function may bring back nodes that were left out
+        return replace(self, nodes=nodes, arcs=arcs, back=back, loose=loose if arc_filter is None else loose.where(arc_filter))
 
     def with_types(self, types: str) -> PropertyGraph:
         """Only nodes of these types; decided on the arcs' own types, without a join."""
@@ -162,7 +167,7 @@ class PropertyGraph:
         if kept is None:
             return self
         both = F.col("src_type").isin(*kept) & F.col("dst_type").isin(*kept)
-        return replace(self, nodes=self.nodes.where(F.col("node_type").isin(*kept)), arcs=self.arcs.where(both), back=None if self.back is None else self.back.where(both))
+        return replace(self, nodes=self.nodes.where(F.col("node_type").isin(*kept)), arcs=self.arcs.where(both), back=None if self.back is None else self.back.where(both), loose=None)
 
     def with_edges(self, restriction: str) -> PropertyGraph:
         """Only arcs of these types, in the orientation of this view."""
@@ -170,14 +175,14 @@ class PropertyGraph:
         if found is None:
             return self
         back = None if self.back is None else self.back.where(edge_predicate(edges(reverse_edges(restriction))))
-        return replace(self, arcs=self.arcs.where(found), back=back)
+        return replace(self, arcs=self.arcs.where(found), back=back, loose=None)
 
     def transpose(self) -> PropertyGraph:
         """Arcs the other way: as they are stored, else with their columns swapped."""
         if self.back is not None:
-            return replace(self, arcs=self.back, back=self.arcs, transposed=not self.transposed)
+            return replace(self, arcs=self.back, back=self.arcs, transposed=not self.transposed, loose=None)
         a = self.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_type").alias("src_type"), F.col("src_type").alias("dst_type"), "labels")
-        return replace(self, arcs=a, back=self.arcs, transposed=not self.transposed)
+        return replace(self, arcs=a, back=self.arcs, transposed=not self.transposed, loose=None)
 
     def contiguous(self) -> PropertyGraph:
         """Nodes numbered anew from 0 in the order of their ids; arcs of nodes that aren't there go."""
@@ -186,7 +191,7 @@ class PropertyGraph:
         arcs = self.arcs
         for end in ("src", "dst"):
             arcs = arcs.join(new.select(F.col("node_id").alias(end), "new_id"), end).withColumn(end, F.col("new_id")).drop("new_id")
-        return replace(self, nodes=nodes, arcs=arcs.select(*self.arcs.columns), back=None)
+        return replace(self, nodes=nodes, arcs=arcs.select(*self.arcs.columns), back=None, loose=None)
 
     def symmetric(self) -> DataFrame:
         """Distinct (src, dst) of both directions; a loop is an error."""
@@ -195,7 +200,7 @@ class PropertyGraph:
 
     def without_labels(self) -> PropertyGraph:
         bare = lambda arcs: arcs.withColumn("labels", F.array().cast(f"array<{LABEL_DDL}>"))
-        return replace(self, arcs=bare(self.arcs), back=None if self.back is None else bare(self.back))
+        return replace(self, arcs=bare(self.arcs), back=None if self.back is None else bare(self.back), loose=None)
 
     def masked(self, hidden: DataFrame) -> PropertyGraph:
         """Without the nodes of the swhid column of hidden; unknown ones are passed over."""
@@ -214,15 +219,19 @@ class PropertyGraph:
     def difference(self, other: PropertyGraph, labels: bool = True, properties: bool = True) -> DataFrame:
         """Rows (side, kind, key) of what stands in one graph alone; empty for equal ones. Nodes go by swhid.
 
-        Both graphs' rows are counted together, once. Where both give their nodes the same
-        ids, arcs are counted by ids, and only those that may differ get identifiers.
+        Nodes of both are counted together, once. So are arcs, by ids, but where nodes were
+        left out of one table of arcs, which needs no comparison with itself. Only arcs that
+        may differ get identifiers.
         """
         columns = [c for c in NODE_COLUMNS if c != "node_id" and (properties or c in ("swhid", "node_type"))]
-        more = ["labels"] if labels else []
+        rest, ident, more = [c for c in columns if c != "swhid"], ["short", "text"], ["labels"] if labels else []
+        parts = max(1 + (self.num_nodes() + other.num_nodes()) // PART, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
-        def counts(mine: DataFrame, theirs: DataFrame, *by: str) -> DataFrame:
-            """Distinct rows of both, and how often each stands left (l) and right (r)."""
-            rows = mine.select(*by, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(theirs.select(*by, F.lit(0).alias("l"), F.lit(1).alias("r")))
+        def both(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+            """Rows of both; l is 1 for one of the left, r for one of the right."""
+            return mine.select("*", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(theirs.select("*", F.lit(0).alias("l"), F.lit(1).alias("r")))
+
+        def counts(rows: DataFrame, *by: str) -> DataFrame:
             return rows.groupBy(*by).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
 
         def alone(rows: DataFrame, kind: str, *key: str) -> DataFrame:
@@ -231,27 +240,41 @@ class PropertyGraph:
             rows = rows.where("n <> 0").select(side, F.lit(kind).alias("kind"), F.to_json(F.struct(*key)).alias("key"), F.abs("n").cast("int").alias("n"))
             return rows.withColumn("n", F.explode(F.array_repeat(F.lit(0), F.col("n")))).drop("n")
 
-        nodes = alone(counts(self.nodes, other.nodes, *columns).withColumn("n", F.col("l") - F.col("r")), "node", *columns)
-        ids = written(counts(self.nodes, other.nodes, "node_id", "swhid"), "ids")
-        if all(ids.groupBy(c).count().where("count > 1").isEmpty() for c in ("node_id", "swhid")):
-            arcs = counts(self.arcs, other.arcs, "src", "dst", *more)
-            odd, n = counted(ids.where("l <> r").select("node_id"), "odd")
-            for end in ("src", "dst"):
-                mark = small(odd.select(F.col("node_id").alias(end), F.lit(True).alias(f"{end}_odd")), n)
-                arcs = arcs.join(mark, end, "left")
+        def short(nodes: DataFrame) -> DataFrame:
+            """With identifiers as bytes where these give the text again."""
+            packed = swhid_bytes(F.col("swhid"))
+            nodes = nodes.select("node_id", F.when(swhid_of_bytes(packed) == F.col("swhid"), packed).alias("short"), "swhid", *rest)
+            return nodes.withColumn("text", F.when(F.col("short").isNull(), F.col("swhid"))).drop("swhid")
+
+        whole = lambda name="": F.coalesce(f"{name}text", swhid_of_bytes(F.col(f"{name}short")))
+
+        # A row for each id with an identifier: how often it stands, and what of it stands more often on one side.
+        rows = counts(both(short(self.nodes), short(other.nodes)).repartition(parts, "node_id"), "node_id", *ident, *rest)
+        apart = F.when(F.col("l") != F.col("r"), F.struct(*rest, (F.col("l") - F.col("r")).alias("n")))
+        ids = rows.groupBy("node_id", *ident).agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.collect_list(apart).alias("apart"))
+        with setting(self.spark, "spark.sql.execution.useObjectHashAggregateExec", "false"), setting(self.spark, "spark.sql.parquet.compression.codec", "zstd"):
+            ids, n_ids = counted(ids, "ids")
+        nodes = ids.select(*ident, F.explode("apart").alias("apart")).select(*ident, "apart.*").groupBy(*ident, *rest).agg(F.sum("n").alias("n"))
+        nodes = alone(nodes.withColumn("swhid", whole()), "node", *columns)
+
+        odd, n_odd = counted(ids.where("l <> r").select("node_id").distinct(), "odd")
+        mine, theirs = (g.arcs if g.loose is None else g.loose for g in (self, other))
+        one = mine is theirs
+        renamed = not one and 2 * n_odd > n_ids  # most ids stand for other nodes: arcs are counted by identifiers alone
+        if one:
+            arcs = mine.select("src", "dst", *more, F.lit(1).alias("l"), F.lit(1).alias("r"))
+        else:
+            arcs = both(*(a.select("src", "dst", *more) for a in (mine, theirs)))
+        if not renamed:
+            arcs = arcs if one else counts(arcs, "src", "dst", *more)
             # As often left as right, between ends that stand as often left as right (or nowhere): no difference.
+            for end in ("src", "dst"):
+                arcs = marked(arcs, end, odd, n_odd, f"{end}_odd")
             arcs = arcs.where("l <> r or src_odd or dst_odd").drop("src_odd", "dst_odd")
-            for end, name in (("src", "a"), ("dst", "b")):
-                arcs = arcs.join(unsent(ids.select(F.col("node_id").alias(end), F.col("swhid").alias(name), F.col("l").alias(f"{name}l"), F.col("r").alias(f"{name}r"))), end)
-            arcs = arcs.withColumn("n", F.col("l") * F.col("al") * F.col("bl") - F.col("r") * F.col("ar") * F.col("br"))
-        else:
-
-            def named(g: PropertyGraph) -> DataFrame:
-                named_ids = unsent(g.nodes.select("node_id", "swhid"))
-                arcs = g.arcs.select("src", "dst", *more)
-                for end, name in (("src", "a"), ("dst", "b")):
-                    arcs = arcs.join(named_ids.select(F.col("node_id").alias(end), F.col("swhid").alias(name)), end)
-                return arcs
-
-            arcs = counts(named(self), named(other), "a", "b", *more).withColumn("n", F.col("l") - F.col("r"))
-        return nodes.unionByName(alone(arcs, "arc", "a", "b", *more))
+        for end, name in (("src", "a"), ("dst", "b")):
+            found = ids.select(F.col("node_id").alias(end), *(F.col(c).alias(f"{name}_{c}") for c in (*ident, "l", "r")))
+            arcs = unsent(arcs.repartition(parts, end)).join(unsent(found.repartition(parts, end)), end)
+        arcs = arcs.withColumn("n", F.col("l") * F.col("a_l") * F.col("b_l") - F.col("r") * F.col("a_r") * F.col("b_r")).where("n <> 0")
+        if renamed or not ids.groupBy(F.xxhash64(*ident)).count().where("count > 1").isEmpty():  # else each identifier has one id
+            arcs = arcs.groupBy(*(f"{name}_{c}" for name in "ab" for c in ident), *more).agg(F.sum("n").alias("n"))
+        return nodes.unionByName(alone(arcs.withColumn("a", whole("a_")).withColumn("b", whole("b_")), "arc", "a", "b", *more))

@@ -28,6 +28,8 @@ SMALL = 200_000
 PART = 2_000_000
 #: Nodes of a layer up to which they are given to the scan of the arcs, which are sorted by source and skip what they can't be in.
 FEW = 500
+#: Blocks of 4,096 ids up to which a set of nodes is sent as bits, of half a kilobyte a block.
+BLOCKS = 20_000
 
 
 def small(layer: DataFrame, n: int) -> DataFrame:
@@ -35,6 +37,19 @@ def small(layer: DataFrame, n: int) -> DataFrame:
     return F.broadcast(layer) if n <= SMALL else unsent(layer)
 
 
+def marked(rows: DataFrame, end: str, ids: DataFrame, n: int, name: str) -> DataFrame:
+    """rows with the column name: whether end is among the n distinct ids (node_id)."""
+    place = "cast({0} & 63 as int)"
+    words = ids.groupBy(F.expr("shiftright(node_id, 6)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {place.format('node_id')})")).alias("bits"))
+    blocks = words.groupBy(F.expr("shiftright(word, 6)").alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr(place.format("word")), "bits"))).alias("words"))
+    blocks, n_blocks = counted(blocks.select("block", F.expr("transform(sequence(0, 63), i -> coalesce(try_element_at(words, i), 0L))").alias("words")), "blocks")
+    if n_blocks > BLOCKS:
+        found = small(ids.select(F.col("node_id").alias(end), F.lit(True).alias(name)), n)
+        return rows.join(found, end, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    bit = f"shiftright(words[{place.format(f'shiftright({end}, 6)')}], {place.format(end)}) & 1 = 1"
+    return rows.join(F.broadcast(blocks), F.expr(f"shiftright({end}, 12) = block"), "left").withColumn(name, F.coalesce(F.expr(bit), F.lit(False))).drop("block", "words")
+
+
 class Walk:
     """A walk from sources (node; repeats count) over arcs (src, dst).
 
